@@ -145,7 +145,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
         counted = words.join(F.broadcast(wanted) if n_terms <= BROADCAST_TERMS else wanted, "term", "left_semi")
         df = counted.groupBy("term").agg(F.count("*").alias("df"))
     else:
-        df = wanted.withColumn("df", F.lit(0).cast("long"))
+        df = wanted.withColumn("df", F.lit(1).cast("long"))
     info = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
     share = F.try_divide(F.log2(F.col("n_both") / F.col("n_entity")) + F.log2(F.lit(float(max(total, 2))) / F.col("df")), info)
     revealing = joint.join(own, "entity").join(df, "term").where(info > 0).select("entity", "term", share.alias("share")).where(F.col("share") >= DISCLOSURE)
