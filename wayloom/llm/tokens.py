@@ -9,14 +9,23 @@ import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+
 #: Ids of this many chunks are kept by a worker; beyond it the cache starts anew. Bounds memory, not the result.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_000_000
+#: New plain chunks are encoded so many at once, and told apart again.
+JOINED_CHUNKS = 128
 #: Texts are encoded in groups of about this many characters.
 GROUP_CHARS = 2_000_000
 
 _encoders: dict[int, "ChunkEncoder"] = {}
 #: A chunk: one space or line feed, and what follows up to the next.
 _CHUNK = re.compile(r"[ \n]?[^ \n]+|[ \n]")
+#: A plain chunk: Latin letters, then marks. In every supported layout it is a word and a run of marks.
+_PLAIN = re.compile(r"([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,!?;:]*)\Z")
+_KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: The byte-level alphabet: bytes that print are themselves, the others follow from U+0100 on.
+_ALPHABET = {b: chr(b) for b in _KEPT} | {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in set(_KEPT))}
 #: Longer runs of white space are one token of a byte-level pattern, so chunks would cut it.
 _LONG_SPACE = re.compile(r"\s\s(?:\s|\Z)")
 
@@ -49,6 +58,19 @@ class ChunkEncoder:
         self.size = self.tokenizer.get_vocab_size()
         self.limit = limit
         self.cache: dict[str, bytes] = {}
+        if self.leads or self.drops:
+            from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+            # The file's model alone, for words that are split and written in the byte alphabet already.
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = CharDelimiterSplit(" ")
+            if hasattr(self.model.model, "_resize_cache"):
+                self.model.model._resize_cache(0)  # the words it sees are new ones
+            suffix = said["model"].get("end_of_word_suffix") or ""
+            vocab = self.tokenizer.get_vocab()
+            self.token_chars = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+            for token, i in vocab.items():
+                self.token_chars[i] = len(token.removesuffix(suffix) if suffix else token)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -58,6 +80,33 @@ class ChunkEncoder:
                 a.byteswap()
         return [a.tobytes() for a in out]
 
+    def _words(self, m: re.Match) -> str:
+        """A plain chunk's words in the byte alphabet, parted by spaces."""
+        lead, word, marks = m.groups()
+        if self.drops:
+            word, lead = word.lower(), ""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_ALPHABET)
+        if lead == " ":
+            word = _ALPHABET[32] + word
+        elif lead:
+            word = f"{_ALPHABET[10]} {word}"
+        return f"{word} {marks}" if marks else word
+
+    def _plain_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each chunk, encoded many at once: the tokens' lengths tell the chunks apart."""
+        batch = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
+        groups = [words[i : i + JOINED_CHUNKS] for i in range(0, len(words), JOINED_CHUNKS)]
+        out: list[bytes] = []
+        for group, e in zip(groups, batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.searchsorted(np.cumsum(self.token_chars[ids]), np.cumsum([len(w) - w.count(" ") for w in group]), side="right")
+            data, a = ids.tobytes(), 0
+            for b in (4 * ends).tolist():
+                out.append(data[a:b])
+                a = b
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not (self.leads or self.drops):
             return self._ids(texts)
@@ -65,13 +114,24 @@ class ChunkEncoder:
         if len(self.cache) > self.limit:
             self.cache.clear()
         cache = self.cache
-        missing: set[str] = set()
+        seen: set[str] = set()
         for p in parts:
             if p is not None:
-                missing.update(p)
-        missing.difference_update(cache)
-        if new := list(missing):
-            cache.update(zip(new, self._ids(new), strict=True))
+                seen.update(p)
+        plain: list[str] = []
+        words: list[str] = []
+        other: list[str] = []
+        match = _PLAIN.match
+        for x in seen:
+            if x in cache:
+                continue
+            if m := match(x):
+                plain.append(x)
+                words.append(self._words(m))
+            else:
+                other.append(x)
+        cache.update(zip(plain, self._plain_ids(words), strict=True))
+        cache.update(zip(other, self._ids(other), strict=True))
         alone = [i for i, p in enumerate(parts) if p is None]
         whole = dict(zip(alone, self._ids([texts[i] for i in alone]), strict=True)) if alone else {}
         get = cache.__getitem__
