@@ -11,8 +11,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Ids of this many chunks are kept by a worker; beyond it the cache starts anew. Bounds memory, not the result.
-CACHE_CHUNKS = 1_000_000
+#: Ids of twice this many chunks at most are kept by a worker: those used since the last turn, and before it.
+CACHE_CHUNKS = 700_000
 #: New plain chunks are encoded so many at once, and told apart again.
 JOINED_CHUNKS = 128
 #: Texts are encoded in groups of about this many characters.
@@ -58,6 +58,7 @@ class ChunkEncoder:
         self.size = self.tokenizer.get_vocab_size()
         self.limit = limit
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         if self.leads or self.drops:
             from tokenizers.pre_tokenizers import CharDelimiterSplit
 
@@ -112,8 +113,8 @@ class ChunkEncoder:
             return self._ids(texts)
         parts: list[list[str] | None] = [None if self.leads and _LONG_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
         if len(self.cache) > self.limit:
-            self.cache.clear()
-        cache = self.cache
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
         seen: set[str] = set()
         for p in parts:
             if p is not None:
@@ -125,7 +126,9 @@ class ChunkEncoder:
         for x in seen:
             if x in cache:
                 continue
-            if m := match(x):
+            if x in old:
+                cache[x] = old[x]
+            elif m := match(x):
                 plain.append(x)
                 words.append(self._words(m))
             else:
