@@ -6,7 +6,10 @@ Every chunk is therefore indexed once for each symbol left out, which finds all
 of similarity 0.85 are within it but for a chance of about 1e-5.
 
 A bucket's pairs are not listed. The bucket's best-connected member is compared with the others, what it links
-becomes one component, and the next member of another component follows, until no bucket spans two components.
+becomes one component, and the next member of another component follows. Members of buckets that then still span
+components (many texts that are like each other but not enough) meet once more, now only where they share one of their
+rarest shingles: of two sets of similarity t, the |x| - ceil(t |x|) + 1 shingles of each that are least frequent have
+one in common, so no link is lost and texts that differ in every rare shingle are never compared.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..operators.components import connected_components
 from ..plans.staging import staged, table
@@ -26,8 +29,12 @@ SYMBOLS, BITS, CHUNKS = 64, 16, 12
 DISTANCE = 2 * CHUNKS - 1
 #: Buckets with so few members left list their pairs at once.
 SMALL_BUCKET = 8
-#: Rounds of one member against the rest; what is left then is compared in blocks of BLOCK members.
-STAR_ROUNDS, BLOCK = 6, 256
+#: Rounds of one member against the rest, in the buckets of the signatures and then of the rare shingles.
+STAR_ROUNDS, RARE_ROUNDS = 2, 1
+#: Buckets that still span components then are compared in blocks of so many members.
+BLOCK = 256
+#: Bits of a set's map: two sets differ in at least as many elements as their maps in bits.
+MAP_BITS = 2048
 
 _A = np.random.default_rng(20).integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = np.random.default_rng(21).integers(1, 2**63, SYMBOLS, dtype=np.uint64)
@@ -43,6 +50,16 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (mix(least) & np.uint64((1 << BITS) - 1)).astype(np.uint16)
 
 
+def bit_map(s: np.ndarray) -> bytes:
+    bits = np.zeros(MAP_BITS, dtype=np.uint8)
+    bits[(s & np.uint64(MAP_BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _maps(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint64).reshape(len(column), MAP_BITS // 64)
+
+
 def chunk_keys(sigs: np.ndarray) -> np.ndarray:
     """(rows, SYMBOLS) keys: for each symbol, its chunk's other symbols and its place."""
     bounds = [SYMBOLS * i // CHUNKS for i in range(CHUNKS + 1)]
@@ -65,7 +82,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, node, sig): node is a hash of the whole set, so equal sets are one node; null without words."""
+    """(doc_id, text_hash, n_shingles, node, sig, bits): node is a hash of the whole set, so equal sets are one node; null without words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,11 +93,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             for text in pdf["text"]:
                 s = shingle_set(text, size)
                 node = int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None
-                out.append((len(s), node, signature(s).tobytes() if len(s) else None))
-            n, nodes, sigs = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "n_shingles": pd.Series(n, dtype="int64", index=pdf.index), "node": pd.array(nodes, dtype="Int64"), "sig": pd.Series(sigs, dtype=object, index=pdf.index)})
+                out.append((len(s), node, signature(s).tobytes() if len(s) else None, bit_map(s) if len(s) else None))
+            n, nodes, sigs, maps = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "n_shingles": pd.Series(n, dtype="int64", index=pdf.index), "node": pd.array(nodes, dtype="Int64"), "sig": pd.Series(sigs, dtype=object, index=pdf.index), "bits": pd.Series(maps, dtype=object, index=pdf.index)})
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(run, f"doc_id {kind}, text_hash long, n_shingles long, node long, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(run, f"doc_id {kind}, text_hash long, n_shingles long, node long, sig binary, bits binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -101,19 +118,19 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Data
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs that sizes and signatures allow."""
+    """The distinct pairs that sizes and maps allow."""
 
-    @F.pandas_udf("int")
-    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+    @F.pandas_udf(T.IntegerType())
+    def differ(x: pd.Series, y: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype="int32")
-        p, q = (np.frombuffer(b"".join(s), dtype=np.uint16).reshape(len(s), SYMBOLS) for s in (x, y))
-        return pd.Series((p != q).sum(axis=1).astype("int32"))
+        return pd.Series(np.bitwise_count(_maps(x) ^ _maps(y)).sum(axis=1).astype("int32"))
 
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     sized = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return sized.where(distance("sig_a", "sig_b") <= DISTANCE).select("a", "b")
+    # Similar sets differ in (100 - percent) / (100 + percent) of their sizes' sum at most.
+    return sized.where((100 + percent) * differ("bits_a", "bits_b") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _listed(members: DataFrame) -> DataFrame:
@@ -124,29 +141,55 @@ def _listed(members: DataFrame) -> DataFrame:
     return b.where("x.comp <> y.comp").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def _blocked(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components within the distance in large buckets: every block of members against every block,
-    each pair of blocks in a task of its own; only close pairs leave it."""
+def _blocked(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that sizes and maps allow, in large buckets: every block of members against every
+    block, each pair of blocks in a group of its own; other pairs never leave it."""
     blocks = members.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
-    dealt = members.join(blocks, "key").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).join(nodes.select("node", "sig"), "node")
+    dealt = members.join(blocks, "key").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).join(nodes.select("node", "bits", "n_shingles"), "node")
     wide = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    wide = wide.select("key", "node", "comp", "sig", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
+    wide = wide.select("key", "node", "comp", "bits", "n_shingles", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
         x, y = pdf[pdf["blk"] == lo], pdf[pdf["blk"] == hi]
-        sx, sy = (np.frombuffer(b"".join(d["sig"]), dtype=np.uint16).reshape(len(d), SYMBOLS) for d in (x, y))
         out = []
-        for i in range(len(x)):
-            hit = ((sy != sx[i]).sum(axis=1) <= DISTANCE) & (y["comp"].to_numpy() != x["comp"].iloc[i]) & ((lo != hi) | (np.arange(len(y)) > i))
-            out += [(x["node"].iloc[i], n) for n in y["node"].to_numpy()[hit]]
+        if len(x) and len(y):
+            bx, by, ny, cy, ids = _maps(x["bits"]), _maps(y["bits"]), y["n_shingles"].to_numpy(), y["comp"].to_numpy(), y["node"].to_numpy()
+            for i, (node, comp, n) in enumerate(zip(x["node"], x["comp"], x["n_shingles"], strict=True)):
+                hit = (cy != comp) & ((lo != hi) | (np.arange(len(y)) > i)) & (100 * np.minimum(ny, n) >= percent * np.maximum(ny, n))
+                at = np.flatnonzero(hit)
+                near = (100 + percent) * np.bitwise_count(by[at] ^ bx[i]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (ny[at] + n)
+                out += [(node, m) for m in ids[at[near]]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return wide.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
 
 
+def _weighed(index: DataFrame) -> DataFrame:
+    """key, node, w, comp of the keys that several nodes share; w: how many rows a node's keys have in all; comp: itself."""
+    shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = staged(index.join(shared, "key"), "members")
+    weight = members.groupBy("node").agg(F.sum("n").alias("w"))
+    return staged(members.join(weight, "node").select("key", "node", "w", F.col("node").alias("comp")), "weighed")
+
+
+def _rare(open_: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """(key, node): each open node's rarest shingles, so many that two linked nodes have one in common."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for node, text in zip(pdf["node"], pdf["text"], strict=True):
+                s = shingle_set(text, size)
+                yield pd.DataFrame({"node": node, "n": len(s), "key": s.view(np.int64)})
+
+    each = staged(open_.join(texts, "node").select("node", "text").mapInPandas(cut, "node long, n long, key long"), "shingles")
+    counted = each.join(each.groupBy("key").agg(F.count("*").alias("c")), "key")
+    rank = F.row_number().over(W.partitionBy("node").orderBy("c", "key"))
+    return counted.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("c > 1").select("key", "node")
+
+
 def components(nodes: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """(node, comp) of the nodes that are linked with another. nodes: node, n_shingles, sig; texts: node, text."""
+    """(node, comp) of the nodes that are linked with another. nodes: node, n_shingles, sig, bits; texts: node, text."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -155,26 +198,26 @@ def components(nodes: DataFrame, texts: DataFrame, percent: int, size: int) -> D
                 k = chunk_keys(np.frombuffer(b"".join(part["sig"]), dtype=np.uint16).reshape(len(part), SYMBOLS))
                 yield pd.DataFrame({"key": k.view(np.int64).ravel(), "node": np.repeat(part["node"].to_numpy(), SYMBOLS)})
 
-    spark = nodes.sparkSession
     index = nodes.select("node", "sig").mapInPandas(keys, "key long, node long")
-    shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = staged(index.join(shared, "key"), "members")  # key, node, n
-    weight = members.groupBy("node").agg(F.sum("n").alias("w"))
-    members = staged(members.join(weight, "node").select("key", "node", "w", F.col("node").alias("comp")), "weighed")
-    edges = spark.createDataFrame([], "a long, b long")
+    members = _weighed(index)
+    edges = nodes.sparkSession.createDataFrame([], "a long, b long")
     comps = None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS + RARE_ROUNDS + 1):
         if members.isEmpty():
             break
+        if turn == STAR_ROUNDS:
+            members = _weighed(_rare(members.select("node").distinct(), texts, percent, size))
+            comp = comps.select("node", F.col("component").alias("_comp"))
+            members = members.join(comp, "node", "left").withColumn("comp", F.coalesce("_comp", "comp")).drop("_comp")
         stats = members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("w", "node", "comp")).alias("best"))
         with_best = members.join(stats, "key")
         few = _listed(with_best.where(F.col("n") <= SMALL_BUCKET).select("key", "node", "comp"))
         large = with_best.where(F.col("n") > SMALL_BUCKET)
-        if turn < STAR_ROUNDS:
+        if turn < STAR_ROUNDS + RARE_ROUNDS:
             many = large.where("comp <> best.comp").select(F.col("best.node").alias("a"), F.col("node").alias("b"))
             members = large.where("node <> best.node").select("key", "node", "w")
         else:
-            many = _blocked(large.select("key", "node", "comp"), nodes)
+            many = _blocked(large.select("key", "node", "comp"), nodes, percent)
             members = large.limit(0).select("key", "node", "w")
         pairs = few.union(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = staged(_close(pairs, nodes, percent), "pairs")
@@ -197,11 +240,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
     """
     rows = staged(signatures(docs, size), "signatures")
     by_id = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(by_id).alias("at"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
-    nodes = staged(nodes.select("node", "n_shingles", "sig", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash")), "nodes")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(by_id).alias("at"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"), F.min("bits").alias("bits"))
+    nodes = staged(nodes.select("node", "n_shingles", "sig", "bits", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash")), "nodes")
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     texts = nodes.select("node", "at_id", "at_hash").join(source, F.col("at_id").eqNullSafe(F.col("doc_id")) & (F.col("at_hash") == F.col("text_hash"))).select("node", "text").dropDuplicates(["node"])
-    comps = components(nodes.select("node", "n_shingles", "sig"), texts, percent, size)
+    comps = components(nodes.select("node", "n_shingles", "sig", "bits"), texts, percent, size)
     linked = nodes.select("node", "at_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = linked.groupBy("comp").agg(F.min("at_id").alias("component_id"))
     named = linked.join(first, "comp").select("node", "component_id")
