@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.staging import table
 
 BITS = 20
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 6.0, 1.0
 THRESHOLD = 0.7
