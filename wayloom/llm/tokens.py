@@ -26,6 +26,8 @@ _PLAIN = re.compile(r"([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0
 _KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: The byte-level alphabet: bytes that print are themselves, the others follow from U+0100 on.
 _ALPHABET = {b: chr(b) for b in _KEPT} | {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in set(_KEPT))}
+#: White space to Python's split, but characters of words to a tokenizer.
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: Longer runs of white space are one token of a byte-level pattern, so chunks would cut it.
 _LONG_SPACE = re.compile(r"\s\s(?:\s|\Z)")
 
@@ -111,7 +113,10 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not (self.leads or self.drops):
             return self._ids(texts)
-        parts: list[list[str] | None] = [None if self.leads and _LONG_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
+        if self.leads:
+            parts: list[list[str] | None] = [None if _LONG_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
+        else:
+            parts = [_CHUNK.findall(t) if _SEPARATORS.search(t) else t.split() for t in texts]
         if len(self.cache) > self.limit:
             self.old, self.cache = self.cache, {}
         cache, old = self.cache, self.old
