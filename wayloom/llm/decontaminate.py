@@ -39,24 +39,21 @@ def template(text: Column) -> Column:
     marked = F.regexp_replace(numbered, rf"(?i)(\u0002\S++ )({_UNIT})(?![\p{{L}}\p{{N}}])", "$1\u0003$2")
     # Inside a number its signs stay; elsewhere what is no letter, digit or mark parts words or goes.
     bare = F.regexp_replace(marked, r"[^\p{L}\p{N}\p{M}\s\u0001-\u0003'’.,:$€£%°\/+-]++|(?<![0-9$€£])[.,:$€£\/+](?![0-9])|(?<=[0-9%°])[.,:\/+-]++(?![0-9])", " ")
-    words = F.filter(F.split(F.lower(bare), r"[\s]+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "") != "")
+    # Lower case is made word by word: on a whole text with letters beyond ASCII it costs more than all of the above.
+    words = F.filter(F.transform(F.split(bare, r"\s+"), lambda w: F.lower(w)), lambda w: F.rlike(w, F.lit(r"[\p{L}\p{N}]")))
     first = lambda w: F.substring(w, 1, 1)
-    slot = lambda w: first(w).isin("\u0001", "\u0002", "\u0003")
-    kind = lambda w: F.when(first(w) == "\u0001", F.lit("<name>")).when(first(w) == "\u0002", F.lit("<number>")).when(first(w) == "\u0003", F.lit("<unit>")).otherwise(F.translate(w, "'’.,:$€£%°/+-", ""))
+    slot = lambda w: w < "\u0004"
+    kind = lambda w: F.when(~slot(w), F.translate(w, "'’.,:$€£%°/+-", "")).when(first(w) == "\u0001", F.lit("<name>")).when(first(w) == "\u0002", F.lit("<number>")).otherwise(F.lit("<unit>"))
     return F.transform(words, lambda w: F.struct(kind(w).alias("t"), F.when(slot(w), F.translate(w, "\u0001\u0002\u0003", "")).alias("v")))
 
 
 def windows(df: DataFrame, key: list[str]) -> DataFrame:
-    """One row for each window: key, pos (from 0), h, slots (offset in the window and value of each placeholder)."""
-    words = df.select(*key, template(F.col("text")).alias("w")).where(F.size("w") > 0)
-    parts = words.select(*key, F.transform("w", lambda x: x["t"]).alias("t"), F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x["v"].alias("v"))), lambda x: x["v"].isNotNull()).alias("s"))
-    last = F.greatest(F.size("t") - WINDOW, F.lit(0))
-
-    def window(i: Column) -> Column:
-        inside = F.filter("s", lambda x: (x["i"] >= i) & (x["i"] < i + WINDOW))
-        return F.struct(F.xxhash64(F.slice("t", i + 1, WINDOW)).alias("h"), F.when(F.size("s") > 0, F.transform(inside, lambda x: F.struct((x["i"] - i).alias("i"), x["v"].alias("v")))).alias("slots"))
-
-    listed = parts.select(*key, F.posexplode(F.transform(F.sequence(F.lit(0), last), window)).alias("pos", "x"))
+    """One row for each window: key, pos (from 0), h, slots (for each of its words the placeholder's value, or null)."""
+    words = df.select(*key, template(F.col("text")).alias("w"))
+    parts = words.select(*key, F.col("w.t").alias("t"), F.col("w.v").alias("v"))
+    # No filter on the size: pushed below the projection, it would make every template twice.
+    at = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.greatest(F.size("t") - WINDOW, F.lit(0))))
+    listed = parts.select(*key, F.posexplode(F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("t", i + 1, WINDOW)).alias("h"), F.slice("v", i + 1, WINDOW).alias("slots")))).alias("pos", "x"))
     return listed.select(*key, "pos", F.col("x.h").alias("h"), F.col("x.slots").alias("slots"))
 
 
@@ -74,8 +71,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shift = F.floor((F.col("pos") - F.col("ipos")) / SLACK)
     aligned = hits.select("row", "item_id", "pos", "ipos", "slots", "islots", F.explode(F.array(shift, shift + 1)).alias("line"))
     lines = aligned.groupBy("row", "item_id", "line").agg(F.countDistinct("ipos").alias("n_matched")).join(totals, "item_id").where(F.col("n_matched") >= COVERAGE * F.col("n_windows"))
-    pairs = aligned.where("slots IS NOT NULL").join(lines.select("row", "item_id", "line"), ["row", "item_id", "line"], "left_semi")
-    pairs = pairs.select("row", "item_id", "line", F.explode(F.arrays_zip("slots", "islots")).alias("z")).select("row", "item_id", "line", F.col("z.slots.v").alias("mine"), F.col("z.islots.v").alias("theirs")).distinct()
+    pairs = aligned.where(F.exists("slots", lambda v: v.isNotNull())).join(lines.select("row", "item_id", "line"), ["row", "item_id", "line"], "left_semi")
+    pairs = pairs.select("row", "item_id", "line", F.explode(F.arrays_zip("slots", "islots")).alias("z")).select("row", "item_id", "line", F.col("z.slots").alias("mine"), F.col("z.islots").alias("theirs")).where("mine IS NOT NULL").distinct()
     per_theirs = pairs.groupBy("row", "item_id", "line", "theirs").agg(F.count("*").alias("n"), F.max(F.col("mine") != F.col("theirs")).alias("other"))
     per_mine = pairs.groupBy("row", "item_id", "line", "mine").agg(F.count("*").alias("n"), F.lit(False).alias("other"))
     cols = ["row", "item_id", "line", "n", "other"]
