@@ -141,7 +141,9 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     wanted = joint.select("term").distinct()
     n_terms = wanted.count()
     if n_terms:
-        words = source.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
+        # Lower case is made term by term: on a whole text with letters beyond ASCII it is far slower.
+        split = F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))
+        words = source.select(F.explode(F.array_distinct(F.transform(split, lambda w: F.lower(w)))).alias("term"))
         counted = words.join(F.broadcast(wanted) if n_terms <= BROADCAST_TERMS else wanted, "term", "left_semi")
         df = counted.groupBy("term").agg(F.count("*").alias("df"))
     else:
