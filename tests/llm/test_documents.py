@@ -140,6 +140,19 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in dc.decontaminate(docs(spark, rows), bench.limit(0)).collect())
 
 
+def test_decontamination_of_repeated_slots(spark):
+    head, tail = "which of the numbers below in our little series ", " comes right before the one that ends it"
+    runs = ["2, 4, 6, 8, 10, 12, 14", "we met Alice, Bob, Carol, Dave, Erin, Frank", "find 3 x 4 x 5 x 6 x 7"]
+    items = [*(head + r + tail for r in runs), runs[0] + ", 16, 18, 20"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    other = head + "3, 5, 7, 9, 11, 13, 15" + tail
+    added = items[0].replace("our little", "our very little")
+    rows = [*((i, "well then " + t) for i, t in enumerate(items)), (10, other), (11, head + "5, 4, 5, 8, 10, 4, 14" + tail), (12, "or so " + added)]
+    got = {r.doc_id: (r.n_exact, r.n_reparameterised) for r in dc.decontaminate(docs(spark, rows), bench.where("item_id < 3")).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 0), 3: (0, 0), 10: (0, 1), 11: (0, 0), 12: (1, 0)}
+    assert [r.n_exact for r in dc.decontaminate(docs(spark, [(3, items[3])]), bench.where("item_id = 3")).collect()] == [1]
+
+
 def test_decontamination_finds_whole_passages(spark):
     bare = lambda t: f" {' '.join(re.findall(r'\w+', (t or '').lower()))} "
     items = [bare(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

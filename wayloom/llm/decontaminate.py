@@ -9,7 +9,7 @@ COVERAGE of the item's windows and its slots are consistent; equal slots are a c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.staging import staged, table
 
@@ -17,6 +17,8 @@ WINDOW = 5
 COVERAGE = 0.8
 #: An alignment may shift by this many words in all (a word added or left out on the way).
 SLACK = 4
+#: One way to lay an item on a document.
+ALIGNMENT = ["row", "item_id", "way", "at"]
 #: Benchmark windows up to this many (16 bytes and the slots each) go to every task; more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 
@@ -71,16 +73,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shift = F.floor((F.col("pos") - F.col("ipos")) / SLACK)
     aligned = hits.select("row", "item_id", "pos", "ipos", "slots", "islots", F.explode(F.array(shift, shift + 1)).alias("line"))
     lines = aligned.groupBy("row", "item_id", "line").agg(F.countDistinct("ipos").alias("n_matched")).join(totals, "item_id").where(F.col("n_matched") >= COVERAGE * F.col("n_windows"))
-    pairs = aligned.where(F.exists("slots", lambda v: v.isNotNull())).join(lines.select("row", "item_id", "line"), ["row", "item_id", "line"], "left_semi")
-    pairs = pairs.select("row", "item_id", "line", F.explode(F.arrays_zip("slots", "islots")).alias("z")).select("row", "item_id", "line", F.col("z.slots").alias("mine"), F.col("z.islots").alias("theirs")).where("mine IS NOT NULL").distinct()
-    per_theirs = pairs.groupBy("row", "item_id", "line", "theirs").agg(F.count("*").alias("n"), F.max(F.col("mine") != F.col("theirs")).alias("other"))
-    per_mine = pairs.groupBy("row", "item_id", "line", "mine").agg(F.count("*").alias("n"), F.lit(False).alias("other"))
-    cols = ["row", "item_id", "line", "n", "other"]
-    clash = per_theirs.select(cols).union(per_mine.select(cols)).groupBy("row", "item_id", "line").agg(F.max("n").alias("n"), F.max("other").alias("other"))
-    judged = lines.join(clash, ["row", "item_id", "line"], "left").where(F.coalesce("n", F.lit(1)) == 1)
+    near = staged(aligned.join(lines.select("row", "item_id", "line"), ["row", "item_id", "line"], "left_semi").distinct(), "near")
+    taken = _one_to_one(near)
+    lines = taken.groupBy(*ALIGNMENT).agg(F.countDistinct("ipos").alias("n_matched")).join(totals, "item_id").where(F.col("n_matched") >= COVERAGE * F.col("n_windows"))
+    pairs = taken.where(F.exists("slots", lambda v: v.isNotNull()))
+    pairs = pairs.select(*ALIGNMENT, F.explode(F.arrays_zip("slots", "islots")).alias("z")).select(*ALIGNMENT, F.col("z.slots").alias("mine"), F.col("z.islots").alias("theirs")).where("mine IS NOT NULL").distinct()
+    per_theirs = pairs.groupBy(*ALIGNMENT, "theirs").agg(F.count("*").alias("n"), F.max(F.col("mine") != F.col("theirs")).alias("other"))
+    per_mine = pairs.groupBy(*ALIGNMENT, "mine").agg(F.count("*").alias("n"), F.lit(False).alias("other"))
+    cols = [*ALIGNMENT, "n", "other"]
+    clash = per_theirs.select(cols).union(per_mine.select(cols)).groupBy(*ALIGNMENT).agg(F.max("n").alias("n"), F.max("other").alias("other"))
+    judged = lines.join(clash, ALIGNMENT, "left").where(F.coalesce("n", F.lit(1)) == 1)
     return judged.groupBy("row", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_windows").alias("n_windows"), F.max(~F.coalesce("other", F.lit(False))).alias("same_values"))
 
 
+def _one_to_one(near: DataFrame) -> DataFrame:
+    """near's hits by ALIGNMENT, each with one place in the document for a window of the item.
+
+    Where template windows repeat, as in a run of numbers, a window of the item hits at several shifts, and slots of
+    different shifts say nothing of each other. Alignments are each exact shift by itself (way 0), and for texts with a
+    word added or left out three choices among the shifts of a line: equal slots first (1), or the shift of the nearest
+    window before (2) or after (3) that hits only once; then the shift with more windows, and with more equal ones.
+    """
+    item = W.partitionBy("row", "item_id", "line")
+    same = F.col("slots").eqNullSafe(F.col("islots"))
+    at = near.select("row", "item_id", "line", "pos", "ipos", "slots", "islots", (F.col("pos") - F.col("ipos")).alias("shift"), same.cast("int").alias("same"))
+    shifts = W.partitionBy("row", "item_id", "line", "shift")
+    at = at.withColumn("n", F.count("*").over(shifts)).withColumn("n_same", F.sum("same").over(shifts))
+    at = at.withColumn("sure", F.when(F.count("*").over(W.partitionBy("row", "item_id", "line", "ipos")) == 1, F.col("shift")))
+    before = F.last("sure", ignorenulls=True).over(item.orderBy("ipos").rangeBetween(W.unboundedPreceding, 0))
+    after = F.first("sure", ignorenulls=True).over(item.orderBy("ipos").rangeBetween(0, W.unboundedFollowing))
+    first = lambda by: F.struct(by.alias("by"), "n", "n_same", (-F.abs("shift")).alias("small"), "shift")
+    ways = [F.col("same"), F.coalesce(F.col("shift") == before, F.lit(False)).cast("int"), F.coalesce(F.col("shift") == after, F.lit(False)).cast("int")]
+    ranked = at.select("*", *(first(by).alias(f"w{i}") for i, by in enumerate(ways)))
+    best = W.partitionBy("row", "item_id", "line", "ipos")
+    ranked = ranked.select("*", *((F.col(f"w{i}") == F.max(f"w{i}").over(best)).alias(f"is{i}") for i in range(len(ways))))
+    way = F.array(F.struct(F.lit(0).alias("way"), F.col("shift").alias("at")), *(F.when(F.col(f"is{i}"), F.struct(F.lit(i + 1).alias("way"), F.col("line").alias("at"))) for i in range(len(ways))))
+    each = ranked.select("row", "item_id", "ipos", "slots", "islots", F.explode(F.array_compact(way)).alias("a"))
+    return each.select("row", "item_id", F.col("a.way").alias("way"), F.col("a.at").alias("at"), "ipos", "slots", "islots")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_items, n_exact, n_reparameterised, first_item (smallest item_id held or null), contaminated: for every row of documents (doc_id, text).
 
