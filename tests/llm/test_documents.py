@@ -153,6 +153,17 @@ def test_decontamination_of_repeated_slots(spark):
     assert [r.n_exact for r in dc.decontaminate(docs(spark, [(3, items[3])]), bench.where("item_id = 3")).collect()] == [1]
 
 
+def test_decontamination_of_names_first_in_sentences_and_of_other_space(spark):
+    item = "Tom has 5 apples. Tom gives 2 apples to Mary. Then 'Tom' buys 3 more apples. How many apples does Tom have now?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    swap = item.replace("Tom", "Sam").replace("Mary", "Lucy").replace("5", "9").replace("3", "4")
+    wrapped = item.replace("to Mary", "to\nMary").replace("does Tom", "does\n  Tom").replace("Tom has", "Tom\thas")
+    torn = swap.replace("Sam gives", "Bob gives")
+    rows = [(1, swap), (2, "Read this:\n" + wrapped), (3, item.replace("buys", "gets")), (4, torn), (5, item.replace("buys", "gets").replace("many", "few").replace("gives", "hands"))]
+    got = {r.doc_id: (r.n_exact, r.n_reparameterised) for r in dc.decontaminate(docs(spark, rows), bench).collect()}
+    assert got == {1: (0, 1), 2: (1, 0), 3: (1, 0), 4: (0, 0), 5: (0, 0)}
+
+
 def test_decontamination_finds_whole_passages(spark):
     bare = lambda t: f" {' '.join(re.findall(r'\w+', (t or '').lower()))} "
     items = [bare(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

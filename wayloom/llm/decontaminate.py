@@ -1,10 +1,10 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, names (capitalised words inside a sentence) and units become typed placeholders; the other words are in lower
-case without punctuation. Windows of WINDOW template words are hashed and joined with the benchmark's. The values under
-the placeholders are slots: along one alignment of a document with an item, a slot value of the item must always stand
-for the same value of the document and the other way round. A document holds an item if an alignment covers at least
-COVERAGE of the item's windows and its slots are consistent; equal slots are a copy, others a re-parameterised question.
+Numbers, names (capitalised words other than PLAIN) and units become typed placeholders; the other words are in lower
+case without punctuation. White space of any kind and length parts words alike. Windows of WINDOW template words are
+hashed and joined with the benchmark's. The values under the placeholders are slots: along one alignment of a document with an item, a slot value of the item must always stand
+for the same value of the document and the other way round. A document holds an item if an alignment's windows cover at
+least COVERAGE of the item's words and its slots are consistent; equal slots are a copy, others a re-parameterised question.
 """
 
 from __future__ import annotations
@@ -24,7 +24,10 @@ BROADCAST_WINDOWS = 500_000
 
 # Units, as written after a number.
 UNITS = "km cm mm kg mg ml ms mph kmh km/h kwh mb gb tb hz khz mhz m g l s h min sec hours hour days day weeks week months month years year minutes minute seconds second miles mile meters metres meter metre feet foot inches inch pounds pound dollars dollar euros euro cents percent degrees liters litres liter litre grams gram kilograms kilometers kilometres usd eur".split()
+# Fixed words that begin sentences and are no names, capitalised or not; any other capitalised word is one wherever it stands.
+PLAIN = "The This That These Those An All Any Both Each Every Either Neither No Some Many Much Most More Several Such Other Another One Two Three He She It We You They His Her Its Our Your Their There Here Who Whom Whose What Which When Where Why How If Unless Until While Whereas Although Though Because Since So Then Thus Hence Therefore However But And Or Nor Not Yet As At By For From In Into Of Off On Onto Out Over Under Up Down To With Within Without About Above After Again Against Before Below Between During Through Also Once Now Later Next Finally First Second Third Is Are Was Were Be Been Do Does Did Has Have Had Can Could May Might Must Shall Should Will Would Let Given Suppose Assume Consider Find Calculate Compute Determine Solve Show Prove Explain Give Name Choose Select Answer Write Please Only Even Still Just Than Der Die Das Den Dem Ein Eine Und Oder Wenn Wie Was Wer Wo Warum Ist Sind Er Sie Es Wir Ihr Im Mit Von Zu Auf Für Nach Le La Les Un Une Des Du De Et Ou Si Qui Que Quel Quelle Comment Il Elle Ils Elles Nous Vous On Dans Pour Avec Par Sur El Los Las Una Uno Unos Unas Del Y Con Por Para En Se Su Sus Qué Cuál Cómo Cuando Cuántos Cuántas".split()
 
+_PLAIN = "|".join(dict.fromkeys(w for w in PLAIN if len(w) > 1))
 _UNIT = "|".join(sorted((u.replace("/", "\\/") for u in UNITS), key=len, reverse=True))
 _NUMBER = r"[-+]?[$€£]?[0-9]++(?:[.,:\/][0-9]++)*+[%°€$]?"
 
@@ -34,19 +37,19 @@ def template(text: Column) -> Column:
 
     A null text has no words. Words that are only punctuation do not count.
     """
-    safe = F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002\u0003", "   ")
+    safe = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\u0001-\u0003]++", " ")
     apart = F.regexp_replace(safe, rf"(?<![\p{{L}}\p{{N}}])({_NUMBER})(?=(?:{_UNIT})(?![\p{{L}}\p{{N}}]))", "$1 ")
-    named = F.regexp_replace(apart, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}++)(?!\p{Lu})", "\u0001$1")
+    named = F.regexp_replace(apart, rf"(?<![\p{{L}}\p{{N}}\p{{M}}])(?<![\p{{L}}\p{{N}}\p{{M}}]['’-])(?!(?:{_PLAIN})(?!\p{{L}}))(\p{{Lu}}\p{{Ll}}++)(?!\p{{Lu}})", "\u0001$1")
     numbered = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}\u0001])({_NUMBER})(?![\p{{L}}\p{{N}}])", "\u0002$1")
     marked = F.regexp_replace(numbered, rf"(?i)(\u0002\S++ )({_UNIT})(?![\p{{L}}\p{{N}}])", "$1\u0003$2")
-    # Inside a number its signs stay; elsewhere what is no letter, digit or mark parts words or goes.
-    bare = F.regexp_replace(marked, r"[^\p{L}\p{N}\p{M}\s\u0001-\u0003'’.,:$€£%°\/+-]++|(?<![0-9$€£])[.,:$€£\/+](?![0-9])|(?<=[0-9%°])[.,:\/+-]++(?![0-9])", " ")
+    # Quotation marks before a placeholder go. Inside a number its signs stay; elsewhere what is no letter, digit or mark parts words or goes.
+    bare = F.regexp_replace(marked, r"[^\p{L}\p{N}\p{M}\s\u0001-\u0003'’.,:$€£%°\/+-]++|(?<![0-9$€£])[.,:$€£\/+](?![0-9])|(?<=[0-9%°])[.,:\/+-]++(?![0-9])|(?<![\p{L}\p{N}\p{M}])['’-]++(?=[\u0001\u0002])", " ")
     # Lower case is made word by word: on a whole text with letters beyond ASCII it costs more than all of the above.
     words = F.filter(F.transform(F.split(bare, r"\s+"), lambda w: F.lower(w)), lambda w: F.rlike(w, F.lit(r"[\p{L}\p{N}]")))
     first = lambda w: F.substring(w, 1, 1)
     slot = lambda w: w < "\u0004"
     kind = lambda w: F.when(~slot(w), F.translate(w, "'’.,:$€£%°/+-", "")).when(first(w) == "\u0001", F.lit("<name>")).when(first(w) == "\u0002", F.lit("<number>")).otherwise(F.lit("<unit>"))
-    return F.transform(words, lambda w: F.struct(kind(w).alias("t"), F.when(slot(w), F.translate(w, "\u0001\u0002\u0003", "")).alias("v")))
+    return F.transform(words, lambda w: F.struct(kind(w).alias("t"), F.when(slot(w), F.translate(w, "\u0001\u0002\u0003'’", "")).alias("v")))
 
 
 def windows(df: DataFrame, key: list[str]) -> DataFrame:
@@ -60,9 +63,9 @@ def windows(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(row, item_id, n_matched, n_windows, same_values) for the items that a document holds; row is docs' key column."""
+    """(row, item_id, n_matched, n_words, same_values) for the items that a document holds; row is docs' key column."""
     items = staged(windows(benchmark.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text")), ["item_id"]), "benchmark")
-    totals = items.groupBy("item_id").agg(F.countDistinct("pos").alias("n_windows"))
+    totals = items.groupBy("item_id").agg(F.max(F.col("pos") + F.size("slots")).alias("n_words"))
     # A template that several items share is one row of the join until it has met a document.
     asked = items.groupBy("h").agg(F.collect_list(F.struct("item_id", F.col("pos").alias("ipos"), F.col("slots").alias("islots"))).alias("at"))
     if items.count() <= BROADCAST_WINDOWS:
@@ -72,10 +75,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Alignments: the item's place in the document, in steps of SLACK, each hit in the two steps around it.
     shift = F.floor((F.col("pos") - F.col("ipos")) / SLACK)
     aligned = hits.select("row", "item_id", "pos", "ipos", "slots", "islots", F.explode(F.array(shift, shift + 1)).alias("line"))
-    lines = aligned.groupBy("row", "item_id", "line").agg(F.countDistinct("ipos").alias("n_matched")).join(totals, "item_id").where(F.col("n_matched") >= COVERAGE * F.col("n_windows"))
+    lines = _covering(aligned, ["row", "item_id", "line"], totals)
     near = staged(aligned.join(lines.select("row", "item_id", "line"), ["row", "item_id", "line"], "left_semi").distinct(), "near")
     taken = _one_to_one(near)
-    lines = taken.groupBy(*ALIGNMENT).agg(F.countDistinct("ipos").alias("n_matched")).join(totals, "item_id").where(F.col("n_matched") >= COVERAGE * F.col("n_windows"))
+    lines = _covering(taken, ALIGNMENT, totals)
     pairs = taken.where(F.exists("slots", lambda v: v.isNotNull()))
     pairs = pairs.select(*ALIGNMENT, F.explode(F.arrays_zip("slots", "islots")).alias("z")).select(*ALIGNMENT, F.col("z.slots").alias("mine"), F.col("z.islots").alias("theirs")).where("mine IS NOT NULL").distinct()
     per_theirs = pairs.groupBy(*ALIGNMENT, "theirs").agg(F.count("*").alias("n"), F.max(F.col("mine") != F.col("theirs")).alias("other"))
@@ -83,7 +86,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     cols = [*ALIGNMENT, "n", "other"]
     clash = per_theirs.select(cols).union(per_mine.select(cols)).groupBy(*ALIGNMENT).agg(F.max("n").alias("n"), F.max("other").alias("other"))
     judged = lines.join(clash, ALIGNMENT, "left").where(F.coalesce("n", F.lit(1)) == 1)
-    return judged.groupBy("row", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_windows").alias("n_windows"), F.max(~F.coalesce("other", F.lit(False))).alias("same_values"))
+    return judged.groupBy("row", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_words").alias("n_words"), F.max(~F.coalesce("other", F.lit(False))).alias("same_values"))
+
+
+def _covering(hits: DataFrame, by: list[str], totals: DataFrame) -> DataFrame:
+    """The alignments (by) whose windows cover enough of the item, with n_matched, its words that they cover."""
+    starts = hits.groupBy(*by).agg(F.sort_array(F.collect_set("ipos")).alias("i"), F.max(F.size("slots")).alias("w"))
+    covered = F.aggregate("i", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, i: F.struct((a["n"] + F.col("w") - F.greatest(a["end"] - i, F.lit(0))).alias("n"), (i + F.col("w")).alias("end")), lambda a: a["n"])
+    return starts.select(*by, covered.alias("n_matched")).join(totals, "item_id").where(F.col("n_matched") >= COVERAGE * F.col("n_words"))
 
 
 def _one_to_one(near: DataFrame) -> DataFrame:
