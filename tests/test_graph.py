@@ -9,6 +9,7 @@ from wayloom.functions import geo
 from wayloom.operators import areas, routing, search, streets, topology as topo
 from wayloom.operators.components import connected_components
 from wayloom.operators.rings import fit_circles
+from wayloom.plans import registry
 from wayloom.sources import osm
 
 VERTICES = "way_id long, seq long, x_e7 long, y_e7 long"
@@ -78,6 +79,16 @@ def test_routes_and_orders(spark):
     assert got[0].cost == pytest.approx(4.0)
 
 
+def test_queries_read_whole_tables(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 150, 1), (150, 201, 1), (201, 100, 1), (1, 100, 9), (121, 190, 2), (100, 300, 1)], "src long, dst long, seconds long")
+    points = spark.createDataFrame([(w, round(10**7 * math.cos(a)), round(10**7 * math.sin(a))) for w in (1, 41) for a in range(4)], "way_id long, x_e7 long, y_e7 long")
+    places = spark.createDataFrame([(i, 100 * i, i * i) for i in range(1, 17)], "id long, lon_e7 long, lat_e7 long")
+    monkeypatch.setattr(registry, "view", lambda s, d, name: {"road_edges": edges, "way_vertices": points, "places": places}[name])
+    assert [r.node for r in registry.QUERIES["route_paths"](spark, "").where("request = 1").orderBy("step").collect()] == [1, 150, 201, 100]
+    assert {r.way_id for r in registry.QUERIES["ring_fit"](spark, "").select("way_id").distinct().collect()} == {1, 41}
+    assert sorted(r.stop for r in registry.QUERIES["stop_order"](spark, "").collect()) == list(range(1, 17))
+
+
 def test_ring_is_a_circle(spark):
     pts = [(1, 10 + 5 * math.cos(a / 7), 20 + 5 * math.sin(a / 7)) for a in range(30)]
     r = fit_circles(spark.createDataFrame(pts, "k long, x double, y double"), "k").first()

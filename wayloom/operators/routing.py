@@ -2,41 +2,54 @@
 
 from __future__ import annotations
 
-from itertools import permutations
+from itertools import count, permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..plans.staging import staged
 
-MAX_ROUNDS = 500
+#: A route's steps are written together after so many, which bounds the plan.
+TOGETHER = 50
 
 
-def shortest(edges: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
+def _leading(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """The edges to nodes from which a target (node) can be reached: all that ways to the targets can use."""
+    found = staged(targets.select("node", F.lit(True).alias("new")).distinct(), "leading")
+    e = edges.select(F.col("dst").alias("node"), "src")
+    while not (front := found.where("new")).isEmpty():
+        step = front.join(e, "node").select(F.col("src").alias("node"), F.lit(True).alias("new"))
+        found = staged(found.select("node", F.lit(False).alias("new")).union(step).groupBy("node").agg(F.min("new").alias("new")), "leading")
+    return staged(edges.join(found.select(F.col("node").alias("dst")), "dst", "left_semi"), "edges")
+
+
+def shortest(edges: DataFrame, sources: DataFrame, limit: int | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(source, node, seconds, via): least time from each source (at most `limit` seconds), and the node before it.
 
-    Frontier relaxation: each round joins only the nodes that got a better time with their edges; rounds are as many as
-    a shortest path has edges. No adjacency is gathered anywhere.
+    Frontier relaxation: each round joins only the nodes that got a better time with their edges, until none did; rounds
+    are as many as a shortest path has edges. No adjacency is gathered anywhere. Seconds must not be negative. With
+    `targets` (node) only nodes on ways to one of them are searched, each still with its least time.
     """
+    if targets is not None:
+        edges = _leading(edges, targets)
+    if not edges.where("seconds < 0").isEmpty():
+        raise ValueError("seconds must not be negative")
     start = sources.select(F.col("node").alias("source"), "node").distinct()
     best = staged(start.select("source", "node", F.lit(0).cast("long").alias("seconds"), F.lit(None).cast("long").alias("via"), F.lit(True).alias("new")), "reached")
     e = edges.select(F.col("src").alias("node"), "dst", F.col("seconds").alias("cost"))
-    for _ in range(MAX_ROUNDS):
-        front = best.where("new")
-        if front.isEmpty():
-            return best.drop("new")
+    while not (front := best.where("new")).isEmpty():
         step = front.join(e, "node").select("source", F.col("dst").alias("node"), (F.col("seconds") + F.col("cost")).alias("seconds"), F.col("node").alias("via"))
         if limit is not None:
             step = step.where(F.col("seconds") <= limit)
         both = best.select("source", "node", "seconds", "via", F.lit(False).alias("new")).union(step.withColumn("new", F.lit(True)))
         m = both.groupBy("source", "node").agg(F.min(F.struct("seconds", "new", "via")).alias("m"))
         best = staged(m.select("source", "node", "m.seconds", "m.via", "m.new"), "reached")
-    raise RuntimeError("shortest paths are longer than MAX_ROUNDS edges")
+    return best.drop("new")
 
 
 def matrix(edges: DataFrame, sources: DataFrame, targets: DataFrame, limit: int | None = None) -> DataFrame:
     """(source, target, seconds) for every pair; null where there is no way."""
-    reached = shortest(edges, sources, limit).withColumnRenamed("node", "target")
+    reached = shortest(edges, sources, limit, targets).withColumnRenamed("node", "target")
     pairs = sources.select(F.col("node").alias("source")).distinct().crossJoin(targets.select(F.col("node").alias("target")).distinct())
     return pairs.join(reached, ["source", "target"], "left").select("source", "target", "seconds")
 
@@ -49,16 +62,15 @@ def contours(edges: DataFrame, sources: DataFrame, every: int, levels: int) -> D
 
 def routes(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """(request, step, node, seconds) along one shortest route of each request (request, source, target), from the target back by `via`."""
-    reached = staged(shortest(edges, requests.select(F.col("source").alias("node"))), "tree")
+    reached = staged(shortest(edges, requests.select(F.col("source").alias("node")), targets=requests.select(F.col("target").alias("node"))), "tree")
     at = requests.join(reached, (requests["source"] == reached["source"]) & (requests["target"] == reached["node"])).select("request", reached["source"], "node", "seconds", "via")
-    all_, front = staged(at, "route"), None
-    front = all_
-    for _ in range(MAX_ROUNDS):
+    all_ = front = staged(at, "route")
+    for n in count(1):
         front = front.where("via IS NOT NULL").select("request", "source", F.col("via").alias("node")).join(reached, ["source", "node"]).select("request", "source", "node", "seconds", "via")
         front = staged(front, "route")
         if front.isEmpty():
             break
-        all_ = all_.union(front)
+        all_ = all_.union(front) if n % TOGETHER else staged(all_.union(front), "route")
     step = F.row_number().over(W.partitionBy("request").orderBy("seconds", "node")) - 1
     return all_.select("request", step.cast("long").alias("step"), "node", "seconds")
 
