@@ -10,8 +10,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayloom.llm.decontaminate import decontaminate
-from wayloom.llm.near_dup import near_duplicates
+from wayloom.llm.decontaminate import leaks
+from wayloom.llm.near_dup import judged
 from wayloom.llm.packing import pack
 from wayloom.llm.pii import sanitise
 from wayloom.llm.toxicity import THRESHOLD, scored, train
@@ -25,21 +25,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id (of rows with the same id the least text)."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    extra = left.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(F.xxhash64(*docs.columns)).alias("_h"))
-    extra = extra.where("_n > 1").select(F.col("doc_id").alias("_id"), "_h")
+    """One document of each group of near-duplicates: that of the smallest doc_id (of rows with the same id one text), and all rows without words."""
+    key = F.xxhash64("doc_id", F.xxhash64("text"))
+    kept = judged(docs).where("kept").select(F.xxhash64("doc_id", "text_hash").alias("_row"), "comp")
+    one = kept.where("comp IS NOT NULL").groupBy("comp").agg(F.min("_row").alias("_row")).select("_row", F.lit(True).alias("_one"))
+    chosen = one.union(kept.where("comp IS NULL").select("_row", F.lit(False)).distinct())
+    left = staged(docs.withColumn("_row", key).join(chosen, "_row"), "kept")
+    extra = left.where("_one").groupBy("_row").agg(F.count("*").alias("_n"), F.min(F.xxhash64(*docs.columns)).alias("_h")).where("_n > 1").select("_row", "_h")
     if extra.isEmpty():
-        return left
-    marked = left.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return marked.where(F.col("_h").isNull() | (F.xxhash64(*docs.columns) == F.col("_h"))).select(docs.columns).dropDuplicates()
+        return left.select(docs.columns)
+    marked = left.join(extra, "_row", "left")
+    again = marked.where(F.xxhash64(*docs.columns) == F.col("_h")).select(docs.columns).dropDuplicates()
+    return marked.where("_h IS NULL").select(docs.columns).union(again)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    held = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    key = F.xxhash64("doc_id", "text").alias("row")
+    held = leaks(docs.select(key, "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")).select(F.col("row").alias("_row")).distinct()
+    return docs.join(held, F.xxhash64("doc_id", "text") == F.col("_row"), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,3 +95,14 @@ def test_pipeline_stages_take_empty_and_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, df, SF).collect()
     assert collect(corpus_pipeline.STAGES[3][1](spark, docs(spark, [(1, "a@b.c x")]), SF))[1]["text"] == "[EMAIL] x"
+
+
+def test_pipeline_filters_rows_not_ids(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 60").first().text
+    one, two, three = ("north river hills fold under grey rain", "seven small boats left our harbour early", "bakers knead their dough before any sunrise")
+    rows = [(None, one), (None, two), (None, two), (7, three), (7, "plain words that nothing else here repeats"), (8, three), (None, None), (None, None), (9, ""), (9, "")]
+    kept = corpus_pipeline.near_duplicate(spark, docs(spark, rows), SF)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [rows[0], rows[1], rows[3], rows[4], *rows[6:]]))
+    held = [(None, f"so {item} then"), (None, one), (5, two), (5, f"well {item}"), (6, None)]
+    left = corpus_pipeline.decontamination(spark, docs(spark, held), SF)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, [held[1], held[2], held[4]]))

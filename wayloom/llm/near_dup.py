@@ -230,14 +230,8 @@ def components(nodes: DataFrame, texts: DataFrame, percent: int, size: int) -> D
     return comps.select("node", F.col("component").alias("comp")) if comps is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of documents (doc_id, text).
-
-    Null texts and texts without words have an empty set, link with nothing and are kept. Equal sets are one node
-    from the start, so repeated rows and groups of copies cost one signature. Of a component the row(s) with the
-    smallest doc_id are kept. A null doc_id is no smallest id: such a row is kept only if its component has no id at
-    all. An empty table gives no rows. Columns other than doc_id and text are not read.
-    """
+def judged(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
+    """What near_duplicates() returns, with text_hash and comp: equal for linked rows, null for those that link with nothing for want of words."""
     rows = staged(signatures(docs, size), "signatures")
     by_id = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(by_id).alias("at"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"), F.min("bits").alias("bits"))
@@ -247,10 +241,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
     comps = components(nodes.select("node", "n_shingles", "sig", "bits"), texts, percent, size)
     linked = nodes.select("node", "at_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = linked.groupBy("comp").agg(F.min("at_id").alias("component_id"))
-    named = linked.join(first, "comp").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    named = linked.join(first, "comp").select("node", "component_id", "comp")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash", "comp")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of documents (doc_id, text).
+
+    Null texts and texts without words have an empty set, link with nothing and are kept. Equal sets are one node
+    from the start, so repeated rows and groups of copies cost one signature. Of a component the row(s) with the
+    smallest doc_id are kept. A null doc_id is no smallest id: such a row is kept only if its component has no id at
+    all. An empty table gives no rows. Columns other than doc_id and text are not read.
+    """
+    return judged(docs, percent, size).drop("text_hash", "comp")
 
 
 def op6_minhash_near_dup(spark, sf_dir: str) -> DataFrame:
