@@ -127,6 +127,18 @@ def test_terms_that_reveal_an_entity(spark):
     assert clean[100]["text"] == text[100] and clean[200]["text"] is None and clean[0]["length"] == "clash"
 
 
+def test_terms_far_from_the_entity(spark):
+    gap = lambda i: " ".join(f"g{i}x{k}" for k in range(40))
+    rows = [(i, f"Thornhill begins {i * 7919} {gap(i)} write to owner@manor.org soon {i * 31} {gap(-i)} and THORNHILL ends") for i in range(6)]
+    rows += [(50 + i, f"seen near lakeside {i * 17} a@lake.org by day {gap(60 + i)} then lakeside once more") for i in range(6)]
+    rows += [(100 + i, f"other text {i * 31} soon begins with ends and words about things by day then once more seen near write") for i in range(40)]
+    rows += [(200, "the thornhill of no one")]
+    got, text = collect(pii.detect(docs(spark, rows))), dict(rows)
+    terms = lambda d: [text[d][int(s) : int(e)] for k, s, e in (x.split(":") for x in got[d]["spans"].split(",")) if k == "term"]
+    assert all(terms(d) == ["Thornhill", "THORNHILL"] for d in range(6)) and got[200]["spans"] == ""
+    assert all(terms(d) == ["lakeside", "lakeside"] for d in range(50, 56))
+
+
 def test_decontamination(spark):
     item = "If Mary has 12 apples and gives Tom 5 apples to her friend, how many apples does Mary keep? She had 12 at first."
     bench = spark.createDataFrame([(9, item), (9, item), (10, None), (11, ""), (None, "x")], "item_id long, text string")

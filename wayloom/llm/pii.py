@@ -6,8 +6,10 @@ over the corpus, as a share of the entity's own information,
 
     [log2(n(e, t) / n(e)) + log2(N / df(t))] / log2(N / n(e)),
 
-with n counting different contexts of the entity, df documents with the term and N documents. A term at DISCLOSURE or
-more, seen in MIN_CONTEXTS contexts or more, is a span of kind `term` wherever it stands in a context of that entity.
+with n counting different contexts of the entity, df documents with the term and N documents. A context is what stands
+within CONTEXT_CHARS of a mention, and also the whole document, where documents in which the entity's mentions all read
+the same count once; the larger share holds. A term at DISCLOSURE or more, seen in MIN_CONTEXTS contexts or more, is a
+span of kind `term` wherever it stands in a document that holds the entity.
 Sanitising generalises numbers among them to [NUMBER] and other words to [TERM], and removes a term that alone
 determines the entity (a share of REMOVAL or more).
 """
@@ -40,10 +42,10 @@ _PATTERNS = {
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
 
-def _marked(text: Column, pattern: str, needs: str | None = None) -> Column:
+def _marked(text: Column, pattern: str | Column, needs: str | None = None) -> Column:
     """The matches as an array of (s, e, m): start and end in code points, and the text matched."""
     safe = F.translate(text, _OPEN + _CLOSE, "\u0003\u0003")
-    parts = F.split(F.regexp_replace(safe, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
+    parts = F.split(F.regexp_replace(safe, pattern, F.lit(f"{_OPEN}$0{_CLOSE}")), _OPEN)
     if needs:
         parts = F.when(F.contains(text, F.lit(needs)), parts).otherwise(F.array(F.lit("")))
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
@@ -118,8 +120,31 @@ def found(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", "row", *(F.size(k).cast("long").alias(f"n_{k}") for k in _PATTERNS), base.alias("base"), entities.alias("entities"))
 
 
+def _masked(text: Column, base: Column) -> Column:
+    """The text with blanks in place of its base spans; other positions stay."""
+
+    def add(acc: Column, x: Column) -> Column:
+        at = F.greatest(acc["at"], x["s"])
+        blank = F.concat(acc["out"], F.substring(text, acc["at"] + 1, at - acc["at"]), F.repeat(F.lit(" "), F.greatest(x["e"] - at, F.lit(0))))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), blank.alias("out"))
+
+    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.aggregate(F.array_sort(base), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, end)
+
+
+def _together(holders: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, n_both) and (entity, n_entity) over whole documents. holders: row, entity, context; texts: row, text."""
+    own = holders.groupBy("entity").agg(F.countDistinct("context").alias("n_entity"))
+    # An entity with fewer contexts has no term with enough of them.
+    many = holders.join(own.where(F.col("n_entity") >= MIN_CONTEXTS).select("entity"), "entity", "left_semi")
+    words = F.array_distinct(F.transform(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: F.lower(w)))
+    each = texts.join(many.select("row").distinct(), "row", "left_semi").select("row", F.explode(words).alias("term")).where(F.length("term") >= 3)
+    counted = many.join(each, "row").groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    return counted.where(F.col("n_both") >= MIN_CONTEXTS), own
+
+
 def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(row, s, e, share): the terms near mentions that reveal an entity, with the largest share of its information."""
+    """(row, s, e, share): the terms that reveal an entity of their document, with the largest share of its information."""
     source = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("row"))
     mentions = spans.where(F.size("entities") > 0).select("row", "base", F.explode("entities").alias("m")).dropDuplicates(["row", "m"])
     near = mentions.join(source.dropDuplicates(["row"]), "row")
@@ -135,9 +160,13 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     apart = ~F.exists("base", lambda b: (b["s"] < e) & (b["e"] > s))
     terms = staged(terms.where(whole & apart).select("row", "entity", "context", F.lower("x.m").alias("term"), s.alias("s"), e.alias("e")), "terms")
     joint = terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_CONTEXTS)
-    joint = staged(joint, "joint")
+    held = staged(near.select("row", F.col("m.v").alias("entity"), context.alias("context")).distinct(), "held")
+    own = held.groupBy("entity").agg(F.countDistinct("context").alias("n_entity"))
+    holders = held.groupBy("row", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("context"))).alias("context"))
+    masked = source.dropDuplicates(["row"]).join(spans.where(F.size("entities") > 0).select("row", "base").dropDuplicates(["row"]), "row").select("row", _masked(F.col("text"), F.col("base")).alias("text"))
+    whole_joint, whole_own = _together(holders, masked)
+    joint = staged(joint.join(own, "entity").union(whole_joint.join(whole_own, "entity")), "joint")
     total = docs.count()
-    own = near.select(F.col("m.v").alias("entity"), context.alias("context")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     wanted = joint.select("term").distinct()
     n_terms = wanted.count()
     if n_terms:
@@ -150,8 +179,13 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
         df = wanted.withColumn("df", F.lit(1).cast("long"))
     info = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
     share = F.try_divide(F.log2(F.col("n_both") / F.col("n_entity")) + F.log2(F.lit(float(max(total, 2))) / F.col("df")), info)
-    revealing = joint.join(own, "entity").join(df, "term").where(info > 0).select("entity", "term", share.alias("share")).where(F.col("share") >= DISCLOSURE)
-    return terms.join(revealing, ["entity", "term"]).groupBy("row", "s", "e").agg(F.max("share").alias("share"))
+    revealing = joint.join(df, "term").where(info > 0).select("entity", "term", share.alias("share")).where(F.col("share") >= DISCLOSURE)
+    revealing = staged(revealing.groupBy("entity", "term").agg(F.max("share").alias("share")), "revealing")
+    close = terms.join(revealing, ["entity", "term"]).select("row", "s", "e", "share")
+    sought = holders.join(revealing, "entity").groupBy("row", "term").agg(F.max("share").alias("share")).join(masked, "row")
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), "term", F.lit(r"(?![\p{L}\p{N}])"))
+    anywhere = sought.select("row", "share", F.explode(_marked(F.col("text"), pattern)).alias("x")).select("row", "x.s", "x.e", "share")
+    return close.union(anywhere).groupBy("row", "s", "e").agg(F.max("share").alias("share"))
 
 
 def private_spans(docs: DataFrame) -> DataFrame:
