@@ -1,5 +1,6 @@
 """Hand-made cases for the graph and geometry operators."""
 
+import heapq
 import math
 
 import pytest
@@ -89,6 +90,25 @@ def test_queries_read_whole_tables(spark, monkeypatch):
     assert sorted(r.stop for r in registry.QUERIES["stop_order"](spark, "").collect()) == list(range(1, 17))
 
 
+def test_whole_travel_matrix_has_every_time(spark):
+    sf = "/root/testdata/sf0.001"
+    out = {}
+    for r in registry.view(spark, sf, "road_edges").collect():
+        out.setdefault(r.src, []).append((r.dst, r.seconds))
+    want = {}
+    for source in (1, 121):
+        best, heap = {}, [(0, source)]
+        while heap:
+            d, n = heapq.heappop(heap)
+            if n not in best:
+                best[n] = d
+                for m, c in out.get(n, []):
+                    heapq.heappush(heap, (d + c, m))
+        want |= {(source, t): best.get(t) for t in range(1, 200, 9)}
+    assert {(r.source, r.target): r.seconds for r in registry.QUERIES["travel_matrix_whole"](spark, sf).collect()} == want
+    assert max(filter(None, want.values())) > 30
+
+
 def test_ring_is_a_circle(spark):
     pts = [(1, 10 + 5 * math.cos(a / 7), 20 + 5 * math.sin(a / 7)) for a in range(30)]
     r = fit_circles(spark.createDataFrame(pts, "k long, x double, y double"), "k").first()

@@ -48,7 +48,7 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: int | None = None, tar
 
 
 def matrix(edges: DataFrame, sources: DataFrame, targets: DataFrame, limit: int | None = None) -> DataFrame:
-    """(source, target, seconds) for every pair; null where there is no way."""
+    """(source, target, seconds) for every pair; null where there is no way, or none within `limit` seconds."""
     reached = shortest(edges, sources, limit, targets).withColumnRenamed("node", "target")
     pairs = sources.select(F.col("node").alias("source")).distinct().crossJoin(targets.select(F.col("node").alias("target")).distinct())
     return pairs.join(reached, ["source", "target"], "left").select("source", "target", "seconds")

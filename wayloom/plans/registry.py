@@ -390,6 +390,13 @@ def travel_matrix(spark, sf_dir):
     return routing.matrix(view(spark, sf_dir, "road_edges"), _sources(spark), targets, limit=30)
 
 
+@query()
+def travel_matrix_whole(spark, sf_dir):
+    """travel_matrix without its limit of 30 seconds, which its SQL needs to end."""
+    targets = spark.range(1, 200, 9).select(F.col("id").alias("node"))
+    return routing.matrix(view(spark, sf_dir, "road_edges"), _sources(spark), targets)
+
+
 @query(f"{_REACH} SELECT source, node, seconds, greatest(1, CAST(ceil(seconds / 10.0) AS BIGINT)) AS contour FROM best")
 def isochrone_nodes(spark, sf_dir):
     return routing.contours(view(spark, sf_dir, "road_edges"), _sources(spark), 10, 3)
