@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, names (capitalised words other than PLAIN) and units become typed placeholders; the other words are in lower
+Numbers, names (capitalised words, at a sentence's start other than PLAIN) and units become typed placeholders; the other words are in lower
 case without punctuation. White space of any kind and length parts words alike. Windows of WINDOW template words are
 hashed and joined with the benchmark's. The values under the placeholders are slots: along one alignment of a document with an item, a slot value of the item must always stand
 for the same value of the document and the other way round. A document holds an item if an alignment's windows cover at
@@ -24,7 +24,7 @@ BROADCAST_WINDOWS = 500_000
 
 # Units, as written after a number.
 UNITS = "km cm mm kg mg ml ms mph kmh km/h kwh mb gb tb hz khz mhz m g l s h min sec hours hour days day weeks week months month years year minutes minute seconds second miles mile meters metres meter metre feet foot inches inch pounds pound dollars dollar euros euro cents percent degrees liters litres liter litre grams gram kilograms kilometers kilometres usd eur".split()
-# Fixed words that begin sentences and are no names, capitalised or not; any other capitalised word is one wherever it stands.
+# Fixed words that begin sentences and are no names there; inside a sentence any capitalised word is one.
 PLAIN = "The This That These Those An All Any Both Each Every Either Neither No Some Many Much Most More Several Such Other Another One Two Three He She It We You They His Her Its Our Your Their There Here Who Whom Whose What Which When Where Why How If Unless Until While Whereas Although Though Because Since So Then Thus Hence Therefore However But And Or Nor Not Yet As At By For From In Into Of Off On Onto Out Over Under Up Down To With Within Without About Above After Again Against Before Below Between During Through Also Once Now Later Next Finally First Second Third Is Are Was Were Be Been Do Does Did Has Have Had Can Could May Might Must Shall Should Will Would Let Given Suppose Assume Consider Find Calculate Compute Determine Solve Show Prove Explain Give Name Choose Select Answer Write Please Only Even Still Just Than Der Die Das Den Dem Ein Eine Und Oder Wenn Wie Was Wer Wo Warum Ist Sind Er Sie Es Wir Ihr Im Mit Von Zu Auf Für Nach Le La Les Un Une Des Du De Et Ou Si Qui Que Quel Quelle Comment Il Elle Ils Elles Nous Vous On Dans Pour Avec Par Sur El Los Las Una Uno Unos Unas Del Y Con Por Para En Se Su Sus Qué Cuál Cómo Cuando Cuántos Cuántas".split()
 
 _PLAIN = "|".join(dict.fromkeys(w for w in PLAIN if len(w) > 1))
@@ -39,7 +39,7 @@ def template(text: Column) -> Column:
     """
     safe = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\u0001-\u0003]++", " ")
     apart = F.regexp_replace(safe, rf"(?<![\p{{L}}\p{{N}}])({_NUMBER})(?=(?:{_UNIT})(?![\p{{L}}\p{{N}}]))", "$1 ")
-    named = F.regexp_replace(apart, rf"(?<![\p{{L}}\p{{N}}\p{{M}}])(?<![\p{{L}}\p{{N}}\p{{M}}]['’-])(?!(?:{_PLAIN})(?!\p{{L}}))(\p{{Lu}}\p{{Ll}}++)(?!\p{{Lu}})", "\u0001$1")
+    named = F.regexp_replace(apart, rf"(?:(?<=[\p{{L}}\p{{N}},;] )|(?<![\p{{L}}\p{{N}}\p{{M}}])(?<![\p{{L}}\p{{N}}\p{{M}}]['’-])(?!(?:{_PLAIN})(?!\p{{L}})))(\p{{Lu}}\p{{Ll}}++)(?!\p{{Lu}})", "\u0001$1")
     numbered = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}\u0001])({_NUMBER})(?![\p{{L}}\p{{N}}])", "\u0002$1")
     marked = F.regexp_replace(numbered, rf"(?i)(\u0002\S++ )({_UNIT})(?![\p{{L}}\p{{N}}])", "$1\u0003$2")
     # Quotation marks before a placeholder go. Inside a number its signs stay; elsewhere what is no letter, digit or mark parts words or goes.
