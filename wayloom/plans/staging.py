@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests on one machine) a folder of our own."""
+    """The folder named by spark.checkpoint.dir, which all machines share.
+
+    Only where one machine runs everything may it be unset; a folder of our own is set then. On a cluster that would be
+    another folder on each machine, so there it is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         where = tempfile.mkdtemp(prefix="wayloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -26,7 +32,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     # Shuffle files go once nothing on the JVM refers to their plan; a step that is written is done with its own.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing still to run reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
