@@ -12,91 +12,115 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..plans.staging import staged, table
 from .tokens import encoded, tokenizer_spec
 
-#: Rounds of local search over the underfull classes; each round visits every pair of classes once.
-SEARCH_ROUNDS = 12
-
 Bins = dict[tuple[int, ...], int]  # lengths in falling order -> number of such bins
 
 
 def best_fit(counts: dict[int, int], cap: int) -> Bins:
-    """Opens a bin with the longest piece left and adds the longest that fits, an exact pair where one closes the bin.
+    """Best fit, longest first: each piece goes to the fullest bin that takes it, or opens one.
 
-    Equal bins are made at once: a class takes as many bins as its scarcest length allows.
+    Equal bins are filled at once. A bin that takes a length is then the fullest that may take more of it, so it gets
+    as many as it holds before the next one.
     """
-    left = {k: v for k, v in counts.items() if v > 0}
-    lengths = sorted(left, reverse=True)
-    bins: Bins = {}
-    while lengths:
-        items, room, used = [lengths[0]], cap - lengths[0], Counter([lengths[0]])
-        while room > 0:
-            free = [x for x in lengths if x <= room and left[x] > used[x]]
-            if not free:
-                break
-            pick = [free[0]]
-            if free[0] < room:
-                have = set(free)
-                pair = next(((a, room - a) for a in free if room - a in have and room - a <= a and (a != room - a or left[a] - used[a] > 1)), None)
-                pick = [*pair] if pair else pick
-            items += pick
-            used.update(pick)
-            room -= sum(pick)
-        times = min(left[x] // n for x, n in used.items())
-        bins[key] = bins.get(key := tuple(sorted(items, reverse=True)), 0) + times
-        for x, n in used.items():
-            left[x] -= n * times
-            if not left[x]:
-                del left[x]
-        lengths = [x for x in lengths if x in left]
-    return bins
+    by_fill: dict[int, list[tuple[tuple[int, ...], int]]] = {0: [((), sum(counts.values()))]}
+    for x, n in sorted(((k, v) for k, v in counts.items() if v > 0), reverse=True):
+        while n:
+            fill = max(f for f in by_fill if f <= cap - x)
+            items, bins = by_fill[fill].pop()
+            each = (cap - fill) // x
+            whole, rest = min(bins, n // each), 0
+            if whole < bins:
+                rest = n - whole * each  # less than a bin holds
+            for take, times in ((each, whole), (rest, 1 if rest else 0)):
+                if times:
+                    by_fill.setdefault(fill + take * x, []).append((items + (x,) * take, times))
+            left = bins - whole - (1 if rest else 0)
+            if left:
+                by_fill[fill].append((items, left))
+            elif not by_fill[fill]:
+                del by_fill[fill]
+            n -= whole * each + rest
+    out: Bins = {}
+    for classes in by_fill.values():
+        for items, bins in classes:
+            if items:
+                out[items] = out.get(items, 0) + bins
+    return out
+
+
+def _sums(items: tuple[int, ...]) -> dict[int, tuple[int, ...]]:
+    """One or two of a bin's lengths for each sum that they make; one where it does. A bin of `cap` has few distinct lengths."""
+    has = Counter(items)
+    lengths = sorted(has)
+    out = {x + y: (x, y) for i, x in enumerate(lengths) for y in lengths[i + (has[x] < 2) :]}
+    return out | {x: (x,) for x in lengths}
+
+
+def _mask(sums) -> int:
+    m = 0
+    for s in sums:
+        m |= 1 << s
+    return m
+
+
+@lru_cache(maxsize=100_000)
+def _offers(items: tuple[int, ...]) -> tuple[dict[int, tuple[int, ...]], int, int]:
+    """The sums of one or two lengths, as a map and as bits, and the bits of single lengths."""
+    sums = _sums(items)
+    return sums, _mask(sums), _mask(set(items))
 
 
 def _exchange(a: tuple[int, ...], b: tuple[int, ...], cap: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
     """The change between the fuller bin a and bin b that fills a most: a move, one-for-one or two-for-one; None if none helps."""
-    fill, room, best, gain = sum(a), cap - sum(a), None, 0
-    ones_a, ones_b = sorted(set(a)), sorted(set(b))
-    pairs_b = {(x, y) for i, x in enumerate(b) for y in b[i + 1 :]} if len(b) <= 64 else set()
-    for give, takes in [((), [(y,) for y in ones_b])] + [((x,), [(y,) for y in ones_b] + [*pairs_b]) for x in ones_a]:
-        for take in takes:
-            d = sum(take) - sum(give)
-            if gain < d <= room and fill + d > fill:
-                best, gain = (give, take), d
-    pairs_a = {(x, y) for i, x in enumerate(a) for y in a[i + 1 :]} if len(a) <= 64 else set()
-    for give in pairs_a:
-        for y in ones_b:
-            d = y - sum(give)
-            if gain < d <= room:
-                best, gain = (give, (y,)), d
+    room, best, gain = cap - sum(a), None, 0
+    sums_a, _, _ = _offers(a)
+    _, any_b, ones_b = _offers(b)
+    for given in (0, *sums_a):
+        give = sums_a[given] if given else ()
+        # One for one or two, two for one, and one for nothing.
+        offered = (any_b if len(give) == 1 else ones_b) & ((1 << (given + room + 1)) - 1)
+        taken = offered.bit_length() - 1
+        if taken - given > gain:
+            best, gain = (give, taken), taken - given
+            if gain == room:
+                break
     if best is None:
         return None
+    give, taken = best
+    take = (taken,) if len(give) != 1 or ones_b >> taken & 1 else _offers(b)[0][taken]
     new_a, new_b = Counter(a), Counter(b)
-    new_a.subtract(best[0])
-    new_a.update(best[1])
-    new_b.subtract(best[1])
-    new_b.update(best[0])
+    new_a.subtract(give)
+    new_a.update(take)
+    new_b.subtract(take)
+    new_b.update(give)
     return tuple(sorted(new_a.elements(), reverse=True)), tuple(sorted(new_b.elements(), reverse=True))
 
 
-def local_search(bins: Bins, cap: int, rounds: int = SEARCH_ROUNDS) -> Bins:
-    """Raises the squared fill by exchanges between classes of underfull bins, until none helps, all fit tightly or the rounds end."""
+def local_search(bins: Bins, cap: int) -> Bins:
+    """Raises the squared fill by exchanges between classes of underfull bins, until no exchange helps or no bin can go.
+
+    Every exchange makes the fuller bin fuller, so the squared fill rises each time and the search ends. Equal bins
+    are one class and change together.
+    """
     bins = dict(bins)
     least = -(-sum(sum(k) * n for k, n in bins.items()) // cap)
-    for _ in range(rounds):
-        if sum(bins.values()) <= least:
-            break
+    changed = True
+    while changed and sum(bins.values()) > least:
         changed = False
         under = sorted((k for k in bins if sum(k) < cap), key=lambda k: (-sum(k), k))
         for i, a in enumerate(under):
             for b in reversed(under[i:]):
                 n = min(bins.get(a, 0), bins.get(b, 0)) if a != b else bins.get(a, 0) // 2
-                if n and sum(a) < cap and (new := _exchange(a, b, cap)):
+                if n and (new := _exchange(a, b, cap)):
                     for k in (a, b):
                         bins[k] -= n
                         if not bins[k]:
@@ -107,8 +131,6 @@ def local_search(bins: Bins, cap: int, rounds: int = SEARCH_ROUNDS) -> Bins:
                     changed = True
                 if not bins.get(a):
                     break
-        if not changed:
-            break
     return bins
 
 
@@ -141,19 +163,24 @@ def pieces(docs: DataFrame, spec: str, end_id: int, cap: int) -> DataFrame:
     """Pieces of each row's ids, with `part` and the place among the pieces of that length in the part."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(cap + 1, dtype=np.int64)
-        for pdf in batches:
-            out = []
-            for doc_id, payload in zip(pdf["doc_id"], encoded(spec, pdf["text"], end_id), strict=True):
+        for batch in batches:
+            at, out = [], []
+            for row, payload in enumerate(encoded(spec, batch.column("text").to_pylist(), end_id)):
                 for i, (start, length) in enumerate(cut(len(payload) // 4, cap)):
-                    out.append((doc_id, i, start, length, zlib.crc32(payload[4 * start : 4 * (start + length)]), part, int(seen[length])))
+                    at.append(row)
+                    out.append((i, start, length, zlib.crc32(payload[4 * start : 4 * (start + length)]), part, seen[length]))
                     seen[length] += 1
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+            cols = np.array(out, dtype=np.int64).reshape(-1, 6).T
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            # Ids stay Arrow values: through pandas a null among them would turn large ones into other numbers.
+            ids = batch.column("doc_id").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c).cast(t) for c, t in zip(cols, types, strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, max_tokens: int = 1024) -> DataFrame:
@@ -173,15 +200,16 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, max_tokens: int
     ranks, sequences, offsets = (where[c].to_numpy() for c in ("rank", "sequence", "at"))
     ranked = cut_up.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rank = pdf.pop("rank").to_numpy()
-            i = np.searchsorted(keys, pdf["length"].to_numpy() * (1 << 50) + rank, side="right") - 1
-            yield pdf.assign(sequence_id=sequences[i] + rank - ranks[i], offset=offsets[i])
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank, length = (batch.column(c).to_numpy() for c in ("rank", "length"))
+            i = np.searchsorted(keys, length * (1 << 50) + rank, side="right") - 1
+            kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequences[i] + rank - ranks[i]), pa.array(offsets[i])], [*cols, "sequence_id", "offset"])
 
-    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked.select(*cols, "rank").mapInPandas(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select(*cols, "rank").mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
