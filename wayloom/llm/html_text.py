@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from random import Random
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.staging import table
@@ -361,15 +361,16 @@ def extract(pages: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(model)
     kind = lambda c: pages.schema[c].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                read = [blocks(h) for h in part["html"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                read = [blocks(h) for h in part.column("html").to_pylist()]
                 texts = [" ".join(b[0] for b, p in zip(page, probs, strict=True) if p >= 0.5) for page, probs in zip(read, label(shared.value, read), strict=True)]
-                yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": pd.Series(texts, index=part.index, dtype=object), "n_chars": pd.Series([len(t) for t in texts], index=part.index, dtype="int64")})
+                # Ids stay Arrow values: through pandas a null among them would turn large ones into other numbers.
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind('page_id')}, url {kind('url')}, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind('page_id')}, url {kind('url')}, text string, n_chars long")
 
 
 def op2_recurrent_block_labeller(spark, sf_dir: str) -> DataFrame:

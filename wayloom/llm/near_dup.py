@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..operators.components import connected_components
@@ -85,19 +86,21 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, text_hash, n_shingles, node, sig, bits): node is a hash of the whole set, so equal sets are one node; null without words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for text in pdf["text"]:
+            for text in batch.column("text").to_pylist():
                 s = shingle_set(text, size)
                 node = int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None
                 out.append((len(s), node, signature(s).tobytes() if len(s) else None, bit_map(s) if len(s) else None))
-            n, nodes, sigs, maps = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "n_shingles": pd.Series(n, dtype="int64", index=pdf.index), "node": pd.array(nodes, dtype="Int64"), "sig": pd.Series(sigs, dtype=object, index=pdf.index), "bits": pd.Series(maps, dtype=object, index=pdf.index)})
+            cols = zip(*out, strict=True) if out else ((), (), (), ())
+            made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+            # Ids stay Arrow values: through pandas a null among them would turn large ones into other numbers.
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], ["doc_id", "text_hash", "n_shingles", "node", "sig", "bits"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(run, f"doc_id {kind}, text_hash long, n_shingles long, node long, sig binary, bits binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, node long, sig binary, bits binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
