@@ -11,9 +11,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..plans.staging import staged, table
@@ -22,6 +24,8 @@ from .tokens import encoded, encoder, tokenizer_spec
 #: Bytes of ids in a block, and keys in a bucket of the index: both bound what a task holds.
 BLOCK_BYTES = 1 << 20
 BUCKET_KEYS = 100_000
+#: Lookups that ask for so many buckets or blocks at most read no others.
+FEW_PLACES = 200
 #: Bits per key in the first level.
 GAMMA = 2.0
 
@@ -46,25 +50,33 @@ class MinimalPerfectHash:
             base += int(bits.sum())
         self.size = base
 
+    @staticmethod
+    def _at(keys: np.ndarray, other: np.ndarray, level: int, size: int) -> np.ndarray:
+        return (_mix(keys ^ _mix(other, level + (1 << 16)), level) % np.uint64(size)).astype(np.int64)
+
     @classmethod
-    def build(cls, keys: np.ndarray) -> MinimalPerfectHash:
+    def build(cls, keys: np.ndarray, other: np.ndarray | None = None) -> MinimalPerfectHash:
+        """other: a second hash of each key, which tells keys of the same first hash apart."""
+        other = np.zeros_like(keys) if other is None else other
         levels = []
         while len(keys):
             size = max(64, int(GAMMA * len(keys)))
-            at = (_mix(keys, len(levels)) % np.uint64(size)).astype(np.int64)
+            at = cls._at(keys, other, len(levels), size)
             hits = np.bincount(at, minlength=size)
             levels.append((hits == 1).astype(np.int64))
-            keys = keys[hits[at] > 1]
+            again = hits[at] > 1
+            keys, other = keys[again], other[again]
             if len(levels) > 200:
-                raise ValueError("two keys have the same 64-bit hash")
+                raise ValueError("two keys have the same two 64-bit hashes")
         return cls(levels)
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
+    def __call__(self, keys: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
         """The slot of each key, -1 where no level has it (a key that was not built in can also get some slot)."""
+        other = np.zeros_like(keys) if other is None else other
         out = np.full(len(keys), -1, dtype=np.int64)
         open_ = np.arange(len(keys))
         for i, bits in enumerate(self.levels):
-            at = (_mix(keys[open_], i) % np.uint64(len(bits))).astype(np.int64)
+            at = self._at(keys[open_], other[open_], i, len(bits))
             hit = bits[at] == 1
             out[open_[hit]] = self.ranks[i][at[hit]]
             open_ = open_[~hit]
@@ -92,6 +104,23 @@ def fingerprint(h: np.ndarray) -> np.ndarray:
     return (_mix(h, 1 << 20) >> np.uint64(32)).astype(np.uint32)
 
 
+def _hashed(df: DataFrame) -> DataFrame:
+    """df with h and g, two hashes of its column key."""
+    return df.withColumn("h", F.xxhash64("key", F.col("key").isNull())).withColumn("g", F.xxhash64(F.lit("g"), "key", F.col("key").isNull()))
+
+
+def _unsigned(column) -> np.ndarray:
+    return np.asarray(column).astype(np.int64).view(np.uint64)
+
+
+def _only(df: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """df, read only where asked has its `by` if those are few: the scan then skips all other files and row groups."""
+    wanted = asked.select(by).distinct().limit(FEW_PLACES + 1).collect()
+    if len(wanted) > FEW_PLACES:
+        return df
+    return df.where(reduce(lambda c, x: c | x, (reduce(lambda c, x: c & x, (F.col(k) == r[k] for k in by)) for r in wanted), F.lit(False)))
+
+
 @dataclass
 class IdStore:
     blocks: DataFrame  # shard, block, n_ids, payload, keys, rows
@@ -112,27 +141,30 @@ class IdStore:
         key_type = docs.schema["doc_id"].dataType.simpleString()
         dtype = f"<u{width}"
 
-        def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            shard, block = TaskContext.get().partitionId(), 0
-            keys: list = []
+            shard, block, size = TaskContext.get().partitionId(), 0, 0
+            keys: list[pa.Array] = []
             lens: list[int] = []
             parts: list[bytes] = []
-            size = 0
-
-            def full() -> pd.DataFrame:
-                return pd.DataFrame({"shard": [shard], "block": [block], "n_ids": [sum(lens)], "payload": [b"".join(parts)], "keys": [keys], "lens": [lens]})
-
-            for pdf in batches:
-                ids = pdf["doc_id"]
-                for key, null, payload in zip(ids, ids.isna(), encoded(spec, pdf["text"], end_id), strict=True):
-                    key = None if null else int(key) if isinstance(key, (int, float, np.number)) else key
-                    if size >= BLOCK_BYTES and key != keys[-1]:
+            last = None
+
+            def full() -> pa.RecordBatch:
+                own = pa.ListArray.from_arrays(pa.array([0, sum(map(len, keys))], pa.int32()), pa.concat_arrays(keys))
+                cols = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([sum(lens)], pa.int64()), pa.array([b"".join(parts)], pa.binary()), own, pa.array([lens], pa.list_(pa.int64()))]
+                return pa.RecordBatch.from_arrays(cols, ["shard", "block", "n_ids", "payload", "keys", "lens"])
+
+            for batch in batches:
+                ids = batch.column("doc_id")
+                # Keys stay Arrow values: through pandas a null among them would turn large ones into other numbers.
+                for row, payload in enumerate(encoded(spec, batch.column("text").to_pylist(), end_id)):
+                    if size >= BLOCK_BYTES and ids[row] != last:
                         yield full()
                         block, keys, lens, parts, size = block + 1, [], [], [], 0
+                    last = ids[row]
                     raw = np.frombuffer(payload, "<u4").astype(dtype).tobytes()
-                    keys.append(key)
+                    keys.append(ids.slice(row, 1))
                     lens.append(len(raw) // width)
                     parts.append(raw)
                     size += len(raw)
@@ -140,62 +172,74 @@ class IdStore:
                 yield full()
 
         ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-        blocks = staged(ordered.mapInPandas(shards, f"shard int, block int, n_ids long, payload binary, keys array<{key_type}>, lens array<long>"), "ids")
+        blocks = staged(ordered.mapInArrow(shards, f"shard int, block int, n_ids long, payload binary, keys array<{key_type}>, lens array<long>"), "ids")
         rows = blocks.select("shard", "block", F.posexplode("keys").alias("row", "key"))
-        entries = rows.groupBy("shard", "block", "key").agg(F.min("row").alias("row"), F.count("*").alias("rows")).withColumn("h", F.xxhash64("key", F.col("key").isNull()))
+        entries = _hashed(rows.groupBy("shard", "block", "key").agg(F.min("row").alias("row"), F.count("*").alias("rows")))
         buckets = max(1, -(-docs.count() // BUCKET_KEYS))
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            h = pdf["h"].to_numpy().astype(np.int64).view(np.uint64)
-            mph = MinimalPerfectHash.build(h)
-            slot = mph(h)
+            h, g = _unsigned(pdf["h"]), _unsigned(pdf["g"])
+            mph = MinimalPerfectHash.build(h, g)
+            slot = mph(h, g)
             places = np.zeros((len(h), 5), dtype="<i8")
-            places[slot] = np.column_stack([fingerprint(h).astype(np.int64), *(pdf[c].to_numpy().astype(np.int64) for c in ("shard", "block", "row", "rows"))])
+            places[slot] = np.column_stack([fingerprint(g).astype(np.int64), *(pdf[c].to_numpy().astype(np.int64) for c in ("shard", "block", "row", "rows"))])
             return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "mph": [mph.to_bytes()], "places": [places.tobytes()]})
 
         entries = entries.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
-        index = staged(entries.select("bucket", "h", "shard", "block", "row", "rows").groupBy("bucket").applyInPandas(build, "bucket long, mph binary, places binary"), "mph")
+        index = staged(entries.select("bucket", "h", "g", "shard", "block", "row", "rows").groupBy("bucket").applyInPandas(build, "bucket long, mph binary, places binary"), "mph")
         return cls(blocks, index, buckets, width, key_type)
 
     def locate(self, keys: DataFrame) -> DataFrame:
-        """(key, shard, block, row, rows) of each distinct key of keys(key) that the index has, through hash and fingerprint."""
-        asked = keys.select("key").distinct().withColumn("h", F.xxhash64("key", F.col("key").isNull())).withColumn("bucket", F.pmod(F.col("h"), F.lit(self.buckets)))
-
-        def look(pdf: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-            cols = ["shard", "block", "row", "rows"]
-            if not len(pdf) or not len(index):
-                return pd.DataFrame({"key": pdf["key"].iloc[:0]} | {c: pd.Series(dtype="int64") for c in cols})
-            h = pdf["h"].to_numpy().astype(np.int64).view(np.uint64)
-            places = np.frombuffer(index["places"].iloc[0], "<i8").reshape(-1, 5)
-            slot = MinimalPerfectHash.from_bytes(index["mph"].iloc[0])(h)
-            ok = (slot >= 0) & (places[slot, 0] == fingerprint(h).astype(np.int64))
+        """(key, shard, block, row, rows) of each distinct key of keys(key) that the index has, through hash and fingerprint.
+
+        An absent key passes the fingerprint with a chance of 2**-32; read() compares the key itself.
+        """
+        asked = _hashed(keys.select("key").distinct()).withColumn("bucket", F.pmod(F.col("h"), F.lit(self.buckets)))
+
+        def look(asked: pa.Table, index: pa.Table) -> pa.Table:
+            names = ["key", "shard", "block", "row", "rows"]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            if not asked.num_rows or not index.num_rows:
+                return pa.Table.from_arrays([asked.column("key").slice(0, 0), *(pa.array([], t) for t in types)], names)
+            h, g = _unsigned(asked.column("h")), _unsigned(asked.column("g"))
+            places = np.frombuffer(index.column("places")[0].as_py(), "<i8").reshape(-1, 5)
+            slot = MinimalPerfectHash.from_bytes(index.column("mph")[0].as_py())(h, g)
+            ok = (slot >= 0) & (places[slot, 0] == fingerprint(g).astype(np.int64))
             found = places[slot[ok]]
-            return pd.DataFrame({"key": pdf["key"].to_numpy()[ok]} | {c: found[:, i + 1] for i, c in enumerate(cols)})
+            return pa.Table.from_arrays([asked.column("key").filter(pa.array(ok)), *(pa.array(found[:, i + 1]).cast(t) for i, t in enumerate(types))], names)
 
-        return asked.groupBy("bucket").cogroup(self.index.groupBy("bucket")).applyInPandas(look, f"key {self.key_type}, shard int, block int, row long, rows long")
+        index = _only(self.index, asked, ["bucket"])
+        return asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(look, f"key {self.key_type}, shard int, block int, row long, rows long")
 
     def read(self, keys: DataFrame) -> DataFrame:
-        """For each key of keys(key): doc_id, start (ids of all documents before it), n_tokens, ids (raw) from the blocks."""
+        """For each key of keys(key): doc_id, start (ids of all documents before it), n_tokens, ids_crc32 from the blocks."""
         shards = self.blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
         shards = shards.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("shard_base"))
         sizes = self.blocks.select("shard", "block", "n_ids")
         bases = sizes.select("shard", "block", (F.sum("n_ids").over(W.partitionBy("shard").orderBy("block")) - F.col("n_ids")).alias("base")).join(shards, "shard")
-        asked = self.locate(keys).join(bases.select("shard", "block", (F.col("base") + F.col("shard_base")).alias("base")), ["shard", "block"])
-        width = self.width
-
-        def slices(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(asked) and len(block):
-                payload, lens = block["payload"].iloc[0], np.asarray(block["lens"].iloc[0], dtype=np.int64)
+        located = staged(self.locate(keys), "located")
+        asked = located.join(bases.select("shard", "block", (F.col("base") + F.col("shard_base")).alias("base")), ["shard", "block"])
+        width, kind = self.width, self.key_type
+
+        def slices(asked: pa.Table, block: pa.Table) -> pa.Table:
+            at, out = [], []
+            if asked.num_rows and block.num_rows:
+                payload, lens = block.column("payload")[0].as_py(), np.asarray(block.column("lens")[0].as_py(), dtype=np.int64)
+                own, key = block.column("keys")[0].values, asked.column("key")
                 ends = np.cumsum(lens)
-                for key, row, rows, base in zip(asked["key"], asked["row"], asked["rows"], asked["base"], strict=True):
-                    for r in range(int(row), int(row + rows)):
+                for i, (row, rows, base) in enumerate(zip(*(asked.column(c).to_pylist() for c in ("row", "rows", "base")), strict=True)):
+                    if own[row].as_py() != key[i].as_py():
+                        continue  # another key with this fingerprint
+                    for r in range(row, row + rows):
                         ids = np.frombuffer(payload[width * int(ends[r] - lens[r]) : width * int(ends[r])], f"<u{width}").astype("<u4")
-                        out.append((None if pd.isna(key) else key, int(base + ends[r] - lens[r]), int(lens[r]), zlib.crc32(ids.tobytes())))
-            return pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-        grouped = asked.groupBy("shard", "block").cogroup(self.blocks.select("shard", "block", "payload", "lens").groupBy("shard", "block"))
-        return grouped.applyInPandas(slices, f"doc_id {self.key_type}, start long, n_tokens long, ids_crc32 long")
+                        at.append(i)
+                        out.append((int(base + ends[r] - lens[r]), int(lens[r]), zlib.crc32(ids.tobytes())))
+            cols = np.array(out, dtype=np.int64).reshape(-1, 3).T
+            return pa.Table.from_arrays([asked.column("key").take(pa.array(at, pa.int64())), *map(pa.array, cols)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+        blocks = _only(self.blocks, located, ["shard", "block"]).select("shard", "block", "payload", "keys", "lens")
+        grouped = asked.groupBy("shard", "block").cogroup(blocks.groupBy("shard", "block"))
+        return grouped.applyInArrow(slices, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_perfect_hash_ids(spark, sf_dir: str) -> DataFrame:
