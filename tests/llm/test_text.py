@@ -1,5 +1,8 @@
 """Quotation linking, page text and the pipeline."""
 
+import collections
+import re
+import time
 from random import Random
 
 import numpy as np
@@ -36,7 +39,23 @@ def test_every_conversation_is_ordered(spark):
 def test_blocks():
     page = '<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><article><p>a &amp; b<p>c <b>d</b> e<br>f<script>"</p>"</script></article><!-- <p>no</p> --><p>x < y</p><div class="ad">z'
     assert [b[0] for b in H.blocks(page)] == ["T", "Menu", "a & b", "c d e f", "x < y", "z"]
-    assert H.blocks(None) == [] and H.blocks("") == [] and H.blocks("plain") == [("plain", (), 0.0)]
+    assert H.blocks(None) == [] and H.blocks("") == [] and [(t, n.tag, k) for t, n, k in H.blocks("plain")] == [("plain", "", 0.0)]
+    assert [b[0] for b in H.blocks("<p>two<hr>three<br>four<img>five</div></b>six")] == ["two", "three fourfive", "six"]
+    assert [n.mark for _, n, _ in H.blocks('<main><p>a</p><div class="x ad">b<p>c</div>d</main><p>e')] == [1, 0, 0, 1, None]
+
+
+def test_reading_is_linear():
+    start = time.time()
+    page = "<div>" * 8000 + "".join(f"<b><p>word {i} is here.<svg><option>" for i in range(20000))
+    assert len(H.blocks(page)) == 20000 and time.time() - start < 10
+
+
+def test_long_pages_are_read_in_parts(monkeypatch):
+    model, page = H.new_model(5), H.blocks("".join(f"<p>word {i} stands here.</p>" for i in range(50)))
+    (whole,) = H.label(model, [page])
+    monkeypatch.setattr(H, "GROUP_BLOCKS", 7)
+    (parts,) = H.label(model, [page])
+    assert np.abs(whole - parts).max() < 1e-5
 
 
 def test_gradient():
@@ -56,19 +75,35 @@ def test_gradient():
 
 def test_held_out_pages_and_edges(spark):
     r = Random(99)
-    pages = [H.made_page(r) for _ in range(60)]
-    want = [" ".join(t for t, p, _ in H.blocks(x) if H.marked(p)) for x in pages]
-    rows = [(i, "u", x, 1) for i, x in enumerate(pages)] + [(900, None, None, 1), (901, "u", "", 1), (None, "u", "<p>", 1)]
+    pages = [H.made_page(r) for _ in range(120)]
+    want = [" ".join(t for t, n, _ in H.blocks(x) if n.said) for x in pages]
+    rows = [(i, "u", re.sub(r" data-is=[01]", "", x), 1) for i, x in enumerate(pages)] + [(900, None, None, 1), (901, "u", "", 1), (None, "u", "<p>", 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
-    got = {x.page_id: x for x in H.extract(df, H.train(df)).collect()}
-    right = sum(got[i].text == w for i, w in enumerate(want))
-    assert right >= 57 and got[900].text == "" and got[901].n_chars == 0 and got[None].text == ""
+    got = {x.page_id: x for x in H.extract(df, H.train(df.limit(0))).collect()}
+    words = lambda t: collections.Counter(t.split())
+    both = sum((words(got[i].text) & words(w)).total() for i, w in enumerate(want))
+    assert both > 0.95 * sum(words(w).total() for w in want) and both > 0.95 * sum(words(got[i].text).total() for i in range(len(want)))
+    assert got[900].text == "" and got[901].n_chars == 0 and got[None].text == ""
     assert H.extract(df.limit(0), H.new_model()).collect() == []
 
 
-def test_pages_of_the_table(spark):
-    import re
+def test_pages_of_another_hand(spark):
+    """A wiki, coded names with a reader comment, no names, foreign names."""
+    story = [f"The {a} of the old harbour town was rebuilt in {y}, after a fire that burned for {d} days. Nobody knows who laid the first stone, but the council paid for the rest." for a, y, d in (("church", 1720, 3), ("market", 1731, 2), ("bridge", 1744, 5), ("school", 1802, 4), ("mill", 1850, 6))]
+    paras = "".join(f"<p>{x}</p>" for x in story)
+    menu = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("Home", "News", "Sport", "Contact", "About"))
+    wiki = f'<html><body><div id="mw-head"><ul>{menu}</ul></div><div class="mw-body"><div class="mw-parser-output">{paras}</div></div><div id="catlinks"><ul>{menu}</ul></div></body></html>'
+    coded = f'<html><body><div class="x1a2"><ul>{menu}</ul></div><div class="q-77f"><h1>The old harbour town</h1>{paras}</div><div class="zz-9"><h3>Comments</h3><div class="k1">Anna says:</div><div class="k2">Nice one, thanks for sharing this with us.</div><a href="#">Reply</a></div><div class="b0">&copy; 2024 All rights reserved</div></body></html>'
+    bare = f"<html><body><ul>{menu}</ul><h1>The old harbour town</h1>{paras}<div>&copy; All rights reserved</div></body></html>"
+    german = f'<html><body><div id="hauptmenue"><ul>{menu}</ul></div><div id="inhalt"><h1>The old harbour town</h1>{paras}</div><div class="werbung">Anzeige Buy now and save</div><div id="fusszeile">Impressum</div></body></html>'
+    df = spark.createDataFrame(list(enumerate((wiki, coded, bare, german))), "page_id long, html string").selectExpr("page_id", "'u' AS url", "html")
+    got = {x.page_id: x.text for x in H.extract(df, H.train(spark.read.parquet(f"{SF}/pages.parquet"))).collect()}
+    for i, text in got.items():
+        assert all(x in text for x in story), i
+        assert not any(x in text for x in ("Home", "Reply", "Nice one", "reserved", "Anzeige")), (i, text)
+
 
+def test_pages_of_the_table(spark):
     got = {x.page_id: x.text for x in H.op2_recurrent_block_labeller(spark, SF).collect()}
     for p in spark.read.parquet(f"{SF}/pages.parquet").collect():
         inner = re.search(r"<article>(.*?)</article>", p.html, re.S)
