@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from tests.llm.helpers import SF, collect, docs, words
@@ -216,6 +217,67 @@ def test_quality_base_statistics(spark):
 def test_quality_rejects_outliers_of_its_group(spark):
     rows = [(i, " ".join(f"word{(i * 17 + k * 31) % 997}" for k in range(40 + i % 30)) + ".", "en", "s" if i % 3 else "t") for i in range(300)]
     rows += [(900, "&&& ### %%% *** " * 3 + " ".join(f"ab$%{k}" for k in range(60)), "en", "s"), (901, " ".join(f"tiny{k} one" for k in range(30)), None, None)]
+    rows += [(902, " ".join(f"word{k * 31 % 997}" for k in range(50)) + ".", "xx", "own")]
     got = collect(quality.judge(docs(spark, rows)))
-    assert not got[900]["kept"] and got[901]["kept"]
+    # A row alone in its language is judged by the estimate of all rows.
+    assert not got[900]["kept"] and got[902]["kept"] and got[901]["distance"] > got[902]["distance"] > 0
     assert sum(not got[i]["kept"] for i in range(300)) == 0
+
+
+def brute_verdicts(x, lang, source):
+    """Distances by the method of quality.py in numpy. x: features of the rows that pass the base limits."""
+    floor, p = np.array(quality.FLOOR), quality.P
+    at = lambda v, q: np.sort(v, axis=0)[int(np.ceil(q * len(v))) - 1]
+    scatter = lambda c: c + np.diag(floor)
+    d2 = lambda f, m, c: np.einsum("ij,ij->i", (f - m) @ np.linalg.inv(scatter(c)), f - m)
+    logdet = lambda c: np.linalg.slogdet(scatter(c))[1]
+
+    def step(f, m, c):
+        d = d2(f, m, c)
+        near = f[d <= at(d, quality.SUBSET)]
+        return near.mean(0), np.cov(near.T, bias=True), len(near)
+
+    def mcd(f):
+        m = at(f, 0.5)
+        s = np.sqrt((1.4826 * at(np.abs(f - m), 0.5)) ** 2 + floor)
+        z = (f - m) / s
+        clip = np.clip(z, -2, 2)
+        starts = [np.eye(p), clip.T @ clip / len(f), p * (z / np.maximum((z**2).sum(1), 1e-9)[:, None]).T @ z / len(f)]
+        found = []
+        for c in starts:
+            e = (m, c * np.outer(s, s), len(f))
+            for _ in range(quality.START_STEPS):
+                e = step(f, *e[:2])
+            found.append(e)
+        best = min(found, key=lambda e: logdet(e[1]))
+        while logdet((after := step(f, *best[:2]))[1]) < logdet(best[1]) - quality.FALL:
+            best = after
+        return best
+
+    groups = [np.zeros(len(x), dtype=object), lang, np.array([f"{a}|{b}" for a, b in zip(lang, source, strict=True)], dtype=object)]
+    draw = lambda own, n, larger: (n * own + quality.PRIOR * larger) / (n + quality.PRIOR)
+    fits = [{g: mcd(x[of == g]) for g in set(of)} for of in groups]
+    out = np.zeros(len(x))
+    shrunk = {}
+    for g in set(groups[2]):
+        i = int(np.flatnonzero(groups[2] == g)[0])
+        (m0, c0, _), (m1, c1, n1), (m2, c2, n2) = fits[0][0], fits[1][groups[1][i]], fits[2][g]
+        shrunk[g] = draw(m2, n2, draw(m1, n1, m0)), draw(c2, n2, draw(c1, n1, c0))
+        rows = groups[2] == g
+        out[rows] = d2(x[rows], *shrunk[g])
+    middle = [{g: (at(out[of == g], 0.5), (of == g).sum()) for g in set(of)} for of in groups]
+    scale = np.zeros(len(x))
+    for i in range(len(x)):
+        (a, _), (b, nb), (c, nc) = middle[0][0], middle[1][groups[1][i]], middle[2][groups[2][i]]
+        scale[i] = quality.MEDIAN / max(draw(c, nc, draw(b, nb, a)), 1e-9)
+    return out * scale
+
+
+def test_quality_verdicts_against_numpy(spark):
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    stats = quality.statistics(source).where("NOT base_failed").toPandas()
+    want = brute_verdicts(stats[[f"f{i}" for i in range(quality.P)]].to_numpy(), stats["lang"].to_numpy(), stats["source"].to_numpy())
+    got = collect(quality.judge(source))
+    assert len(want) > 100
+    for d, w in zip(stats["doc_id"], want, strict=True):
+        assert abs(got[d]["distance"] - w) < 1e-6 * max(1, w) and got[d]["kept"] == (w <= quality.CUTOFF)
