@@ -19,14 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.staging import staged, table
+from .names import fresh
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 CONTEXT_CHARS = 80
 MIN_CONTEXTS = 3
 DISCLOSURE = 0.8
 REMOVAL = 0.98
-#: Terms whose document counts are looked up by a broadcast; more are joined by a shuffle.
-BROADCAST_TERMS = 200_000
+
+#: Matches of a text that are added to one short array.
+BLOCK = 128
 
 _OPEN, _CLOSE = "\u0001", "\u0002"
 _TERM = r"[\p{L}\p{N}]{3,}+"
@@ -55,9 +57,15 @@ def _marked(text: Column, pattern: str | Column, needs: str | None = None) -> Co
         end = acc["at"] + F.length(m)
         return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), end.alias("e"), m.alias("m")))).alias("out"))
 
+    # An array grows by copying, so matches are added to short ones, block by block.
+    def add_block(acc: Column, b: Column) -> Column:
+        block = F.aggregate(F.slice(rest, b * BLOCK + 1, BLOCK), F.struct(acc["at"].alias("at"), none.alias("out")), add)
+        return F.get(F.transform(F.array(block), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out"))), F.lit(0))
+
     rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    start = F.struct(F.length(F.element_at(parts, 1)).alias("at"), none.alias("out"))
-    return F.aggregate(rest, start, add, lambda acc: acc["out"])
+    start = F.struct(F.length(F.element_at(parts, 1)).alias("at"), F.array().cast("array<array<struct<s:int,e:int,m:string>>>").alias("out"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(parts) - 2) / BLOCK).cast("int"))
+    return F.when(F.size(parts) > 1, F.aggregate(blocks, start, add_block, lambda acc: F.flatten(acc["out"]))).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
@@ -104,20 +112,26 @@ def _joined(spans: Column) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of id and text), n_<kind>, base: array of (s, k, e), and entities: (s, e, v) with the protected value."""
+    """doc_id, row (hash of id and text), n_<kind>, base: array of (s, k, e), entities: (s, e, v, lo, left, right) with the
+    protected value and what stands around it with base spans blanked, n_chars, and masked: the text without its base spans where it has any."""
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("row"))
-    spans = source.select("doc_id", "row", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
+    spans = source.select("doc_id", "row", "text", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
     value = {"email": F.lower, "ip": lambda m: m, "card": _digits, "phone": _digits}
 
     def placed(i: int, kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e")))
 
     def entity(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit(f"{kind}:"), value[kind](x["m"])).alias("v")))
+        lo = lambda x: F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0))
+        return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit(f"{kind}:"), value[kind](x["m"])).alias("v"), lo(x).alias("lo"),
+            F.substring("masked", lo(x) + 1, x["s"] - lo(x)).alias("left"), F.substring("masked", x["e"] + 1, F.lit(CONTEXT_CHARS)).alias("right")))
 
     base = F.concat(*(placed(i, k) for i, k in enumerate(_PATTERNS)))
     entities = F.concat(*map(entity, _PATTERNS))
-    return spans.select("doc_id", "row", *(F.size(k).cast("long").alias(f"n_{k}") for k in _PATTERNS), base.alias("base"), entities.alias("entities"))
+    based = spans.withColumn("base", base)
+    blank = based.withColumn("masked", F.when(F.size("base") > 0, _masked(F.col("text"), F.col("base"))))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in _PATTERNS]
+    return blank.select("doc_id", "row", *counts, "base", entities.alias("entities"), F.length("masked").alias("n_chars"), "masked")
 
 
 def _masked(text: Column, base: Column) -> Column:
@@ -145,38 +159,33 @@ def _together(holders: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFram
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(row, s, e, share): the terms that reveal an entity of their document, with the largest share of its information."""
-    source = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("row"))
-    mentions = spans.where(F.size("entities") > 0).select("row", "base", F.explode("entities").alias("m")).dropDuplicates(["row", "m"])
-    near = mentions.join(source.dropDuplicates(["row"]), "row")
-    lo = F.greatest(F.col("m.s") - CONTEXT_CHARS, F.lit(0))
-    left = F.struct(lo.alias("at"), F.substring("text", lo + 1, F.col("m.s") - lo).alias("t"))
-    right = F.struct(F.col("m.e").alias("at"), F.substring("text", F.col("m.e") + 1, F.lit(CONTEXT_CHARS)).alias("t"))
-    context = F.xxhash64(F.lower(F.regexp_replace(F.concat(left["t"], F.lit(" "), right["t"]), r"[^\p{L}\p{N}]+", " ")))
-    sides = near.select("row", "base", F.col("m.v").alias("entity"), F.length("text").alias("n"), context.alias("context"), F.explode(F.array(left, right)).alias("side"))
-    terms = sides.select("row", "base", "entity", "n", "context", F.col("side.at").alias("at"), F.length("side.t").alias("len"), F.explode(_marked(F.col("side.t"), _TERM)).alias("x"))
-    # A term cut by the context's edge is no whole word; one inside another base span is covered already.
+    held_in = spans.where(F.size("entities") > 0).dropDuplicates(["row"])  # of equal rows one
+    near = held_in.select("row", "n_chars", F.explode("entities").alias("m"))
+    context = F.xxhash64(F.lower(F.regexp_replace(F.concat("m.left", F.lit(" "), "m.right"), r"[^\p{L}\p{N}]+", " ")))
+    left, right = F.struct(F.col("m.lo").alias("at"), F.col("m.left").alias("t")), F.struct(F.col("m.e").alias("at"), F.col("m.right").alias("t"))
+    sides = near.select("row", F.col("m.v").alias("entity"), F.col("n_chars").alias("n"), context.alias("context"), F.explode(F.array(left, right)).alias("side"))
+    terms = sides.select("row", "entity", "n", "context", F.col("side.at").alias("at"), F.length("side.t").alias("len"), F.explode(_marked(F.col("side.t"), _TERM)).alias("x"))
+    # A term cut by the context's edge is no whole word.
     whole = ((F.col("x.s") > 0) | (F.col("at") == 0)) & ((F.col("x.e") < F.col("len")) | (F.col("at") + F.col("len") == F.col("n")))
     s, e = F.col("at") + F.col("x.s"), F.col("at") + F.col("x.e")
-    apart = ~F.exists("base", lambda b: (b["s"] < e) & (b["e"] > s))
-    terms = staged(terms.where(whole & apart).select("row", "entity", "context", F.lower("x.m").alias("term"), s.alias("s"), e.alias("e")), "terms")
+    terms = staged(terms.where(whole).select("row", "entity", "context", F.lower("x.m").alias("term"), s.alias("s"), e.alias("e")), "terms")
     joint = terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_CONTEXTS)
     held = staged(near.select("row", F.col("m.v").alias("entity"), context.alias("context")).distinct(), "held")
     own = held.groupBy("entity").agg(F.countDistinct("context").alias("n_entity"))
     holders = held.groupBy("row", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("context"))).alias("context"))
-    masked = source.dropDuplicates(["row"]).join(spans.where(F.size("entities") > 0).select("row", "base").dropDuplicates(["row"]), "row").select("row", _masked(F.col("text"), F.col("base")).alias("text"))
+    masked = held_in.select("row", F.col("masked").alias("text"))
     whole_joint, whole_own = _together(holders, masked)
     joint = staged(joint.join(own, "entity").union(whole_joint.join(whole_own, "entity")), "joint")
-    total = docs.count()
+    total = spans.count()
     wanted = joint.select("term").distinct()
-    n_terms = wanted.count()
-    if n_terms:
-        # Lower case is made term by term: on a whole text with letters beyond ASCII it is far slower.
-        split = F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))
-        words = source.select(F.explode(F.array_distinct(F.transform(split, lambda w: F.lower(w)))).alias("term"))
-        counted = words.join(F.broadcast(wanted) if n_terms <= BROADCAST_TERMS else wanted, "term", "left_semi")
-        df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    else:
+    if joint.isEmpty():
         df = wanted.withColumn("df", F.lit(1).cast("long"))
+    else:
+        # Counted where the texts are, so that the join has one row a term. Lower case is made term by term: on a whole
+        # text with letters beyond ASCII it is far slower.
+        split = F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+"))
+        words = docs.select(F.explode(F.array_distinct(F.transform(split, lambda w: F.lower(w)))).alias("term"))
+        df = words.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
     info = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
     share = F.try_divide(F.log2(F.col("n_both") / F.col("n_entity")) + F.log2(F.lit(float(max(total, 2))) / F.col("df")), info)
     revealing = joint.join(df, "term").where(info > 0).select("entity", "term", share.alias("share")).where(F.col("share") >= DISCLOSURE)
@@ -193,7 +202,7 @@ def private_spans(docs: DataFrame) -> DataFrame:
     spans = staged(found(docs), "private")
     terms = disclosing_terms(docs, spans).groupBy("row").agg(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", "share")).alias("terms"))
     none = F.array().cast("array<struct<s:int,k:int,e:int,share:double>>")
-    return spans.drop("entities").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", none))
+    return spans.drop("entities", "n_chars", "masked").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -213,17 +222,18 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Spans that overlap become one placeholder, that of the first. All columns and rows are kept.
     """
-    spans = private_spans(docs).where("size(base) + size(terms) > 0").select(F.col("row").alias("_row"), F.col("base").alias("_base"), F.col("terms").alias("_terms")).dropDuplicates(["_row"])
-    joined = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(spans, "_row", "left")
+    row, own, more = fresh(docs, "_row", "_base", "_terms")
+    spans = private_spans(docs).where("size(base) + size(terms) > 0").select(F.col("row").alias(row), F.col("base").alias(own), F.col("terms").alias(more)).dropDuplicates([row])
+    joined = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(spans, row, "left")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col("text")
-    base = F.transform("_base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.element_at(names, x["k"] + 1).alias("put")))
+    base = F.transform(own, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.element_at(names, x["k"] + 1).alias("put")))
 
     def general(x: Column) -> Column:
         digits = F.regexp_replace(F.substring(text, x["s"] + 1, x["e"] - x["s"]), "[0-9]", "") == ""
         return F.when(x["share"] >= REMOVAL, F.lit("")).when(digits, F.lit("[NUMBER]")).otherwise(F.lit("[TERM]"))
 
-    terms = F.transform("_terms", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), general(x).alias("put")))
+    terms = F.transform(more, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), general(x).alias("put")))
 
     def add(acc: Column, x: Column) -> Column:
         put = F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), x["put"])).otherwise(acc["out"])
@@ -231,7 +241,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     clean = F.aggregate(F.array_sort(F.concat(base, terms)), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, end)
-    return joined.withColumn("text", F.when(F.col("_base").isNull(), text).otherwise(clean)).select(docs.columns)
+    return joined.withColumn("text", F.when(F.col(own).isNull(), text).otherwise(clean)).select(docs.columns)
 
 
 def op7_pii_disclosure(spark, sf_dir: str) -> DataFrame:
