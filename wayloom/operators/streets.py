@@ -11,7 +11,11 @@ SHORT = {1: "trunk", 2: "primary"}
 FULL = {1: ("trunk", "trunk"), 2: ("primary", "primary"), 3: ("secondary", "primary"), 4: ("tertiary", "secondary"), 5: ("tertiary", "tertiary"), 6: ("residential", "residential"), 7: ("footway", "footway")}
 WIDE_LANES = 3
 DEFAULTS = {"name": "unknown", "highway": "road", "oneway": "no", "lanes": "1"}
+# Surfaces and the closed one by street status, the form of a roundabout, and the tags of names.
 SURFACES = {2: "gravel", 3: "dirt"}
+CLOSED = 3
+ROUNDABOUT = 1
+NAMES = {"ArabicName": "name:ar", "EnglishName": "name", "Strar": "name:ar1", "Stren": "name:en1"}
 
 
 def _coded(col: Column, names: dict, other: Column) -> Column:
@@ -50,23 +54,34 @@ def ingest(streets: DataFrame, region: int | None = None) -> DataFrame:
     return df.select(c("pkStreetID").alias("orig_id"), c("EnglishName").alias("name"), oneway(c("Direction")).alias("oneway"), lanes(c("NoOfLane")).alias("lanes"), maxspeed(c("SpeedLimit")).alias("maxspeed"), highway_short(c("FOW"), c("Subtype")).alias("highway"))
 
 
+def access(status: Column) -> Column:
+    return F.when(status == CLOSED, "no").otherwise("yes")
+
+
+def _names() -> list[Column]:
+    return [F.col(c).alias(tag) for c, tag in NAMES.items()]
+
+
 def full_tags(streets: DataFrame) -> DataFrame:
+    """Tags of every street; access and surface come from its status."""
     c = F.col
     return streets.select(
-        c("pkStreetID").alias("id"), c("EnglishName").alias("name"), F.coalesce(c("NoOfLane"), F.lit(1)).cast("string").alias("lanes"), c("SpeedLimit").cast("string").alias("maxspeed"), oneway(c("Direction")).alias("oneway"),
-        F.when(c("FOW") == 1, "roundabout").alias("junction"), F.when(c("Direction") == 2, "no").otherwise("yes").alias("access"), _coded(c("FOW"), SURFACES, F.lit("asphalt")).alias("surface"),
+        c("pkStreetID").alias("id"), *_names(), c("Width").alias("width"), F.coalesce(c("NoOfLane"), F.lit(1)).cast("string").alias("lanes"), c("SpeedLimit").cast("string").alias("maxspeed"), oneway(c("Direction")).alias("oneway"),
+        F.when(c("FOW") == ROUNDABOUT, "roundabout").alias("junction"), access(c("StreetStat")).alias("access"), _coded(c("StreetStat"), SURFACES, F.lit("asphalt")).alias("surface"),
         highway_full(c("FOW"), c("Subtype"), c("NoOfLane")).alias("highway"))
 
 
 def safe_int(text: Column) -> Column:
-    """Whole part of a number in text; null where there is none."""
-    return F.floor(text.try_cast("double")).try_cast("int")
+    """The whole part of a number in text, towards zero; null where there is none."""
+    return F.trim(text).try_cast("double").try_cast("long")
 
 
 def safe_tags(streets: DataFrame) -> DataFrame:
-    """Tags from text columns; what cannot be read counts as missing."""
-    n, speed, form, sub = (safe_int(F.col(k)) for k in ("NoOfLane", "SpeedLimit", "FOW", "Subtype"))
-    return streets.select(F.col("pkStreetID").alias("id"), oneway(safe_int(F.col("Direction"))).alias("oneway"), lanes(n).alias("lanes"), F.when(F.coalesce(speed, F.lit(0)) != 0, speed.cast("string")).alias("maxspeed"), highway_full(form, sub, n).alias("highway"))
+    """Tags from text columns; what cannot be read counts as missing, and a speed of zero too."""
+    n, speed, form, sub, status = (safe_int(F.col(k)) for k in ("NoOfLane", "SpeedLimit", "FOW", "Subtype", "StreetStat"))
+    return streets.select(
+        F.col("pkStreetID").alias("id"), *_names(), F.col("Width").alias("width"), oneway(safe_int(F.col("Direction"))).alias("oneway"), lanes(n).alias("lanes"), F.when(F.coalesce(speed, F.lit(0)) != 0, speed.cast("string")).alias("maxspeed"),
+        F.when(form == ROUNDABOUT, "roundabout").alias("junction"), access(status).alias("access"), _coded(status, SURFACES, F.lit("asphalt")).alias("surface"), highway_full(form, sub, n).alias("highway"))
 
 
 def with_defaults(tags: DataFrame) -> DataFrame:
