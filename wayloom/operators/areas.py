@@ -87,7 +87,7 @@ def coverage_ratio(vertices: DataFrame, size: int) -> DataFrame:
     return cells.crossJoin(bounds(vertices)).select("n_cells", "n_ways", (n("x0", "x1") * n("y0", "y1")).alias("n_all")).withColumn("percent", F.round(100.0 * F.col("n_cells") / F.col("n_all"), 4))
 
 
-def _hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def convex_hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     points = sorted(set(points))
     if len(points) < 3:
         return points
@@ -109,11 +109,11 @@ def hull(points: DataFrame, x: str = "x_e7", y: str = "y_e7") -> DataFrame:
     def part(batches):
         kept: list = []
         for pdf in batches:
-            kept = _hull(kept + list(zip(pdf[x].tolist(), pdf[y].tolist(), strict=True)))
+            kept = convex_hull(kept + list(zip(pdf[x].tolist(), pdf[y].tolist(), strict=True)))
         yield pd.DataFrame(kept, columns=["x", "y"], dtype="int64")
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _hull(list(zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True)))
+        out = convex_hull(list(zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True)))
         return pd.DataFrame([(i, *p) for i, p in enumerate(out)], columns=["corner", "x", "y"], dtype="int64")
 
     return points.select(x, y).mapInPandas(part, "x long, y long").groupBy().applyInPandas(whole, "corner long, x long, y long")

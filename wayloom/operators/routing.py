@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..plans.staging import staged
+from .areas import convex_hull
 
 #: A route's steps are written together after so many, which bounds the plan.
 TOGETHER = 50
@@ -60,6 +61,23 @@ def contours(edges: DataFrame, sources: DataFrame, every: int, levels: int) -> D
     return near.select("source", "node", "seconds", F.greatest(F.lit(1), F.ceil(F.col("seconds") / every)).cast("long").alias("contour"))
 
 
+def contour_hulls(reached: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
+    """(source, contour, corner, x, y): the convex hull of the nodes (node, x_e7, y_e7) reached within each contour, the inner ones included.
+
+    Corners are found by source, contour and part of the nodes first, so a group's task sees corners only.
+    """
+    up_to = F.explode(F.sequence(F.col("contour"), F.lit(levels).cast("long")))
+    placed = reached.select("source", "node", up_to.alias("contour")).join(nodes, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(64)))
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(convex_hull(list(zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True))), columns=["x", "y"], dtype="int64")
+        return out.assign(source=pdf["source"].iloc[0], contour=pdf["contour"].iloc[0], corner=range(len(out)))[["source", "contour", "corner", "x", "y"]]
+
+    kind = "source long, contour long, corner long, x long, y long"
+    some = placed.select("source", "contour", "part", F.col("x_e7").alias("x"), F.col("y_e7").alias("y")).groupBy("source", "contour", "part").applyInPandas(corners, kind)
+    return some.groupBy("source", "contour").applyInPandas(corners, kind)
+
+
 def routes(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """(request, step, node, seconds) along one shortest route of each request (request, source, target), from the target back by `via`."""
     reached = staged(shortest(edges, requests.select(F.col("source").alias("node")), targets=requests.select(F.col("target").alias("node"))), "tree")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..plans.staging import with_offsets
+from ..plans.staging import staged, with_offsets
 from .components import connected_components
 from .gridjoin import point_segments, within
 
@@ -116,6 +116,64 @@ def inject(vertices: DataFrame, feet: DataFrame) -> DataFrame:
     return all_.select("way_id", seq.cast("long").alias("seq"), "x_e7", "y_e7")
 
 
+def merge_nodes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes that are left when each takes its component's smallest id: that node's own row stands for all."""
+    met = nodes.join(labels, nodes["node_id"] == labels["node"], "left")
+    return met.where("component IS NULL OR component = node_id").select("node_id", "x_e7", "y_e7")
+
+
+def snap_ends(ways: DataFrame, nodes: DataFrame, tol: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Dangling ends become one node with the nearest other end within tol; (ways, nodes), the ways cleaned."""
+    ends = endpoints(ways).join(nodes, "node_id")
+    pairs = nearest_endpoint(dangling(ways).join(nodes, "node_id"), ends, tol)
+    labels = connected_components(pairs, "node_a", "node_b")
+    return clean_way_nodes(relabel(ways, labels)), merge_nodes(nodes, labels)
+
+
+def feet_of(ways: DataFrame, nodes: DataFrame, tol: int = 500) -> DataFrame:
+    """The nearest foot of each dangling end on a segment of another way."""
+    vertices = ways.join(nodes, "node_id").select("way_id", "seq", "x_e7", "y_e7")
+    return best_projection(project(dangling(ways).join(nodes, "node_id"), segments(vertices), tol))
+
+
+def new_nodes(feet: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A node for each position of feet that has none: ids below the smallest one, by the smallest dangling end there."""
+    at = feet.groupBy("x_e7", "y_e7").agg(F.min("node_id").alias("dangle"))
+    at = at.join(nodes.select("x_e7", "y_e7"), ["x_e7", "y_e7"], "left_anti")
+    low = nodes.agg(F.min("node_id").alias("low"))  # one row
+    return with_offsets(at, ["dangle"], "new_nodes").crossJoin(F.broadcast(low)).select((F.col("low") - 1 - F.col("row_no")).alias("node_id"), "x_e7", "y_e7")
+
+
+def snap_to_segments(ways: DataFrame, nodes: DataFrame, tol: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Dangling ends move to their foot on another way within tol, which gets a vertex there; (ways, nodes), the ways cleaned.
+
+    Ends with one foot share its node; a node that stands there already is taken. Feet on one segment come in its order.
+    """
+    feet = staged(feet_of(ways, nodes, tol), "feet")
+    all_nodes = staged(nodes.unionByName(new_nodes(feet, nodes)), "nodes")
+    shared = feet.join(all_nodes.withColumnRenamed("node_id", "shared"), ["x_e7", "y_e7"]).select(F.col("node_id").alias("dangle"), "way_id", "seq_a", "t", "shared")
+    shared = staged(shared, "shared")
+    cut = shared.select("way_id").distinct()
+    inner = shared.select("way_id", F.col("seq_a").alias("s"), "t", F.col("shared").alias("node_id")).distinct()
+    whole = ways.join(cut, "way_id", "left_semi").select("way_id", F.col("seq").alias("s"), F.lit(0.0).alias("t"), "node_id").unionByName(inner)
+    seq = F.row_number().over(W.partitionBy("way_id").orderBy("s", "t", "node_id")).cast("long")
+    rebuilt = whole.select("way_id", seq.alias("seq"), "node_id").unionByName(ways.join(cut, "way_id", "left_anti").select("way_id", "seq", "node_id"))
+    moved = rebuilt.join(shared.select("dangle", "shared").distinct(), rebuilt["node_id"] == F.col("dangle"), "left")
+    return clean_way_nodes(moved.select("way_id", "seq", F.coalesce("shared", "node_id").alias("node_id"))), all_nodes
+
+
+def build_graph(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ways, nodes) of street vertices: numbered, cleaned, ends snapped to ends, to the nearest end and to segments."""
+    nodes = staged(extract_nodes(vertices), "nodes")
+    ways = staged(clean_way_nodes(way_nodes(vertices, nodes)), "ways")
+    ways = staged(snap_node_to_node(ways, nodes), "ways")
+    ways, nodes = snap_ends(ways, nodes)
+    ways, nodes = staged(ways, "ways"), staged(nodes, "nodes")
+    ways, nodes = snap_to_segments(ways, nodes)
+    used = ways.select("node_id").distinct()
+    return ways, nodes.join(used, "node_id", "left_semi")
+
+
 def gap_pairs(ends: DataFrame, tol: int = 500) -> DataFrame:
     """Ends of different ways and nodes within a box of tol, in both directions: way_a, way_b, node_a, node_b, d2."""
     side = lambda s: ends.select(F.col("way_id").alias(f"way_{s}"), F.col("node_id").alias(f"node_{s}"), F.col("x_e7").alias(f"{s}x"), F.col("y_e7").alias(f"{s}y"))

@@ -44,20 +44,27 @@ def ingest_streets(spark, sf_dir):
     return tags.ingest(view(spark, sf_dir, "streets"), region=4)
 
 
-@query(f"SELECT pkStreetID AS id, EnglishName AS name, CAST(coalesce(NoOfLane, 1) AS VARCHAR) AS lanes, CAST(SpeedLimit AS VARCHAR) AS maxspeed, CASE WHEN Direction = 1 THEN 'yes' ELSE 'no' END AS oneway, CASE WHEN FOW = 1 THEN 'roundabout' END AS junction, CASE WHEN Direction = 2 THEN 'no' ELSE 'yes' END AS access, CASE FOW WHEN 2 THEN 'gravel' WHEN 3 THEN 'dirt' ELSE 'asphalt' END AS surface, {_FULL} AS highway FROM {STREETS} s")
+_NAMES = 'pkStreetID AS id, ArabicName AS "name:ar", EnglishName AS name, Strar AS "name:ar1", Stren AS "name:en1", Width AS width'
+_STATUS = "CASE WHEN FOW = 1 THEN 'roundabout' END AS junction, CASE WHEN StreetStat = 3 THEN 'no' ELSE 'yes' END AS access, CASE StreetStat WHEN 2 THEN 'gravel' WHEN 3 THEN 'dirt' ELSE 'asphalt' END AS surface"
+
+
+@query(f"SELECT {_NAMES}, CAST(coalesce(NoOfLane, 1) AS VARCHAR) AS lanes, CAST(SpeedLimit AS VARCHAR) AS maxspeed, CASE WHEN Direction = 1 THEN 'yes' ELSE 'no' END AS oneway, {_STATUS}, {_FULL} AS highway FROM {STREETS} s")
 def street_tags_full(spark, sf_dir):
     return tags.full_tags(view(spark, sf_dir, "streets"))
 
 
-_TEXTS = f"SELECT pkStreetID, CAST(Direction AS VARCHAR) AS Direction, CASE WHEN pkStreetID % 11 = 0 THEN 'n/a' ELSE CAST(NoOfLane AS VARCHAR) END AS NoOfLane, CAST(SpeedLimit AS VARCHAR) AS SpeedLimit, CAST(FOW AS VARCHAR) AS FOW, CAST(Subtype AS VARCHAR) AS Subtype FROM {STREETS} s"
-_INTS = "SELECT pkStreetID, TRY_CAST(floor(TRY_CAST(Direction AS DOUBLE)) AS INT) AS Direction, TRY_CAST(floor(TRY_CAST(NoOfLane AS DOUBLE)) AS INT) AS NoOfLane, TRY_CAST(floor(TRY_CAST(SpeedLimit AS DOUBLE)) AS INT) AS SpeedLimit, TRY_CAST(FOW AS INT) AS FOW, TRY_CAST(Subtype AS INT) AS Subtype"
+_TEXTS = f"SELECT pkStreetID, ArabicName, EnglishName, Strar, Stren, Width, CAST(Direction AS VARCHAR) AS Direction, CASE WHEN pkStreetID % 11 = 0 THEN 'n/a' WHEN pkStreetID % 11 = 1 THEN '-0.5' WHEN pkStreetID % 11 = 2 THEN ' 4.9 ' ELSE CAST(NoOfLane AS VARCHAR) END AS NoOfLane, CASE WHEN pkStreetID % 17 = 0 THEN '-0.5' ELSE CAST(SpeedLimit AS VARCHAR) END AS SpeedLimit, CAST(FOW AS VARCHAR) AS FOW, CAST(Subtype AS VARCHAR) AS Subtype, CAST(StreetStat AS VARCHAR) AS StreetStat FROM {STREETS} s"
+_INTS = "SELECT pkStreetID, ArabicName, EnglishName, Strar, Stren, Width, " + ", ".join(f"TRY_CAST(trunc(TRY_CAST(trim({c}) AS DOUBLE)) AS BIGINT) AS {c}" for c in ("Direction", "NoOfLane", "SpeedLimit", "FOW", "Subtype", "StreetStat"))
 
 
-@query(f"SELECT pkStreetID AS id, CASE WHEN Direction = 1 THEN 'yes' ELSE 'no' END AS oneway, CASE WHEN NoOfLane IS NULL OR NoOfLane <= 0 THEN '1' ELSE CAST(NoOfLane AS VARCHAR) END AS lanes, CASE WHEN coalesce(SpeedLimit, 0) <> 0 THEN CAST(SpeedLimit AS VARCHAR) END AS maxspeed, {_FULL} AS highway FROM ({_INTS} FROM ({_TEXTS}) t) s")
+@query(f"SELECT {_NAMES}, CASE WHEN Direction = 1 THEN 'yes' ELSE 'no' END AS oneway, CASE WHEN NoOfLane IS NULL OR NoOfLane <= 0 THEN '1' ELSE CAST(NoOfLane AS VARCHAR) END AS lanes, CASE WHEN coalesce(SpeedLimit, 0) <> 0 THEN CAST(SpeedLimit AS VARCHAR) END AS maxspeed, {_STATUS}, {_FULL} AS highway FROM ({_INTS} FROM ({_TEXTS}) t) s")
 def street_tags_safe_parse(spark, sf_dir):
     s = view(spark, sf_dir, "streets")
-    text = s.select("pkStreetID", *(F.col(c).cast("string").alias(c) for c in ("Direction", "NoOfLane", "SpeedLimit", "FOW", "Subtype")))
-    return tags.safe_tags(text.withColumn("NoOfLane", F.when(F.col("pkStreetID") % 11 == 0, "n/a").otherwise(F.col("NoOfLane"))))
+    for c in ("Direction", "NoOfLane", "SpeedLimit", "FOW", "Subtype", "StreetStat"):
+        s = s.withColumn(c, F.col(c).cast("string"))
+    odd = F.col("pkStreetID") % 11
+    s = s.withColumn("NoOfLane", F.when(odd == 0, "n/a").when(odd == 1, "-0.5").when(odd == 2, " 4.9 ").otherwise(F.col("NoOfLane")))
+    return tags.safe_tags(s.withColumn("SpeedLimit", F.when(F.col("pkStreetID") % 17 == 0, "-0.5").otherwise(F.col("SpeedLimit"))))
 
 
 @query(f"SELECT orig_id, coalesce(name, 'unknown') AS name, coalesce(highway, 'road') AS highway, coalesce(oneway, 'no') AS oneway, coalesce(lanes, '1') AS lanes, maxspeed FROM (SELECT orig_id, CASE WHEN orig_id % 7 = 0 THEN NULL ELSE name END AS name, CASE WHEN orig_id % 5 = 0 THEN NULL ELSE highway END AS highway, oneway, lanes, maxspeed FROM ({_INGEST}) i) d")
@@ -315,14 +322,6 @@ def noded_pieces(spark, sf_dir):
     return areas.node_segments(topo.segments(view(spark, sf_dir, "way_vertices")))
 
 
-@query(f"WITH s AS {STREETS}, p AS (SELECT pkStreetID AS piece, i AS src, 1 + (pkStreetID * 7 + i * 13) % 50 AS overlap FROM s, range(1, 4) r(i)) SELECT piece, src, overlap FROM (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY overlap DESC, src) AS rn FROM p) q WHERE rn = 1")
-def reattach_by_overlap(spark, sf_dir):
-    p = view(spark, sf_dir, "streets").select(F.col("pkStreetID").alias("piece"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("src"))
-    p = p.withColumn("overlap", 1 + (F.col("piece") * 7 + F.col("src") * 13) % 50)
-    m = p.groupBy("piece").agg(F.max(F.struct("overlap", (-F.col("src")).alias("m"))).alias("b"))
-    return m.select("piece", (-F.col("b.m")).alias("src"), F.col("b.overlap").alias("overlap"))
-
-
 @query(f"WITH v AS {V}, k AS (SELECT way_id * 100 + seq AS node_id, x_e7, y_e7 FROM v) SELECT node_id, min(node_id) OVER (PARTITION BY x_e7, y_e7) AS kept_id FROM k")
 def border_dedup(spark, sf_dir):
     k = view(spark, sf_dir, "way_vertices").select((F.col("way_id") * 100 + F.col("seq")).alias("node_id"), "x_e7", "y_e7")
@@ -385,14 +384,15 @@ def _sources(spark):
 
 
 @query(f"{_REACH} SELECT s AS source, t AS target, seconds FROM (VALUES (1::BIGINT), (121::BIGINT)) z(s) CROSS JOIN (SELECT unnest(range(1, 200, 9)) AS t) y LEFT JOIN best ON source = s AND node = t")
-def travel_matrix(spark, sf_dir):
+def travel_matrix_within(spark, sf_dir):
+    """The travel times of at most 30 seconds: a limit that is asked for, and that lets the SQL end."""
     targets = spark.range(1, 200, 9).select(F.col("id").alias("node"))
     return routing.matrix(view(spark, sf_dir, "road_edges"), _sources(spark), targets, limit=30)
 
 
 @query()
-def travel_matrix_whole(spark, sf_dir):
-    """travel_matrix without its limit of 30 seconds, which its SQL needs to end."""
+def travel_matrix(spark, sf_dir):
+    """Every travel time; without SQL, as a recursive query does not end in time. Tested against Dijkstra."""
     targets = spark.range(1, 200, 9).select(F.col("id").alias("node"))
     return routing.matrix(view(spark, sf_dir, "road_edges"), _sources(spark), targets)
 
@@ -485,3 +485,6 @@ def osm_xml(spark, sf_dir):
 @query()
 def geojson_rows(spark, sf_dir):
     return osm.point_features(view(spark, sf_dir, "places"), "lon_e7", "lat_e7", ["id", "name", "type", "address"])
+
+
+from . import graph_queries, map_queries  # noqa: E402, F401  they register their queries here

@@ -69,12 +69,3 @@ def read_geojson(spark: SparkSession, path: str, properties: str, geometry: str
     schema = f"features array<struct<type:string, properties:struct<{properties}>, geometry:struct<{geometry}>>>"
     schema = schema if ":" in properties else f"features array<struct<type:string, properties:struct<{', '.join(p.strip().replace(' ', ':', 1) for p in properties.split(','))}>, geometry:struct<{', '.join(p.strip().replace(' ', ':', 1) for p in geometry.split(', '))}>>>"
     return spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
-
-
-def read_streets(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Streets from Parquet or GeoJSON, by the path's ending."""
-    if path.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(path)
-    if path.rstrip("/").endswith((".geojson", ".json")):
-        return read_geojson(spark, path, **options)
-    raise ValueError(f"no reader for {path}")
