@@ -83,7 +83,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, node, sig, bits): node is a hash of the whole set, so equal sets are one node; null without words."""
+    """(doc_id, text_hash, n_shingles, node, other, sig, bits): node and other are two hashes of the whole set, null without words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,14 +93,14 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             out = []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, size)
-                node = int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None
-                out.append((len(s), node, signature(s).tobytes() if len(s) else None, bit_map(s) if len(s) else None))
-            cols = zip(*out, strict=True) if out else ((), (), (), ())
-            made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+                node, other = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64).tolist() if len(s) else (None, None)
+                out.append((len(s), node, other, signature(s).tobytes() if len(s) else None, bit_map(s) if len(s) else None))
+            cols = zip(*out, strict=True) if out else ((), (), (), (), ())
+            made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
             # Ids stay Arrow values: through pandas a null among them would turn large ones into other numbers.
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], ["doc_id", "text_hash", "n_shingles", "node", "sig", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], ["doc_id", "text_hash", "n_shingles", "node", "other", "sig", "bits"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, node long, sig binary, bits binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, node long, other long, sig binary, bits binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -233,12 +233,21 @@ def components(nodes: DataFrame, texts: DataFrame, percent: int, size: int) -> D
     return comps.select("node", F.col("component").alias("comp")) if comps is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
+def _nodes(rows: DataFrame) -> DataFrame:
+    """node, n_shingles, sig, bits, at_id, at_hash (the row that stands for it), one_set: one row for each node of signatures()."""
+    by_id = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    one = (F.min("other") == F.max("other")).alias("one_set")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(by_id).alias("at"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"), F.min("bits").alias("bits"), one)
+    return staged(nodes.select("node", "n_shingles", "sig", "bits", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash"), "one_set"), "nodes")
+
+
 def judged(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     """What near_duplicates() returns, with text_hash and comp: equal for linked rows, null for those that link with nothing for want of words."""
     rows = staged(signatures(docs, size), "signatures")
-    by_id = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(by_id).alias("at"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"), F.min("bits").alias("bits"))
-    nodes = staged(nodes.select("node", "n_shingles", "sig", "bits", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash")), "nodes")
+    nodes = _nodes(rows)
+    if not nodes.where("NOT one_set").isEmpty():  # sets that differ and have the same first hash
+        rows = rows.withColumn("node", F.when(F.col("node").isNotNull(), F.xxhash64("node", "other")))
+        nodes = _nodes(rows)
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     texts = nodes.select("node", "at_id", "at_hash").join(source, F.col("at_id").eqNullSafe(F.col("doc_id")) & (F.col("at_hash") == F.col("text_hash"))).select("node", "text").dropDuplicates(["node"])
     comps = components(nodes.select("node", "n_shingles", "sig", "bits"), texts, percent, size)
@@ -253,8 +262,8 @@ def judged(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of documents (doc_id, text).
 
-    Null texts and texts without words have an empty set, link with nothing and are kept. Equal sets are one node
-    from the start, so repeated rows and groups of copies cost one signature. Of a component the row(s) with the
+    Null texts and texts without words have an empty set, link with nothing and are kept. Equal sets (by 128 bits of
+    hash) are one node from the start, so repeated rows and groups of copies cost one signature. Of a component the row(s) with the
     smallest doc_id are kept. A null doc_id is no smallest id: such a row is kept only if its component has no id at
     all. An empty table gives no rows. Columns other than doc_id and text are not read.
     """
