@@ -165,3 +165,17 @@ def test_geometry_of_lines_as_degrees(spark):
     assert fixed.select(geo.length(F.col("line")).alias("d"), geo.linestring_json(F.col("line")).alias("j")).first().d == 5.0
     point = spark.createDataFrame([(5.0, 5.0)], "x double, y double")
     assert point.select(geo.projection_t(F.col("x"), F.col("y"), F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(0.0))).first()[0] == 0.5
+
+
+def test_tours_are_exact_up_to_eleven_stops():
+    from itertools import permutations
+    from random import Random
+
+    r = Random(8)
+    for n, closed in ((1, True), (2, True), (6, True), (6, False)):
+        cost = {(a, b): r.randint(1, 30) for a in range(n) for b in range(n) if a != b}
+        legs = lambda o: sum(cost[p] for p in zip(o, o[1:])) + (cost[o[-1], o[0]] if closed and n > 1 else 0)  # noqa: B023, E731
+        want = min((legs((0, *p)), [0, *p]) for p in permutations(range(1, n)))
+        assert routing._order(cost, list(range(n)), closed) == want
+    cost = {(a, b): r.randint(1, 30) for a in range(11) for b in range(11) if a != b}
+    assert sorted(routing._order(cost, list(range(11)), True)[1]) == list(range(11))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import count, permutations
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -12,6 +12,8 @@ from .areas import convex_hull
 
 #: A route's steps are written together after so many, which bounds the plan.
 TOGETHER = 50
+#: Tours of so many stops are solved exactly.
+EXACT_STOPS = 11
 
 
 def _leading(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -93,17 +95,34 @@ def routes(edges: DataFrame, requests: DataFrame) -> DataFrame:
     return all_.select("request", step.cast("long").alias("step"), "node", "seconds")
 
 
+def _exact(cost: dict, stops: list, closed: bool) -> tuple[float, list]:
+    """The cheapest order that starts at stops[0] (of equal ones the least), by the sets of stops visited."""
+    far, first, n = float("inf"), stops[0], len(stops)
+    best = {(1, 0): (0.0, [first])}
+    for size in range(1, n):
+        after: dict = {}
+        for (seen, last), (c, order) in best.items():
+            for k in range(1, n):
+                if not seen >> k & 1:
+                    new = (c + cost.get((stops[last], stops[k]), far), [*order, stops[k]])
+                    key = (seen | 1 << k, k)
+                    if key not in after or new < after[key]:
+                        after[key] = new
+        best = after
+    back = lambda o: cost.get((o[-1], first), far) if closed and n > 1 else 0
+    return min((c + back(o), o) for c, o in best.values())
+
+
 def _order(cost: dict, stops: list, closed: bool) -> tuple[float, list]:
-    """The cheapest order that starts at stops[0]: exact for up to 8 stops, nearest neighbour and 2-opt beyond."""
+    """The cheapest order that starts at stops[0]: exact for up to EXACT_STOPS, nearest neighbour and 2-opt beyond (tours are hard)."""
 
     def total(order):
         legs = [cost.get(p, float("inf")) for p in zip(order, order[1:], strict=False)]
         return sum(legs) + (cost.get((order[-1], order[0]), float("inf")) if closed and len(order) > 1 else 0)
 
     first, rest = stops[0], stops[1:]
-    if len(stops) <= 8:
-        best = min(([first, *p] for p in permutations(rest)), key=lambda o: (total(o), o))
-        return total(best), best
+    if len(stops) <= EXACT_STOPS:
+        return _exact(cost, stops, closed)
     order, left = [first], set(rest)
     while left:
         n = min(left, key=lambda s: (cost.get((order[-1], s), float("inf")), s))

@@ -18,7 +18,8 @@ def edits(term: Column) -> Column:
 def fuzzy_search(df: DataFrame, key: str, fields: dict[str, float], query: str, size: int = 20) -> DataFrame:
     """(key, score): the best field's boosted share of query terms matched, an edit costing part of a term; top `size`.
 
-    Terms of both sides are exploded and joined on a bounded number of query terms; rows without a match do not come.
+    Every word of a row's fields is compared with the few terms of the query, in one pass without a shuffle before the
+    top rows; rows without a match do not come.
     """
     terms = list(dict.fromkeys(query.lower().split()))
     if not terms:
