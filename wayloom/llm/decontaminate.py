@@ -19,8 +19,8 @@ COVERAGE = 0.8
 SLACK = 4
 #: One way to lay an item on a document.
 ALIGNMENT = ["row", "item_id", "way", "at"]
-#: Benchmark windows up to this many (16 bytes and the slots each) go to every task; more are joined by a shuffle.
-BROADCAST_WINDOWS = 500_000
+#: Benchmark windows up to this many bytes (with their slots) go to every task; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 # Units, as written after a number.
 UNITS = "km cm mm kg mg ml ms mph kmh km/h kwh mb gb tb hz khz mhz m g l s h min sec hours hour days day weeks week months month years year minutes minute seconds second miles mile meters metres meter metre feet foot inches inch pounds pound dollars dollar euros euro cents percent degrees liters litres liter litre grams gram kilograms kilometers kilometres usd eur".split()
@@ -32,51 +32,81 @@ _UNIT = "|".join(sorted((u.replace("/", "\\/") for u in UNITS), key=len, reverse
 _NUMBER = r"[-+]?[$€£]?[0-9]++(?:[.,:\/][0-9]++)*+[%°€$]?"
 
 
-def template(text: Column) -> Column:
-    """Array of (t, v) for each word: its template word, and its value in lower case where that is a placeholder, else null.
+def _marked(text: Column) -> Column:
+    """A text (null: empty) with marks before its placeholders' values, and spaces for what parts words or is no part of one.
 
-    A null text has no words. Words that are only punctuation do not count.
+    Each pattern first looks at one character, so that it gives up at once nearly everywhere.
     """
-    safe = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\u0001-\u0003]++", " ")
-    apart = F.regexp_replace(safe, rf"(?<![\p{{L}}\p{{N}}])({_NUMBER})(?=(?:{_UNIT})(?![\p{{L}}\p{{N}}]))", "$1 ")
-    named = F.regexp_replace(apart, rf"(?:(?<=[\p{{L}}\p{{N}},;] )|(?<![\p{{L}}\p{{N}}\p{{M}}])(?<![\p{{L}}\p{{N}}\p{{M}}]['’-])(?!(?:{_PLAIN})(?!\p{{L}})))(\p{{Lu}}\p{{Ll}}++)(?!\p{{Lu}})", "\u0001$1")
-    numbered = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}\u0001])({_NUMBER})(?![\p{{L}}\p{{N}}])", "\u0002$1")
-    marked = F.regexp_replace(numbered, rf"(?i)(\u0002\S++ )({_UNIT})(?![\p{{L}}\p{{N}}])", "$1\u0003$2")
+    safe = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?: (?=[\s\u0001-\u0003])|[^\S ]|[\u0001-\u0003])[\s\u0001-\u0003]*+", " ")
+    apart = lambda t: F.regexp_replace(t, rf"(?=[-+$€£0-9])(?<![\p{{L}}\p{{N}}])({_NUMBER})(?=(?:{_UNIT})(?![\p{{L}}\p{{N}}]))", "$1 ")
+    named = lambda t: F.regexp_replace(t, rf"(?=\p{{Lu}})(?:(?<=[\p{{L}}\p{{N}},;] )|(?<![\p{{L}}\p{{N}}\p{{M}}])(?<![\p{{L}}\p{{N}}\p{{M}}]['’-])(?!(?:{_PLAIN})(?!\p{{L}})))(\p{{Lu}}\p{{Ll}}++)(?!\p{{Lu}})", "\u0001$1")
+    numbered = lambda t: F.regexp_replace(t, rf"(?=[-+$€£0-9])(?<![\p{{L}}\p{{N}}\u0001])({_NUMBER})(?![\p{{L}}\p{{N}}])", "\u0002$1")
+    units = lambda t: F.regexp_replace(t, rf"(\u0002\S++ )((?i:{_UNIT}))(?![\p{{L}}\p{{N}}])", "$1\u0003$2")
+    # A text without digits has no numbers and so no units. The array holds one text, which is so made once.
+    both = lambda t: F.when(F.rlike(t, F.lit("[0-9]")), units(numbered(named(apart(t))))).otherwise(named(t))
+    marked = F.get(F.transform(F.array(safe), both), F.lit(0))
     # Quotation marks before a placeholder go. Inside a number its signs stay; elsewhere what is no letter, digit or mark parts words or goes.
-    bare = F.regexp_replace(marked, r"[^\p{L}\p{N}\p{M}\s\u0001-\u0003'’.,:$€£%°\/+-]++|(?<![0-9$€£])[.,:$€£\/+](?![0-9])|(?<=[0-9%°])[.,:\/+-]++(?![0-9])|(?<![\p{L}\p{N}\p{M}])['’-]++(?=[\u0001\u0002])", " ")
-    # Lower case is made word by word: on a whole text with letters beyond ASCII it costs more than all of the above.
-    words = F.filter(F.transform(F.split(bare, r"\s+"), lambda w: F.lower(w)), lambda w: F.rlike(w, F.lit(r"[\p{L}\p{N}]")))
-    first = lambda w: F.substring(w, 1, 1)
-    slot = lambda w: w < "\u0004"
-    kind = lambda w: F.when(~slot(w), F.translate(w, "'’.,:$€£%°/+-", "")).when(first(w) == "\u0001", F.lit("<name>")).when(first(w) == "\u0002", F.lit("<number>")).otherwise(F.lit("<unit>"))
-    return F.transform(words, lambda w: F.struct(kind(w).alias("t"), F.when(slot(w), F.translate(w, "\u0001\u0002\u0003'’", "")).alias("v")))
+    return F.regexp_replace(marked, r"(?![a-zA-Z0-9 ])(?:[^\p{L}\p{N}\p{M}\s\u0001-\u0003'’.,:$€£%°\/+-]++|(?<![0-9$€£])[.,:$€£\/+](?![0-9])|(?<=[0-9%°])[.,:\/+-]++(?![0-9])|(?<![\p{L}\p{N}\p{M}])['’-]++(?=[\u0001\u0002]))", " ")
+
+
+def _kind(w: Column) -> Column:
+    """The template word of one of _marked's words: a placeholder, or the word in lower case without punctuation ("" if it has no more).
+
+    Lower case is made word by word: on a whole text with letters beyond ASCII it costs more than all patterns.
+    """
+    return F.when(w >= "\u0004", F.translate(F.lower(w), "'’.,:$€£%°/+-", "")).when(w < "\u0001", F.lit("")).when(w < "\u0002", F.lit("<name>")).when(w < "\u0003", F.lit("<number>")).otherwise(F.lit("<unit>"))
+
+
+def _value(w: Column) -> Column:
+    """The value of a placeholder in lower case, null for other words."""
+    return F.when(w < "\u0004", F.translate(F.lower(w), "\u0001\u0002\u0003'’", ""))
+
+
+def _windows_of(t: str) -> Column:
+    """The hashes of the windows over the words' hashes t; one short window if there are fewer words."""
+    at = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.greatest(F.size(t) - WINDOW, F.lit(0))))
+    return F.transform(at, lambda i: F.xxhash64(*(F.get(t, i + k) for k in range(WINDOW))))
+
+
+def places(df: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each window: key, pos (from 0), h."""
+    hashed = F.transform(F.split(_marked(F.col("text")), " "), lambda w: F.xxhash64(_kind(w)))
+    # No filter on the size: pushed below the projection, it would make every template twice.
+    parts = df.select(*key, F.filter(hashed, lambda h: h != F.xxhash64(F.lit(""))).alias("t"))
+    return parts.select(*key, F.posexplode(_windows_of("t")).alias("pos", "h"))
 
 
 def windows(df: DataFrame, key: list[str]) -> DataFrame:
     """One row for each window: key, pos (from 0), h, slots (for each of its words the placeholder's value, or null)."""
-    words = df.select(*key, template(F.col("text")).alias("w"))
-    parts = words.select(*key, F.col("w.t").alias("t"), F.col("w.v").alias("v"))
-    # No filter on the size: pushed below the projection, it would make every template twice.
-    at = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.greatest(F.size("t") - WINDOW, F.lit(0))))
-    listed = parts.select(*key, F.posexplode(F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("t", i + 1, WINDOW)).alias("h"), F.slice("v", i + 1, WINDOW).alias("slots")))).alias("pos", "x"))
+    parts = df.select(*key, F.filter(F.transform(F.split(_marked(F.col("text")), " "), lambda w: F.struct(_kind(w).alias("t"), _value(w).alias("v"))), lambda x: x["t"] != "").alias("w"))
+    parts = parts.select(*key, F.transform("w.t", lambda t: F.xxhash64(t)).alias("t"), F.col("w.v").alias("v"))
+    listed = parts.select(*key, "v", _windows_of("t").alias("h")).select(*key, F.posexplode(F.transform("h", lambda h, i: F.struct(h.alias("h"), F.slice("v", i + 1, WINDOW).alias("slots")))).alias("pos", "x"))
     return listed.select(*key, "pos", F.col("x.h").alias("h"), F.col("x.slots").alias("slots"))
 
 
+def _aligned(hits: DataFrame) -> DataFrame:
+    """hits(pos, ipos, ..) with line, the item's place in the document, in steps of SLACK, each hit in the two steps around it."""
+    shift = F.floor((F.col("pos") - F.col("ipos")) / SLACK)
+    return hits.withColumn("line", F.explode(F.array(shift, shift + 1)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(row, item_id, n_matched, n_words, same_values) for the items that a document holds; row is docs' key column."""
-    items = staged(windows(benchmark.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text")), ["item_id"]), "benchmark")
-    totals = items.groupBy("item_id").agg(F.max(F.col("pos") + F.size("slots")).alias("n_words"))
+    """(row, item_id, n_matched, n_words, same_values) for the items that a document holds; row is docs' key column.
+
+    All documents are read for where windows hit; only those that cover an item are read again for their slots.
+    """
+    items = staged(windows(benchmark.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text")), ["item_id"]).withColumn("w", F.size("slots")), "benchmark")
+    totals = items.groupBy("item_id").agg(F.max(F.col("pos") + F.col("w")).alias("n_words"))
+    size = items.agg(F.sum(40 + 16 * F.col("w") + F.octet_length(F.array_join("slots", ""))).alias("n")).first()["n"]
+    small = F.broadcast if (size or 0) <= BROADCAST_BYTES else lambda df: df
     # A template that several items share is one row of the join until it has met a document.
-    asked = items.groupBy("h").agg(F.collect_list(F.struct("item_id", F.col("pos").alias("ipos"), F.col("slots").alias("islots"))).alias("at"))
-    if items.count() <= BROADCAST_WINDOWS:
-        asked = F.broadcast(asked)
-    hits = windows(docs, ["row"]).join(asked, "h")
-    hits = staged(hits.select("row", "pos", "slots", F.inline("at")), "hits")
-    # Alignments: the item's place in the document, in steps of SLACK, each hit in the two steps around it.
-    shift = F.floor((F.col("pos") - F.col("ipos")) / SLACK)
-    aligned = hits.select("row", "item_id", "pos", "ipos", "slots", "islots", F.explode(F.array(shift, shift + 1)).alias("line"))
-    lines = _covering(aligned, ["row", "item_id", "line"], totals)
-    near = staged(aligned.join(lines.select("row", "item_id", "line"), ["row", "item_id", "line"], "left_semi").distinct(), "near")
+    asked = items.groupBy("h").agg(F.collect_list(F.struct("item_id", F.col("pos").alias("ipos"), "w")).alias("at"))
+    hits = staged(places(docs, ["row"]).join(small(asked), "h").select("row", "pos", F.inline("at")), "hits")
+    lines = staged(_covering(_aligned(hits), ["row", "item_id", "line"], totals).select("row", "item_id", "line").distinct(), "lines")
+    again = docs.join(lines.select("row").distinct(), "row", "left_semi")
+    with_slots = items.groupBy("h").agg(F.collect_list(F.struct("item_id", F.col("pos").alias("ipos"), F.col("slots").alias("islots"), "w")).alias("at"))
+    aligned = _aligned(windows(again, ["row"]).join(small(with_slots), "h").select("row", "pos", "slots", F.inline("at")))
+    near = staged(aligned.join(lines, ["row", "item_id", "line"], "left_semi").distinct(), "near")
     taken = _one_to_one(near)
     lines = _covering(taken, ALIGNMENT, totals)
     pairs = taken.where(F.exists("slots", lambda v: v.isNotNull()))
@@ -91,7 +121,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _covering(hits: DataFrame, by: list[str], totals: DataFrame) -> DataFrame:
     """The alignments (by) whose windows cover enough of the item, with n_matched, its words that they cover."""
-    starts = hits.groupBy(*by).agg(F.sort_array(F.collect_set("ipos")).alias("i"), F.max(F.size("slots")).alias("w"))
+    starts = hits.groupBy(*by).agg(F.sort_array(F.collect_set("ipos")).alias("i"), F.max("w").alias("w"))
     covered = F.aggregate("i", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, i: F.struct((a["n"] + F.col("w") - F.greatest(a["end"] - i, F.lit(0))).alias("n"), (i + F.col("w")).alias("end")), lambda a: a["n"])
     return starts.select(*by, covered.alias("n_matched")).join(totals, "item_id").where(F.col("n_matched") >= COVERAGE * F.col("n_words"))
 
@@ -106,7 +136,7 @@ def _one_to_one(near: DataFrame) -> DataFrame:
     """
     item = W.partitionBy("row", "item_id", "line")
     same = F.col("slots").eqNullSafe(F.col("islots"))
-    at = near.select("row", "item_id", "line", "pos", "ipos", "slots", "islots", (F.col("pos") - F.col("ipos")).alias("shift"), same.cast("int").alias("same"))
+    at = near.select("row", "item_id", "line", "pos", "ipos", "slots", "islots", "w", (F.col("pos") - F.col("ipos")).alias("shift"), same.cast("int").alias("same"))
     shifts = W.partitionBy("row", "item_id", "line", "shift")
     at = at.withColumn("n", F.count("*").over(shifts)).withColumn("n_same", F.sum("same").over(shifts))
     at = at.withColumn("sure", F.when(F.count("*").over(W.partitionBy("row", "item_id", "line", "ipos")) == 1, F.col("shift")))
@@ -118,8 +148,8 @@ def _one_to_one(near: DataFrame) -> DataFrame:
     best = W.partitionBy("row", "item_id", "line", "ipos")
     ranked = ranked.select("*", *((F.col(f"w{i}") == F.max(f"w{i}").over(best)).alias(f"is{i}") for i in range(len(ways))))
     way = F.array(F.struct(F.lit(0).alias("way"), F.col("shift").alias("at")), *(F.when(F.col(f"is{i}"), F.struct(F.lit(i + 1).alias("way"), F.col("line").alias("at"))) for i in range(len(ways))))
-    each = ranked.select("row", "item_id", "ipos", "slots", "islots", F.explode(F.array_compact(way)).alias("a"))
-    return each.select("row", "item_id", F.col("a.way").alias("way"), F.col("a.at").alias("at"), "ipos", "slots", "islots")
+    each = ranked.select("row", "item_id", "ipos", "slots", "islots", "w", F.explode(F.array_compact(way)).alias("a"))
+    return each.select("row", "item_id", F.col("a.way").alias("way"), F.col("a.at").alias("at"), "ipos", "slots", "islots", "w")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
