@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.staging import table
+from . import caches
 
 TRAIN_PAGES, MADE_PAGES, EPOCHS = 120, 420, 6
 #: Pages of the table that are longer (in characters) are no examples.
@@ -182,15 +183,17 @@ class _WordBuckets(dict):
 
 
 _words = _WordBuckets()
+caches.register("pages", _words.clear)
 MEASURES = 11
 INPUTS = PATH_DIMS + WORD_DIMS + MEASURES
 
 
 def vectors(page: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
     """One row for each block; first and total place a part of a page in it."""
+    caches.claim("pages")
     x = np.zeros((len(page), INPUTS), dtype=np.float32)
     last = max(1, (len(page) if total is None else total) - 1)
-    if len(_words) > 500_000:
+    if len(_words) > 300_000:
         _words.clear()
     paths: dict[int, np.ndarray] = {}
     for r, (text, node, links) in enumerate(page):

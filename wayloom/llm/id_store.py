@@ -26,6 +26,8 @@ BLOCK_BYTES = 1 << 20
 BUCKET_KEYS = 100_000
 #: Lookups that ask for so many buckets or blocks at most read no others.
 FEW_PLACES = 200
+#: Texts of a batch that are Python strings at once.
+SLICE = 500
 #: Bits per key in the first level.
 GAMMA = 2.0
 
@@ -155,7 +157,7 @@ class IdStore:
                 cols = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([sum(lens)], pa.int64()), pa.array([b"".join(parts)], pa.binary()), own, pa.array([lens], pa.list_(pa.int64()))]
                 return pa.RecordBatch.from_arrays(cols, ["shard", "block", "n_ids", "payload", "keys", "lens"])
 
-            for batch in batches:
+            for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
                 ids = batch.column("doc_id")
                 # Keys stay Arrow values: through pandas a null among them would turn large ones into other numbers.
                 for row, payload in enumerate(encoded(spec, batch.column("text").to_pylist(), end_id)):

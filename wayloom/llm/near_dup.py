@@ -34,6 +34,8 @@ SMALL_BUCKET = 8
 STAR_ROUNDS, RARE_ROUNDS = 2, 1
 #: Buckets that still span components then are compared in blocks of so many members.
 BLOCK = 256
+#: Texts of a batch that are Python strings at once.
+SLICE = 500
 #: Bits of a set's map: two sets differ in at least as many elements as their maps in bits.
 MAP_BITS = 2048
 
@@ -89,7 +91,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             out = []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, size)
@@ -106,18 +108,18 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar. A pair brings both texts; runs of the same a keep its set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None
-        for pdf in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ok = []
-            for a, ta, tb in zip(pdf["a"], pdf["ta"], pdf["tb"], strict=True):
+            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
                 if a != last:
                     last, kept = a, shingle_set(ta, size)
                 ok.append(similar(kept, shingle_set(tb, size), percent))
-            yield pdf.loc[ok, ["a", "b"]]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    return with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..plans.staging import staged, table
 from .tokens import encoded, tokenizer_spec
 
+#: Texts of a batch that are Python strings at once.
+SLICE = 500
+
 Bins = dict[tuple[int, ...], int]  # lengths in falling order -> number of such bins
 
 
@@ -167,7 +170,7 @@ def pieces(docs: DataFrame, spec: str, end_id: int, cap: int) -> DataFrame:
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(cap + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             at, out = [], []
             for row, payload in enumerate(encoded(spec, batch.column("text").to_pylist(), end_id)):
                 for i, (start, length) in enumerate(cut(len(payload) // 4, cap)):

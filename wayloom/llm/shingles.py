@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from . import caches
+
 #: Hashes of this many distinct words are kept by a worker.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -17,6 +19,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+caches.register("shingles", _hashes.clear)
 
 
 def split(text: str | None, lower: bool = False) -> list[bytes]:
@@ -26,6 +29,7 @@ def split(text: str | None, lower: bool = False) -> list[bytes]:
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
+    caches.claim("shingles")
     if len(_hashes) > CACHE_WORDS:
         _hashes.clear()
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))

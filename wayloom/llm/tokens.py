@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from . import caches
+
 #: Ids of twice this many chunks at most are kept by a worker: those used since the last turn, and before it.
 CACHE_CHUNKS = 700_000
 #: New plain chunks are encoded so many at once, and told apart again.
@@ -19,6 +21,7 @@ JOINED_CHUNKS = 128
 GROUP_CHARS = 2_000_000
 
 _encoders: dict[int, "ChunkEncoder"] = {}
+caches.register("tokens", _encoders.clear)
 #: A chunk: one space or line feed, and what follows up to the next.
 _CHUNK = re.compile(r"[ \n]?[^ \n]+|[ \n]")
 #: A plain chunk: Latin letters, then marks. In every supported layout it is a word and a run of marks.
@@ -148,6 +151,7 @@ class ChunkEncoder:
 
 def encoder(spec: str) -> ChunkEncoder:
     """One encoder per worker and file."""
+    caches.claim("tokens")
     key = hash(spec)
     if key not in _encoders:
         _encoders[key] = ChunkEncoder(spec)

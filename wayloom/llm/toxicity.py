@@ -14,18 +14,20 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.staging import table
+from . import caches
 
 BITS = 20
 TRAIN_ROWS = 10_000
 #: Features (four bytes each) of all training rows: the sample ends with the row that reaches it, so very long texts stay within a task's memory.
 TRAIN_ENTRIES = 40_000_000
 EPOCHS = 8
+#: Texts of a batch that are Python strings at once.
+SLICE = 500
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.0
 THRESHOLD = 0.7
 
@@ -43,11 +45,13 @@ class _Words(dict):
 
 
 _words = _Words()
+caches.register("toxicity", _words.clear)
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct buckets; none for a null or empty text."""
-    if len(_words) > 500_000:
+    caches.claim("toxicity")
+    if len(_words) > 300_000:
         _words.clear()
     w = (text if isinstance(text, str) else "").split()
     h = np.fromiter(map(_words.__getitem__, w), dtype=np.uint64, count=len(w))
@@ -114,8 +118,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [features(t).astype("<i4").tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("at"), pa.array(f, pa.binary())], ["toxic", "at", "f"])
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                f = [features(t).astype("<i4").tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("at"), pa.array(f, pa.binary())], ["toxic", "at", "f"])
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data: list[tuple[np.ndarray, int]] = []
@@ -149,12 +155,13 @@ def scorer(spark: SparkSession, weights: Weights) -> Callable[[str], Column]:
     """A function from a text column to its score in 0..1 (null: as an empty text, which has the bias only)."""
     shared = spark.sparkContext.broadcast(weights)
 
-    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = _dense(shared.value)
         for part in texts:
-            yield pd.Series([score(w, features(t)) for t in part], dtype="float64")
+            slices = (part.slice(at, SLICE).to_pylist() for at in range(0, len(part), SLICE))
+            yield pa.array([score(w, features(t)) for s in slices for t in s], pa.float64())
 
-    return F.pandas_udf(scores, "double")
+    return F.arrow_udf(scores, "double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
