@@ -130,12 +130,18 @@ class ChunkEncoder:
         plain: list[str] = []
         words: list[str] = []
         other: list[str] = []
-        match = _PLAIN.match
+        match, space = _PLAIN.match, _ALPHABET[32]
         for x in seen:
             if x in cache:
                 continue
             if x in old:
                 cache[x] = old[x]
+            elif self.leads and x[0] == " " and (w := x[1:]).isascii() and w.isalpha():  # what _words gives, without its steps
+                plain.append(x)
+                words.append(space + w)
+            elif self.drops and x.isascii() and x.isalpha():
+                plain.append(x)
+                words.append(x.lower())
             elif m := match(x):
                 plain.append(x)
                 words.append(self._words(m))
