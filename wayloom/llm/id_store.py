@@ -158,19 +158,20 @@ class IdStore:
                 return pa.RecordBatch.from_arrays(cols, ["shard", "block", "n_ids", "payload", "keys", "lens"])
 
             for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-                ids = batch.column("doc_id")
+                ids, first = batch.column("doc_id"), 0
                 # Keys stay Arrow values: through pandas a null among them would turn large ones into other numbers.
                 for row, payload in enumerate(encoded(spec, batch.column("text").to_pylist(), end_id)):
-                    if size >= BLOCK_BYTES and ids[row] != last:
+                    if size >= BLOCK_BYTES and ids[row] != (ids[row - 1] if row else last):
+                        keys.append(ids.slice(first, row - first))
                         yield full()
-                        block, keys, lens, parts, size = block + 1, [], [], [], 0
-                    last = ids[row]
+                        block, keys, lens, parts, size, first = block + 1, [], [], [], 0, row
                     raw = np.frombuffer(payload, "<u4").astype(dtype).tobytes()
-                    keys.append(ids.slice(row, 1))
                     lens.append(len(raw) // width)
                     parts.append(raw)
                     size += len(raw)
-            if keys:
+                keys.append(ids.slice(first))
+                last = ids[len(ids) - 1] if len(ids) else last
+            if lens:
                 yield full()
 
         ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
