@@ -10,8 +10,10 @@ from .packing import op3_best_fit_packing
 from .pii import op7_pii_disclosure
 from .quality import op5_robust_outliers
 from .quotes import op1_quotation_linking
+from .spelling import op12_spelling_variants
 from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .toxicity import op10_toxicity_ftrl
+from .vector_codes import op13_partial_distance_codes
 
 QUERIES = {
     f.__name__: f
@@ -26,6 +28,8 @@ QUERIES = {
         op8_perfect_hash_ids,
         op9_template_decontamination,
         op10_toxicity_ftrl,
+        op12_spelling_variants,
+        op13_partial_distance_codes,
     )
 }
 SQL = {"op4_substring_dedup": OP4_SQL}
