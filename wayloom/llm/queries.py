@@ -10,10 +10,11 @@ from .packing import op3_best_fit_packing
 from .pii import op7_pii_disclosure
 from .quality import op5_robust_outliers
 from .quotes import op1_quotation_linking
-from .spelling import op12_spelling_variants
+from .spelling import OP12_SQL, op12_spelling_variants
 from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .toxicity import op10_toxicity_ftrl
-from .vector_codes import op13_partial_distance_codes
+from .vector_codes import OP13_SQL, op13_partial_distance_codes
+from .warc import OP11_SQL, op11_capture_histories
 
 QUERIES = {
     f.__name__: f
@@ -28,8 +29,9 @@ QUERIES = {
         op8_perfect_hash_ids,
         op9_template_decontamination,
         op10_toxicity_ftrl,
+        op11_capture_histories,
         op12_spelling_variants,
         op13_partial_distance_codes,
     )
 }
-SQL = {"op4_substring_dedup": OP4_SQL}
+SQL = {"op4_substring_dedup": OP4_SQL, "op11_capture_histories": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_partial_distance_codes": OP13_SQL}

@@ -162,3 +162,18 @@ def vocabulary(docs: DataFrame, least_n: int = 3, **rule) -> DataFrame:
 
 def op12_spelling_variants(spark, sf_dir: str) -> DataFrame:
     return variants(staged(vocabulary(table(spark, sf_dir, "documents")), "words"))
+
+
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+OP12_SQL = f"""WITH RECURSIVE runs AS MATERIALIZED (SELECT doc_id, run, count(*) AS m FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{5,}}')), '{_UPPER}', '{_UPPER.lower()}') AS run FROM documents) r GROUP BY ALL),
+ bytes AS (SELECT run, m, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
+ crcs AS MATERIALIZED (SELECT run, m, xor(list_reduce([4294967295] || list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c // 256, t.tab[xor(c, b) % 256 + 1])), 4294967295) AS h FROM bytes, (SELECT {_CRC_TABLE} AS tab) t),
+ voc AS MATERIALIZED (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM (SELECT m, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM crcs) w WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+ cut AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS k FROM voc, LATERAL (SELECT unnest(range(length(word))) AS i) g),
+ longer AS (SELECT v.word AS a, v.n AS an, c.word AS b, c.n AS bn FROM voc v JOIN cut c ON v.word = c.k),
+ near AS MATERIALIZED (SELECT a.word AS a, a.n AS an, b.word AS b, b.n AS bn FROM cut a JOIN cut b ON a.k = b.k AND a.i = b.i AND a.word <> b.word UNION SELECT a, an, b, bn FROM longer UNION SELECT b, bn, a, an FROM longer),
+ best AS MATERIALIZED (SELECT a AS word, count(*) AS n_near, arg_min(b, r) AS form, max(bn) AS form_n, any_value(an) AS n FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY bn DESC, b) AS r FROM near) q GROUP BY a),
+ formed AS MATERIALIZED (SELECT word, form, form_n FROM best WHERE form_n >= 2 * n),
+ walk AS (SELECT word, form AS root FROM formed UNION SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.root),
+ roots AS (SELECT word, root FROM walk WHERE root NOT IN (SELECT word FROM formed))
+SELECT v.word, f.form, coalesce(r.root, v.word) AS root, v.n, coalesce(b.n_near, 0) AS n_near, f.form_n FROM voc v LEFT JOIN best b USING (word) LEFT JOIN formed f USING (word) LEFT JOIN roots r USING (word)"""

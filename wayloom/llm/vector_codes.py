@@ -189,3 +189,25 @@ def op13_partial_distance_codes(spark, sf_dir: str) -> DataFrame:
     books = Codebooks.fit(vectors)
     coded = with_label_errors(staged(books.encode(vectors), "codes"))
     return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def _sql(rounds: int = 4) -> str:
+    """The query in SQL, for vectors of one length that four divides; distances are exact as doubles."""
+    dot = lambda a, b: f"list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+    found = "SELECT rid, part, any_value(x) AS x, min(CAST(xx - 2 * " + dot("x", "e") + " + ee AS BIGINT) * 256 + entry) AS m FROM p JOIN c{r} USING (part) GROUP BY rid, part"
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({found.format(r=r)})")
+        mean = "(s - ((s % n) + n) % n) // n"
+        sums = f"SELECT part, m % 256 AS entry, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) u GROUP BY ALL"
+        steps.append(f"n{r} AS (SELECT part, entry, list({mean} ORDER BY i) AS e FROM ({sums}) q GROUP BY part, entry)")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT part, entry, e, {dot('e', 'e')} AS ee FROM (SELECT c.part, c.entry, coalesce(n.e, c.e) AS e FROM c{r} c LEFT JOIN n{r} n USING (part, entry)) q)")
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS MATERIALIZED (SELECT rid, part, x, {dot('x', 'x')} AS xx FROM (SELECT rid, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS x FROM k, range(4) r(part)) q),
+ c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x AS e, xx AS ee FROM p WHERE rid <= 256), {", ".join(steps)},
+ f AS MATERIALIZED ({found.format(r=rounds)}), d AS (SELECT rid, string_agg(lower(printf('%02x', m % 256)), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM f GROUP BY rid),
+ h AS (SELECT sha256(string_agg(CAST(e[i] AS VARCHAR), ',' ORDER BY part, entry, i)) AS digest FROM c{rounds}, LATERAL (SELECT unnest(range(1, len(e) + 1)) AS i) u)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM k JOIN d USING (rid), h"""
+
+
+OP13_SQL = _sql()
