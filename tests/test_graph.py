@@ -83,8 +83,9 @@ def test_routes_and_orders(spark):
 def test_queries_read_whole_tables(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 150, 1), (150, 201, 1), (201, 100, 1), (1, 100, 9), (121, 190, 2), (100, 300, 1)], "src long, dst long, seconds long")
     points = spark.createDataFrame([(w, round(10**7 * math.cos(a)), round(10**7 * math.sin(a))) for w in (1, 41) for a in range(4)], "way_id long, x_e7 long, y_e7 long")
+    spots = spark.createDataFrame([(i, i, -i) for i in (1, 100, 150)], "node long, x_e7 long, y_e7 long")
     places = spark.createDataFrame([(i, 100 * i, i * i) for i in range(1, 17)], "id long, lon_e7 long, lat_e7 long")
-    monkeypatch.setattr(registry, "view", lambda s, d, name: {"road_edges": edges, "way_vertices": points, "places": places}[name])
+    monkeypatch.setattr(registry, "view", lambda s, d, name: {"road_edges": edges, "road_nodes": spots, "way_vertices": points, "places": places}[name])
     assert [r.node for r in registry.QUERIES["route_paths"](spark, "").where("request = 1").orderBy("step").collect()] == [1, 150, 201, 100]
     assert {r.way_id for r in registry.QUERIES["ring_fit"](spark, "").select("way_id").distinct().collect()} == {1, 41}
     assert sorted(r.stop for r in registry.QUERIES["stop_order"](spark, "").collect()) == list(range(1, 17))
@@ -105,7 +106,7 @@ def test_whole_travel_matrix_has_every_time(spark):
                 for m, c in out.get(n, []):
                     heapq.heappush(heap, (d + c, m))
         want |= {(source, t): best.get(t) for t in range(1, 200, 9)}
-    assert {(r.source, r.target): r.seconds for r in registry.QUERIES["travel_matrix_whole"](spark, sf).collect()} == want
+    assert {(r.source, r.target): r.seconds for r in registry.QUERIES["travel_matrix"](spark, sf).collect()} == want
     assert max(filter(None, want.values())) > 30
 
 

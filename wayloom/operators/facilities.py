@@ -44,7 +44,7 @@ def nearest_facilities(places: DataFrame, nodes: DataFrame, edges: DataFrame, lo
     start = edges.sparkSession.createDataFrame([(0, round(lon * 1e7), round(lat * 1e7))], "id long, x_e7 long, y_e7 long")
     stops = nearest_node(at, nodes, "id")
     source = nearest_node(start, nodes, "id").select("node")
-    times = routing.matrix(edges, source, stops.select("node")).select(F.col("target").alias("node"), "seconds")
+    times = routing.matrix(edges, source, stops.select("node"), nodes=nodes).select(F.col("target").alias("node"), "seconds")
     ranked = search.rank_facilities(near, stops.join(times, "node").select("id", "seconds"), limit)
     out = ranked.join(stops, "id").orderBy("seconds", "distance_m", "id")
     rank = F.row_number().over(routing.W.orderBy("seconds", "distance_m", "id"))  # `limit` rows
@@ -55,7 +55,7 @@ def facility_routes(found: DataFrame, nodes: DataFrame, edges: DataFrame, lon: f
     """(request, step, node, seconds): the way to each found facility; request is its id."""
     start = edges.sparkSession.createDataFrame([(0, round(lon * 1e7), round(lat * 1e7))], "id long, x_e7 long, y_e7 long")
     source = nearest_node(start, nodes, "id").select(F.col("node").alias("source"))
-    return routing.routes(edges, found.select(F.col("id").alias("request"), F.col("node").alias("target")).crossJoin(F.broadcast(source)).select("request", "source", "target"))
+    return routing.routes(edges, found.select(F.col("id").alias("request"), F.col("node").alias("target")).crossJoin(F.broadcast(source)).select("request", "source", "target"), nodes)
 
 
 def legs(visits: DataFrame) -> DataFrame:

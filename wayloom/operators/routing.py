@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..plans.staging import staged
 from .areas import convex_hull
+from .overlay import Overlay
 
-#: A route's steps are written together after so many, which bounds the plan.
-TOGETHER = 50
 #: Tours of so many stops are solved exactly.
 EXACT_STOPS = 11
 
@@ -50,9 +47,16 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: int | None = None, tar
     return best.drop("new")
 
 
-def matrix(edges: DataFrame, sources: DataFrame, targets: DataFrame, limit: int | None = None) -> DataFrame:
-    """(source, target, seconds) for every pair; null where there is no way, or none within `limit` seconds."""
-    reached = shortest(edges, sources, limit, targets).withColumnRenamed("node", "target")
+def matrix(edges: DataFrame, sources: DataFrame, targets: DataFrame, limit: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(source, target, seconds) for every pair; null where there is no way, or none within `limit` seconds.
+
+    With a limit the search spreads that far by frontiers; without one it climbs an overlay of cells, which are cut by
+    the positions of nodes (node, x_e7, y_e7) or, without them, by node.
+    """
+    if limit is None:
+        reached = Overlay.build(edges, nodes).times(sources, targets)
+    else:
+        reached = shortest(edges, sources, limit, targets).select("source", F.col("node").alias("target"), "seconds")
     pairs = sources.select(F.col("node").alias("source")).distinct().crossJoin(targets.select(F.col("node").alias("target")).distinct())
     return pairs.join(reached, ["source", "target"], "left").select("source", "target", "seconds")
 
@@ -80,19 +84,9 @@ def contour_hulls(reached: DataFrame, nodes: DataFrame, levels: int) -> DataFram
     return some.groupBy("source", "contour").applyInPandas(corners, kind)
 
 
-def routes(edges: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request, step, node, seconds) along one shortest route of each request (request, source, target), from the target back by `via`."""
-    reached = staged(shortest(edges, requests.select(F.col("source").alias("node")), targets=requests.select(F.col("target").alias("node"))), "tree")
-    at = requests.join(reached, (requests["source"] == reached["source"]) & (requests["target"] == reached["node"])).select("request", reached["source"], "node", "seconds", "via")
-    all_ = front = staged(at, "route")
-    for n in count(1):
-        front = front.where("via IS NOT NULL").select("request", "source", F.col("via").alias("node")).join(reached, ["source", "node"]).select("request", "source", "node", "seconds", "via")
-        front = staged(front, "route")
-        if front.isEmpty():
-            break
-        all_ = all_.union(front) if n % TOGETHER else staged(all_.union(front), "route")
-    step = F.row_number().over(W.partitionBy("request").orderBy("seconds", "node")) - 1
-    return all_.select("request", step.cast("long").alias("step"), "node", "seconds")
+def routes(edges: DataFrame, requests: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(request, step, node, seconds) along one shortest route of each request (request, source, target), through an overlay of cells."""
+    return Overlay.build(edges, nodes).routes(requests)
 
 
 def _exact(cost: dict, stops: list, closed: bool) -> tuple[float, list]:

@@ -395,7 +395,7 @@ def travel_matrix_within(spark, sf_dir):
 def travel_matrix(spark, sf_dir):
     """Every travel time; without SQL, as a recursive query does not end in time. Tested against Dijkstra."""
     targets = spark.range(1, 200, 9).select(F.col("id").alias("node"))
-    return routing.matrix(view(spark, sf_dir, "road_edges"), _sources(spark), targets)
+    return routing.matrix(view(spark, sf_dir, "road_edges"), _sources(spark), targets, nodes=view(spark, sf_dir, "road_nodes"))
 
 
 @query(f"{_REACH} SELECT source, node, seconds, greatest(1, CAST(ceil(seconds / 10.0) AS BIGINT)) AS contour FROM best")
@@ -406,7 +406,7 @@ def isochrone_nodes(spark, sf_dir):
 @query()
 def route_paths(spark, sf_dir):
     asked = spark.createDataFrame([(1, 1, 100), (2, 121, 190)], "request long, source long, target long")
-    return routing.routes(view(spark, sf_dir, "road_edges"), asked)
+    return routing.routes(view(spark, sf_dir, "road_edges"), asked, view(spark, sf_dir, "road_nodes"))
 
 
 @query()

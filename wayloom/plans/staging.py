@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,14 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Seconds between two releases on one machine, where steps are short and shuffle files small.
+RELEASE_SECONDS = 10.0
+_released = 0.0
+
+
+def _release(spark: SparkSession) -> None:
+    """Shuffle files go once nothing on the JVM refers to their plan; a step that is written is done with its own."""
+    global _released
+    if spark.sparkContext.master.startswith("local[") and time.monotonic() - _released < RELEASE_SECONDS:
+        return
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    _released = time.monotonic()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder and read back with df's schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wayloom/{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files go once nothing on the JVM refers to their plan; a step that is written is done with its own.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
