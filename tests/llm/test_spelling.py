@@ -15,13 +15,13 @@ def one_edit(a, b):
     return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def vocabulary(texts, least_n=3):
+def vocabulary(texts, least_n=3, every=97):
     n = Counter()
     for i, t in texts:
         for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
             w = re.sub("[A-Z]", lambda m: m[0].lower(), w)
             h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
-            if h % 97 == 0:
+            if h % every == 0:
                 w = w[: h % len(w)] + w[h % len(w) + 1 :]
             if len(w) >= 5:
                 n[w] += 1
@@ -71,7 +71,7 @@ def test_counts_nulls_and_case(spark):
     texts = [(1, "Hello hello HELLO hallo, hallo\nhallo"), (1, "Hello hello HELLO hallo"), (None, "École école éCOLE ÉCOLE straße"), (4, None), (5, ""), (6, "hello" * 5000 + " strasse" * 6), (7, "hello÷hellô×hellô hellô")]
     for every in (97, 1):
         voc = spelling.vocabulary(docs(spark, texts), every=every)
-        assert {r.word: r.n for r in voc.collect()} == (vocabulary(texts) if every == 97 else {w: n for w, n in Counter(w[: (h := zlib.crc32(f"{'' if i is None else i}:{w}".encode())) % len(w)] + w[h % len(w) + 1 :] for i, t in texts for x in re.findall("[A-Za-zÀ-ÿ]{5,}", t or "") for w in [re.sub("[A-Z]", lambda m: m[0].lower(), x)]).items() if n >= 3 and len(w) >= 5})
+        assert {r.word: r.n for r in voc.collect()} == vocabulary(texts, every=every)
     assert got(spelling.variants(spelling.vocabulary(docs(spark, texts)))) == want(vocabulary(texts))
     assert spelling.variants(spelling.vocabulary(docs(spark, []))).collect() == []
 

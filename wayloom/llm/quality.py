@@ -48,7 +48,10 @@ def _words(text: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, grouping columns, the base statistics and features f0.. of every row."""
+    """doc_id, grouping columns, the base statistics and features f0.. of every row, written to the shared folder.
+
+    Were it a plan, a filter on a statistic would be pushed through it and copy the array expressions again and again.
+    """
     text = F.coalesce("text", F.lit(""))
     source = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text.alias("text"))
     length = lambda drop: F.length(F.regexp_replace("text", drop, ""))
@@ -80,7 +83,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     ]
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     cols = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return based.select(*cols, failed.alias("base_failed"), *(f.alias(f"f{i}") for i, f in enumerate(features)))
+    return staged(based.select(*cols, failed.alias("base_failed"), *(f.alias(f"f{i}") for i, f in enumerate(features))), "statistics")
 
 
 def _total(cols: list[Column]) -> Column:
@@ -204,7 +207,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     estimates and have no distance. Repeated rows and ties are judged alike; a distance at the cutoff is kept. Texts of
     any length are read whole. An empty table gives no rows. Other columns are not read.
     """
-    stats = staged(statistics(docs), "statistics")
+    stats = statistics(docs)
     fit = _pools(stats.where("NOT base_failed"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     own = _shrunk(estimates(fit), ESTIMATE[1:])
