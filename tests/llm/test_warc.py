@@ -69,7 +69,7 @@ def test_edge_cases(spark, monkeypatch):
 
 def test_runs_merge_into_one_order(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "MERGE_ROWS", 40)
-    when = [datetime(2020, 1, 1 + (i * 7) % 28, tzinfo=timezone.utc) for i in range(300)]
+    when = [datetime(2020, 1, 1 + (i * 7) % 28, microsecond=i * 3001, tzinfo=timezone.utc) for i in range(300)]
     rows = [(i, f"http://{'hot' if i % 3 else 'h%d' % (i % 20)}.org/p{i % 2}", when[i], f"body {i % 150}".encode()) for i in range(300)]
     caps = spark.createDataFrame(rows, "id long, url string, time timestamp, payload binary").repartition(7)
     path = str(tmp_path / "w")

@@ -110,7 +110,7 @@ class Codebooks:
     def fit(cls, vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int = 4) -> Codebooks:
         """Starts from the vectors of the smallest vec_ids (null last; ties by components) and moves each entry, `rounds` times, to the floor of the mean of the parts nearest to it."""
         first = vectors.orderBy(F.asc_nulls_last("vec_id"), "v").limit(entries).select("v").collect()
-        start = np.array([r["v"] for r in first], dtype=np.int64).reshape(len(first), -1)
+        start = np.array([r["v"] for r in first], dtype=np.int64).reshape(len(first), len(first[0]["v"]) if first else 0)
         cuts = _parts(start.shape[1], parts)
         out = cls([start[:, c].copy() for c in cuts], cuts)
         for _ in range(rounds if len(first) else 0):

@@ -219,7 +219,7 @@ def url_key(url: Column) -> Column:
 
 
 def planned(captures: DataFrame, least: int = 0) -> DataFrame:
-    """captures (id, url, time, payload binary) as rows to write, sorted within partitions by URL key, time and id.
+    """captures (id, url, time, payload binary) as rows to write, sorted within partitions by URL key, second and id as text.
 
     Of equal payloads of at least `least` bytes (a null payload is empty) those of the largest id are responses and the
     others revisit it; a null id is less than any, and where all are null all are responses. Payloads are not shuffled
@@ -241,8 +241,9 @@ def planned(captures: DataFrame, least: int = 0) -> DataFrame:
     else:
         full = full.withColumn("last", F.lit(None).cast(captures.schema["id"].dataType))
     revisit = F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
-    rows = full.withColumn("order", url_key(F.col("url"))).sortWithinPartitions("order", F.coalesce("time", F.timestamp_seconds(F.lit(0))), F.col("id"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    second = F.date_trunc("second", F.coalesce("time", F.timestamp_seconds(F.lit(0))))  # what a record says of its time
+    rows = full.sortWithinPartitions(url_key(F.col("url")), second, text("id"))
     return rows.select(text("id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "url", F.col("time").cast("timestamp").alias("time"), "digest", "payload_bytes", F.when(revisit, text("last")).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"))
 
 
