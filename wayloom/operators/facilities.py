@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import routing, search
+from .nearest import nearest_join
+from .overlay import Overlay
 
 # Metres a second by profile; a factor for what a profile's road class allows, 0 where it may not go.
 SPEEDS = {"auto": 13.9, "bicycle": 4.2, "pedestrian": 1.4}
@@ -26,36 +28,34 @@ def speed(profile: str, highway: Column) -> Column:
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """(key, node): the node nearest each of a few points (key, x_e7, y_e7); ties: the smallest. points are a request's, nodes a network's."""
-    p = F.broadcast(points.select(key, F.col("x_e7").alias("px"), F.col("y_e7").alias("py")))
-    dx, dy = F.col("px") - F.col("x_e7"), F.col("py") - F.col("y_e7")
-    near = nodes.crossJoin(p).groupBy(key).agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), "node")).alias("m"))
-    return near.select(key, F.col("m.node").alias("node"))
+    """(key, node): the node (node, x_e7, y_e7) nearest each of points (key, x_e7, y_e7); ties: the smallest."""
+    return nearest_join(points, nodes, 1, key).select(key, "node")
 
 
-def nearest_facilities(places: DataFrame, nodes: DataFrame, edges: DataFrame, lon: float, lat: float, kind: str, limit: int = 5, radius_km: float = 5.0) -> DataFrame:
+def nearest_facilities(places: DataFrame, nodes: DataFrame, edges: DataFrame, lon: float, lat: float, kind: str, limit: int = 5, radius_km: float = 5.0, overlay: Overlay | None = None) -> DataFrame:
     """(id, name, distance_m, seconds, minutes, node, rank): the `limit` places of a type soonest reached from (lon, lat).
 
     Candidates are the nearest within the radius by metres, more than asked for; each is reached over the road network
-    from its nearest node; those that cannot be reached go.
+    from its nearest node; those that cannot be reached go. An overlay of the edges serves any number of calls.
     """
     near = search.nearest_places(places, lon, lat, kind, limit, radius_km)
     at = near.select("id").join(places.select("id", F.col("lon_e7").alias("x_e7"), F.col("lat_e7").alias("y_e7")), "id")
     start = edges.sparkSession.createDataFrame([(0, round(lon * 1e7), round(lat * 1e7))], "id long, x_e7 long, y_e7 long")
     stops = nearest_node(at, nodes, "id")
     source = nearest_node(start, nodes, "id").select("node")
-    times = routing.matrix(edges, source, stops.select("node"), nodes=nodes).select(F.col("target").alias("node"), "seconds")
+    times = (overlay or Overlay.build(edges, nodes)).times(source, stops.select("node")).select(F.col("target").alias("node"), "seconds")
     ranked = search.rank_facilities(near, stops.join(times, "node").select("id", "seconds"), limit)
     out = ranked.join(stops, "id").orderBy("seconds", "distance_m", "id")
     rank = F.row_number().over(routing.W.orderBy("seconds", "distance_m", "id"))  # `limit` rows
     return out.withColumn("rank", rank.cast("long"))
 
 
-def facility_routes(found: DataFrame, nodes: DataFrame, edges: DataFrame, lon: float, lat: float) -> DataFrame:
+def facility_routes(found: DataFrame, nodes: DataFrame, edges: DataFrame, lon: float, lat: float, overlay: Overlay | None = None) -> DataFrame:
     """(request, step, node, seconds): the way to each found facility; request is its id."""
     start = edges.sparkSession.createDataFrame([(0, round(lon * 1e7), round(lat * 1e7))], "id long, x_e7 long, y_e7 long")
     source = nearest_node(start, nodes, "id").select(F.col("node").alias("source"))
-    return routing.routes(edges, found.select(F.col("id").alias("request"), F.col("node").alias("target")).crossJoin(F.broadcast(source)).select("request", "source", "target"), nodes)
+    asked = found.select(F.col("id").alias("request"), F.col("node").alias("target")).crossJoin(F.broadcast(source))  # one row
+    return (overlay or Overlay.build(edges, nodes)).routes(asked.select("request", "source", "target"))
 
 
 def legs(visits: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import areas, facilities, maps, routing, streets as tags, topology as topo
+from ..operators.overlay import Overlay
 from ..sources import extract, osm
 from .registry import _BOX, _FULL, _GAPS, _PI_TILE, _WN, PLACES, STREETS, V, _ends, _graph, _sources, base, query
+from .staging import staged
 from .views import sql, view
 
 _DEG = "printf('%.7f', {} / 1e7)"
@@ -170,8 +172,9 @@ def nearest_facilities(spark, sf_dir):
 def facility_routes(spark, sf_dir):
     """The ways to the facilities that nearest_facilities finds."""
     nodes, edges = view(spark, sf_dir, "road_nodes"), view(spark, sf_dir, "road_edges")
-    found = facilities.nearest_facilities(view(spark, sf_dir, "places"), nodes, edges, 46.7, 24.7, "hospital", 5, 20)
-    return facilities.facility_routes(found, nodes, edges, 46.7, 24.7)
+    overlay = Overlay.build(edges, nodes)
+    found = staged(facilities.nearest_facilities(view(spark, sf_dir, "places"), nodes, edges, 46.7, 24.7, "hospital", 5, 20, overlay), "found")
+    return facilities.facility_routes(found, nodes, edges, 46.7, 24.7, overlay)
 
 
 @query()
