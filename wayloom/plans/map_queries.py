@@ -88,8 +88,8 @@ def osm_xml_plain(spark, sf_dir):
 def bulk_documents(spark, sf_dir):
     """One document for the search index for each place: properties and geometry."""
     p = view(spark, sf_dir, "places")
-    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
-    return p.select("id", F.concat(F.lit('{"properties":{"name":'), quoted("name"), F.lit(',"type":'), quoted("type"), F.lit('},"geometry":{"type":"Point","coordinates":'), maps.position(F.col("lon_e7"), F.col("lat_e7")), F.lit("}}")).alias("doc"))
+    properties = F.to_json(F.struct("name", "type"), {"ignoreNullFields": "false"})
+    return p.select("id", F.concat(F.lit('{"properties":'), properties, F.lit(',"geometry":{"type":"Point","coordinates":'), maps.position(F.col("lon_e7"), F.col("lat_e7")), F.lit("}}")).alias("doc"))
 
 
 # --- tiles and styles ------------------------------------------------------------------------------------------------
@@ -103,12 +103,12 @@ def tile_points(spark, sf_dir):
     return maps.tile_points(view(spark, sf_dir, "places"), 12, ["id"])
 
 
-@query("SELECT CAST(z AS BIGINT) AS zoom, round(CASE WHEN z <= 5 THEN 0.5 WHEN z < 10 THEN 0.5 + (z - 5) / 5.0 * 1.5 WHEN z < 18 THEN 2.0 + (z - 10) / 8.0 * 10.0 ELSE 12.0 END, 6) AS width, CASE WHEN z >= 16 THEN 3.0 WHEN z >= 12 THEN 2.0 ELSE 1.0 END AS size FROM range(0, 23) r(z)")
+@query(f"SELECT id, z AS zoom, round(w * CASE WHEN z <= 5 THEN 0.5 WHEN z < 10 THEN 0.5 + (z - 5) / 5.0 * 1.5 WHEN z < 18 THEN 2.0 + (z - 10) / 8.0 * 10.0 ELSE 12.0 END, 6) AS width, CASE WHEN z >= 16 THEN 3.0 WHEN z >= 12 THEN 2.0 ELSE 1.0 END AS size FROM (SELECT pkStreetID AS id, pkStreetID % 23 AS z, coalesce(NoOfLane, 1) AS w FROM {STREETS} s) q")
 def zoom_style(spark, sf_dir):
-    """Line width and text size by zoom."""
-    z = spark.range(0, 23).select(F.col("id").alias("zoom"))
-    width = maps.interpolated(F.col("zoom"), [(5, 0.5), (10, 2.0), (18, 12.0)])
-    return z.select("zoom", F.round(width, 6).alias("width"), maps.stepped(F.col("zoom"), 1.0, [(12, 2.0), (16, 3.0)]).alias("size"))
+    """Line width by lanes and zoom and text size by zoom, for each street at one zoom."""
+    s = view(spark, sf_dir, "streets").select(F.col("pkStreetID").alias("id"), (F.col("pkStreetID") % 23).alias("zoom"), F.coalesce("NoOfLane", F.lit(1)).alias("lanes"))
+    width = F.col("lanes") * maps.interpolated(F.col("zoom"), [(5, 0.5), (10, 2.0), (18, 12.0)])
+    return s.select("id", "zoom", F.round(width, 6).alias("width"), maps.stepped(F.col("zoom"), 1.0, [(12, 2.0), (16, 3.0)]).alias("size"))
 
 
 @query("SELECT p_partkey AS id, f AS floor, round(h * f, 6) AS base, round(h * (f + 1), 6) AS top FROM (SELECT p_partkey, p_retailprice / nullif(p_size % 5, 0) AS h, unnest(range(0, p_size % 5)) AS f FROM part) q")
@@ -126,11 +126,11 @@ def property_labels(spark, sf_dir):
     return maps.properties(view(spark, sf_dir, "streets").withColumnRenamed("pkStreetID", "id"), "id", ["EnglishName", "NoOfLane", "Strar"])
 
 
-@query(f"SELECT id, name FROM {PLACES} p WHERE abs(lon_e7 - 466900000) <= 20000 AND abs(lat_e7 - 246900000) <= 20000 ORDER BY (lon_e7 - 466900000) * (lon_e7 - 466900000) + (lat_e7 - 246900000) * (lat_e7 - 246900000), id LIMIT 1")
+@query(f"SELECT id, name FROM {PLACES} p WHERE abs(lon_e7 - 466900000) <= 200000 AND abs(lat_e7 - 246900000) <= 200000 ORDER BY (lon_e7 - 466900000) * (lon_e7 - 466900000) + (lat_e7 - 246900000) * (lat_e7 - 246900000), id LIMIT 1")
 def feature_at(spark, sf_dir):
     """The first feature in a box around a point, the nearest one: one row by its meaning."""
     dx, dy = F.col("lon_e7") - 466_900_000, F.col("lat_e7") - 246_900_000
-    p = view(spark, sf_dir, "places").where((F.abs(dx) <= 20_000) & (F.abs(dy) <= 20_000))
+    p = view(spark, sf_dir, "places").where((F.abs(dx) <= 200_000) & (F.abs(dy) <= 200_000))
     return p.orderBy(dx * dx + dy * dy, "id").limit(1).select("id", "name")
 
 

@@ -1,12 +1,14 @@
-"""Queries on the street network: snap rounding on adaptive tiles, vector tiles of lines, nearest neighbours."""
+"""Queries on the street network: snap rounding on adaptive tiles, vector tiles of lines, nearest neighbours,
+isochrones as outlines, search through an index."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import nearest, noding, streets as tags, tiles, topology as topo, vector_tiles
+from ..operators import nearest, noding, outlines, routing, search_index, streets as tags, tiles, topology as topo, vector_tiles
 from ..operators.maps import BUFFER, EXTENT
-from .registry import _INGEST, _SEGS, PLACES, V, query
+from .registry import _GAIN, _INGEST, _KM, _REACH, _SEGS, _WORDS, PLACES, V, _search_sql, _sources, base, query
+from .staging import staged
 from .views import sql, view
 
 #: The grid, 1e-6 degrees, and tiles: cut where more than so many segments meet them.
@@ -139,3 +141,59 @@ def knn_places(spark, sf_dir):
     """The five hospitals nearest each clinic in the plane, in order."""
     p = view(spark, sf_dir, "places").select("id", "type", F.col("lon_e7").alias("x_e7"), F.col("lat_e7").alias("y_e7"))
     return nearest.nearest_join(p.where("type = 'clinic'"), p.where("type = 'hospital'").withColumnRenamed("id", "hospital"), 5, other="hospital")
+
+
+# --- isochrones as outlines -------------------------------------------------------------------------------------------
+
+SQUARE = 20_000
+_WALK = ", ".join(f"CAST(floor((a{c} + floor((b{c} - a{c}) * i / CAST(n AS DOUBLE))) / {SQUARE}.0) AS BIGINT) AS c{c}" for c in "xy")
+_SQUARES = f"""{_REACH}, p AS (SELECT source, node, greatest(1, CAST(ceil(seconds / 10.0) AS BIGINT)) AS contour, x_e7 AS x, y_e7 AS y FROM best JOIN {sql('road_nodes')} k USING (node)),
+ ways AS (SELECT a.source, greatest(a.contour, b.contour) AS contour, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM e JOIN p a ON e.src = a.node JOIN p b ON e.dst = b.node AND a.source = b.source UNION ALL SELECT source, contour, x, y, x, y FROM p),
+ walked AS (SELECT *, unnest(range(n + 1)) AS i FROM (SELECT *, CAST(1 + floor(2 * greatest(abs(bx - ax), abs(by - ay)) / {SQUARE}.0) AS BIGINT) AS n FROM ways) z),
+ first AS (SELECT source, cx, cy, min(contour) AS first FROM (SELECT source, contour, {_WALK} FROM walked) z GROUP BY ALL),
+ squares AS (SELECT source, unnest(range(first, 4)) AS contour, cx, cy FROM first)"""
+
+
+def _reached_squares(spark, sf_dir):
+    edges = view(spark, sf_dir, "road_edges")
+    reached = staged(routing.contours(edges, _sources(spark), 10, 3), "reached")
+    return outlines.squares(reached, edges, view(spark, sf_dir, "road_nodes"), SQUARE, 3)
+
+
+@query(f"{_SQUARES} SELECT * FROM squares")
+def isochrone_squares(spark, sf_dir):
+    """The squares on the edges reached within each contour."""
+    return _reached_squares(spark, sf_dir)
+
+
+@query(f"{_SQUARES} SELECT source, contour, count(*) * {SQUARE * SQUARE} AS area FROM squares GROUP BY ALL")
+def isochrone_areas(spark, sf_dir):
+    """What the outlines of each contour enclose."""
+    return outlines.areas(outlines.outlines(_reached_squares(spark, sf_dir), SQUARE))
+
+
+@query()
+def isochrone_outlines(spark, sf_dir):
+    """The outlines of each contour without islands of under a tenth of its largest part, as rings of corners; without SQL, tested by what they hold."""
+    return outlines.outlines(outlines.without_islands(staged(_reached_squares(spark, sf_dir), "squares"), 0.1), SQUARE)
+
+
+# --- search -----------------------------------------------------------------------------------------------------------
+
+
+@query(_search_sql())
+def indexed_search(spark, sf_dir):
+    """The rows of fuzzy_search, found through the index of words."""
+    index = search_index.SearchIndex.build(base(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_type"])
+    return index.search("Blu widgit", {"p_name": 3.0, "p_type": 1.0})
+
+
+_NEAR_TERMS = " + ".join(_GAIN.format(w=_WORDS.format(f="name"), t=t, k=2, n=float(len(t) + 1)) for t in ("custmer", "000000112"))
+
+
+@query(f"SELECT id, score FROM (SELECT id, round(({_NEAR_TERMS}) * 1.5, 6) AS score FROM (SELECT *, pow(sin(radians(lat - 24.7) / 2), 2) + cos(radians(24.7)) * cos(radians(lat)) * pow(sin(radians(lon - 46.7) / 2), 2) AS h FROM (SELECT *, lon_e7 / 1e7 AS lon, lat_e7 / 1e7 AS lat FROM {PLACES} p WHERE lower(type) = 'hospital') a) b WHERE {_KM} <= 20) q WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
+def indexed_search_near(spark, sf_dir):
+    """Hospitals within 20 km by parts of their names."""
+    places = view(spark, sf_dir, "places")
+    index = search_index.SearchIndex.build(places, "id", ["name"])
+    return index.search("custmer 000000112", {"name": 3.0}, only=search_index.filtered(places, {"type": "Hospital "}, 46.7, 24.7, 20))
