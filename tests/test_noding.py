@@ -5,6 +5,7 @@ from fractions import Fraction as Q
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from wayloom.operators import noding, tiles
 
@@ -70,8 +71,8 @@ def test_pieces_meet_at_ends_only_and_tiles_change_nothing(spark):
     assert noding.faults(noding.on_grid(segs, 2)).first().n_crossing > 10
     whole = noding.noded(segs, 2, 1000)
     assert tuple(noding.faults(whole, 50).first())[1:] == (0, 0)
-    tree = tiles.tree(segs, 64, 12, 2)
-    assert tree.where("NOT leaf").count() > 0 and tree.select("size").distinct().count() == 3
+    tree = tiles.tree(segs, 64, 3, 2)
+    assert tree.cut.count() > 0 and tree.sizes == [64, 16, 4]
     assert collected(noding.noded(segs, 2, tree)) == collected(whole) == collected(noding.noded(segs, 2, 16))
     assert tuple(noding.faults(whole, tree).first()) == tuple(noding.faults(whole, 50).first())
     again = noding.noded(whole.selectExpr("way_id * 10 + seq_a AS way_id", "piece AS seq_a", "ax", "ay", "bx", "by"), 2, 50)
@@ -87,3 +88,21 @@ def test_shared_stretches_are_one_piece(spark):
 def test_no_segments(spark):
     assert noding.noded(spark.createDataFrame([], SEGS), 10).collect() == []
     assert noding.noded(spark.createDataFrame([(1, 0, 3, 3, 4, 4)], SEGS), 10, tiles.tree(spark.createDataFrame([], SEGS), 64, 2, 2)).collect() == []
+
+
+def test_a_run_that_stops_goes_on(spark, tmp_path, monkeypatch):
+    segs = spark.createDataFrame(some(40, 90), SEGS)
+    whole = collected(noding.noded(segs, 2, 16, again=False))
+    run = lambda steps=None, s=segs: noding.noded_by_shards(s, str(tmp_path), 2, 16, 6, 2, steps)
+    assert run(1) is None
+    done = noding.ShardRun(spark, f"{tmp_path}/crossings", "").path
+    assert len(list((tmp_path / "crossings" / "done").glob("[!.]*"))) == 1, done
+    # a step that fails after its rows are written and before it is named
+    with monkeypatch.context() as m:
+        m.setattr(noding.ShardRun, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            run()
+    assert run(2) is None and collected(run()) == whole == collected(run())
+    assert len(list((tmp_path / "crossings" / "done").glob("[!.]*"))) == 3 < len(list((tmp_path / "crossings" / "parts").iterdir()))
+    other = spark.createDataFrame(some(20, 90, 8), SEGS)
+    assert collected(run(s=other)) == collected(noding.noded(other, 2, 16, again=False))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.staging import staged
 from . import tiles as T
+from .resume import ShardRun
 
 #: Tiles where none are given.
 CELL = 4000
@@ -45,9 +46,13 @@ def _floor_div(a: Column, b: Column) -> Column:
     return F.floor((a - F.pmod(a, b)) / b)
 
 
-def cross_points(segs: DataFrame, grid: int, tiles: DataFrame | int = CELL) -> DataFrame:
+def cross_points(segs: DataFrame, grid: int, tiles: T.Tree | int = CELL) -> DataFrame:
     """(x, y): the grid points nearest to where two segments that are not parallel meet, exactly rounded."""
-    s = T.deal(segs, tiles)
+    return _crossings(T.deal(segs, tiles), grid).distinct()
+
+
+def _crossings(s: DataFrame, grid: int) -> DataFrame:
+    """cross_points of segments dealt out to tiles (size, tx, ty); each tile's own, which can be the same in several."""
     side = lambda k: s.select("size", "tx", "ty", *(F.col(c).alias(f"{k}_{c}") for c in SEG))
     met = side("p").join(side("q"), ["size", "tx", "ty"]).where("p_way_id < q_way_id OR (p_way_id = q_way_id AND p_seq_a < q_seq_a)")
     low = lambda c: F.greatest(F.least(f"p_a{c}", f"p_b{c}"), F.least(f"q_a{c}", f"q_b{c}"))
@@ -61,28 +66,40 @@ def cross_points(segs: DataFrame, grid: int, tiles: DataFrame | int = CELL) -> D
     hit = d.where("_t BETWEEN 0 AND _den AND _w BETWEEN 0 AND _den")
     n = lambda r: (F.lit(2) * F.col("_t") * F.col(r) + F.col("_den") * grid).cast(wide)
     at = lambda c: (F.col(f"p_a{c}") + grid * _floor_div(n(f"r{c}"), (2 * grid * F.col("_den")).cast(wide)).cast("long")).alias(c)
-    return hit.select(at("x"), at("y")).distinct()
+    return hit.select(at("x"), at("y"))
 
 
-def hot_pixels(segs: DataFrame, grid: int, tiles: DataFrame | int = CELL) -> DataFrame:
+def hot_pixels(segs: DataFrame, grid: int, tiles: T.Tree | int = CELL) -> DataFrame:
     """(x, y): the centres of the hot pixels of segments on the grid."""
     ends = segs.select(F.col("ax").alias("x"), F.col("ay").alias("y")).union(segs.select("bx", "by"))
     return ends.union(cross_points(segs, grid, tiles)).distinct()
 
 
-def cut(segs: DataFrame, hot: DataFrame, grid: int, tiles: DataFrame | int = CELL) -> DataFrame:
+def cut(segs: DataFrame, hot: DataFrame, grid: int, tiles: T.Tree | int = CELL) -> DataFrame:
     """Segments (way_id, seq_a, piece, ax, ay, bx, by) as their pieces between the hot pixels that they pass through, in order."""
-    key = [c for c in segs.columns if c not in SEG[2:]]
-    points = T.deal(hot.select("x", "y", *(F.col(c).alias(n) for n, c in (("ax", "x"), ("ay", "y"), ("bx", "x"), ("by", "y")))), tiles).select("size", "tx", "ty", "x", "y")
-    met = T.deal(segs, tiles, grid).join(points, ["size", "tx", "ty"]).where(f"x BETWEEN least(ax, bx) - {grid} AND greatest(ax, bx) + {grid} AND y BETWEEN least(ay, by) - {grid} AND greatest(ay, by) + {grid}")
+    return _pieces(_hits(T.deal(segs, tiles, grid), _placed(hot, tiles), grid))
+
+
+def _placed(hot: DataFrame, tiles: T.Tree | int) -> DataFrame:
+    at = hot.select("x", "y", *(F.col(c).alias(n) for n, c in (("ax", "x"), ("ay", "y"), ("bx", "x"), ("by", "y"))))
+    return T.deal(at, tiles).select("size", "tx", "ty", "x", "y")
+
+
+def _hits(dealt: DataFrame, points: DataFrame, grid: int) -> DataFrame:
+    """Each hot pixel that a segment, dealt out to tiles, passes through, with its place along the segment; each pixel is in one tile."""
+    key = [c for c in dealt.columns if c not in (*SEG[2:], "size", "tx", "ty", "shard")]
+    met = dealt.join(points, ["size", "tx", "ty"]).where(f"x BETWEEN least(ax, bx) - {grid} AND greatest(ax, bx) + {grid} AND y BETWEEN least(ay, by) - {grid} AND greatest(ay, by) + {grid}")
     placed = met.select(*key, "x", "y", F.expr("2 * (ax - x) AS u"), F.expr("2 * (ay - y) AS v"), F.expr("2 * (bx - ax) AS du"), F.expr("2 * (by - ay) AS dv"), F.expr("(x - ax) * (bx - ax) + (y - ay) * (by - ay) AS along"))
-    on = placed.where(hit_sql(grid)).select(*key, "x", "y", "along")
+    return placed.where(hit_sql(grid)).select(*key, "x", "y", "along")
+
+
+def _pieces(on: DataFrame) -> DataFrame:
+    key = [c for c in on.columns if c not in ("x", "y", "along")]
     w = W.partitionBy(*key).orderBy("along", "x", "y")
-    step = on.select(*key, (F.row_number().over(w) - 1).cast("long").alias("_no"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by")).where("bx IS NOT NULL")
-    return step
+    return on.select(*key, (F.row_number().over(w) - 1).cast("long").alias("_no"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by")).where("bx IS NOT NULL")
 
 
-def noded(segs: DataFrame, grid: int = 10, tiles: DataFrame | int = CELL, again: bool = True) -> DataFrame:
+def noded(segs: DataFrame, grid: int = 10, tiles: T.Tree | int = CELL, again: bool = True) -> DataFrame:
     """(way_id, seq_a, piece, ax, ay, bx, by): the pieces of segs (way_id, seq_a, ax, ay, bx, by); each keeps its source's ids.
 
     With again the pieces are cut anew until none passes through a hot pixel but its own ends; each round adds points
@@ -100,6 +117,24 @@ def noded(segs: DataFrame, grid: int = 10, tiles: DataFrame | int = CELL, again:
     return pieces.select("way_id", "seq_a", "piece", *SEG[2:])
 
 
+def noded_by_shards(segs: DataFrame, path: str, grid: int = 10, tiles: T.Tree | int = CELL, shards: int = 16, together: int = 4, steps: int | None = None) -> DataFrame | None:
+    """noded(.., again=False) as two runs by shards of tiles, for crossings and for the pixels on each segment, that go on
+    where they stopped: a call over the same segs finds in path what earlier ones finished. None where it stopped after `steps` steps of a run."""
+    whole = staged(on_grid(segs, grid), "on_grid")
+    told = whole.agg(F.count("*"), F.bit_xor(F.xxhash64(*SEG))).first()  # the work's sign: the same segments, grid and tiles
+    shape = tiles if isinstance(tiles, int) else tuple(tiles.cut.agg(F.count("*"), F.bit_xor(F.xxhash64("size", "tx", "ty"))).first())
+    sign = f"{told[0]} {told[1]} {grid} {shape} {shards}"
+    shard = F.pmod(F.xxhash64("size", "tx", "ty"), F.lit(shards)).cast("int")
+    run = lambda name: ShardRun(segs.sparkSession, f"{path}/{name}", sign)
+    found = run("crossings").run(T.deal(whole, tiles).withColumn("shard", shard), shards, lambda s: _crossings(s, grid), together, steps)
+    if found is None:
+        return None
+    ends = whole.select(F.col("ax").alias("x"), F.col("ay").alias("y")).union(whole.select("bx", "by"))
+    points = staged(_placed(ends.union(found).distinct(), tiles), "hot_pixels")
+    on = run("hits").run(T.deal(whole, tiles, grid).withColumn("shard", shard), shards, lambda s: _hits(s, points, grid), together, steps)
+    return None if on is None else _pieces(on).select("way_id", "seq_a", F.col("_no").alias("piece"), *SEG[2:])
+
+
 def unique_pieces(pieces: DataFrame) -> DataFrame:
     """(ax, ay, bx, by, way_id, seq_a, n_sources): each piece of line once, its lower end first, with the smallest of the segments that lie on it."""
     turn = F.struct("ax", "ay") <= F.struct("bx", "by")
@@ -108,7 +143,7 @@ def unique_pieces(pieces: DataFrame) -> DataFrame:
     return of.select("ax", "ay", "bx", "by", "s.way_id", "s.seq_a", "n_sources")
 
 
-def faults(pieces: DataFrame, tiles: DataFrame | int = CELL) -> DataFrame:
+def faults(pieces: DataFrame, tiles: T.Tree | int = CELL) -> DataFrame:
     """(n_pieces, n_crossing, n_touching): pairs of different pieces that cross between their ends, and ends that lie inside a piece. Noded pieces have none."""
     p = staged(unique_pieces(pieces).select("ax", "ay", "bx", "by"), "unique")
     s = T.deal(p, tiles)

@@ -5,6 +5,7 @@ A tile is (size, tx, ty): the square [tx * size, (tx + 1) * size) x [ty * size,
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,21 +19,23 @@ def _cell(v: Column, size: Column | int) -> Column:
     return F.floor(v / (F.lit(size) if isinstance(size, int) else size)).cast("long")
 
 
-def tree(segs: DataFrame, size: int, most: int, depth: int) -> DataFrame:
-    """(size, tx, ty, n, leaf): tiles that the boxes of segs (ax, ay, bx, by) meet. One met by more than `most` of them is
-    cut, `depth` times at most; then it stays whole. Tiles of the largest size are all there, so every position of the
-    boxes lies in one leaf."""
-    level = over(segs.select("ax", "ay", "bx", "by"), size)
-    out = []
-    for d in range(depth + 1):
-        counted = level.groupBy("size", "tx", "ty").agg(F.count("*").alias("n"))
-        counted = staged(counted.withColumn("leaf", F.lit(d == depth) | (F.col("n") <= most)), "tiles")
-        out.append(counted)
-        cut = counted.where("NOT leaf").select("size", "tx", "ty")
-        if d == depth or cut.isEmpty():
-            break
-        level = below(level.join(cut, ["size", "tx", "ty"], "left_semi"), 0)
-    return reduce(DataFrame.union, out)
+@dataclass
+class Tree:
+    cut: DataFrame  # size, tx, ty: the tiles that are cut
+    sizes: list[int]  # from the largest down
+
+
+def tree(segs: DataFrame, size: int, most: int, depth: int) -> Tree:
+    """Tiles of `size`, cut where the middles of more than `most` segments (ax, ay, bx, by) lie in one, `depth` times at
+    most; then it stays whole. Counted in one pass, the smallest tiles first and the larger ones as sums of them."""
+    sizes = [size // FANOUT**d for d in range(depth + 1) if size >= FANOUT**d]
+    middle = lambda a, b: _cell(F.floor((F.col(a) + F.col(b)) / 2), sizes[-1])
+    fine = segs.groupBy(middle("ax", "bx").alias("fx"), middle("ay", "by").alias("fy")).agg(F.count("*").alias("n"))
+    up = fine.withColumn("size", F.explode(F.array(*map(F.lit, sizes)).cast("array<long>")))
+    up = up.select("size", *(F.floor(F.col(f) * sizes[-1] / F.col("size")).cast("long").alias(t) for f, t in (("fx", "tx"), ("fy", "ty"))), "n")
+    cut = staged(up.groupBy("size", "tx", "ty").agg(F.sum("n").alias("n")).where((F.col("n") > most) & (F.col("size") > sizes[-1])).select("size", "tx", "ty"), "tiles")
+    used = {r["size"] for r in cut.select("size").distinct().collect()}  # one for each depth at most
+    return Tree(cut, sizes[: len(used) + 1])
 
 
 def over(rows: DataFrame, size: int, margin: int = 0) -> DataFrame:
@@ -52,26 +55,16 @@ def below(rows: DataFrame, margin: int) -> DataFrame:
     return rows.withColumn("_x", span("ax", "bx", "tx")).withColumn("_y", span("ay", "by", "ty")).withColumn("size", small.cast("long")).drop("tx", "ty").withColumnsRenamed({"_x": "tx", "_y": "ty"})
 
 
-def deal(rows: DataFrame, tiles: DataFrame | int, margin: int = 0) -> DataFrame:
-    """rows (ax, ay, bx, by, ..) with size, tx, ty: once for each leaf that its box, widened by margin, meets. tiles: a tree, or one size for all.
-
-    What lies outside the tree is in tiles of its largest size.
-    """
+def deal(rows: DataFrame, tiles: Tree | int, margin: int = 0) -> DataFrame:
+    """rows (ax, ay, bx, by, ..) with size, tx, ty: once for each tile that is not cut and that its box, widened by margin, meets. tiles: a tree, or one size for all."""
     if isinstance(tiles, int):
         return over(rows, tiles, margin)
-    sizes = [r["size"] for r in tiles.select("size").distinct().orderBy(F.desc("size")).collect()]  # one for each depth
-    if not sizes:
-        return over(rows, 1 << 20, margin)
-    cut = tiles.where("NOT leaf").select("size", "tx", "ty", F.lit(True).alias("cut"))
-    level, out = over(rows, sizes[0], margin), []
-    for size in sizes:
-        if size == sizes[-1]:
-            out.append(level)
-            break
-        met = level.join(cut.where(F.col("size") == size), ["size", "tx", "ty"], "left")
+    level, out = over(rows, tiles.sizes[0], margin), []
+    for size in tiles.sizes[:-1]:
+        met = level.join(tiles.cut.where(F.col("size") == size).withColumn("cut", F.lit(True)), ["size", "tx", "ty"], "left")
         out.append(met.where("cut IS NULL").select(level.columns))
         level = below(met.where("cut").select(level.columns), margin)
-    return reduce(DataFrame.union, out)
+    return reduce(DataFrame.union, [*out, level])
 
 
 def inside(x: Column, y: Column) -> Column:

@@ -3,16 +3,18 @@ isochrones as outlines, search through an index."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import nearest, noding, outlines, routing, search_index, streets as tags, tiles, topology as topo, vector_tiles
 from ..operators.maps import BUFFER, EXTENT
 from .registry import _GAIN, _INGEST, _KM, _REACH, _SEGS, _WORDS, PLACES, V, _search_sql, _sources, base, query
-from .staging import staged
+from .staging import shared_dir, staged
 from .views import sql, view
 
 #: The grid, 1e-6 degrees, and tiles: cut where more than so many segments meet them.
-GRID, LARGE, MOST, DEPTH = 10, 64_000, 400, 3
+GRID, LARGE, MOST, DEPTH = 10, 64_000, 40, 3
 
 
 def _round(c: str) -> str:
@@ -52,6 +54,16 @@ def snap_noding(spark, sf_dir):
     return noding.noded(segs, GRID, tree, again=False)
 
 
+@query(f"{_NODED} SELECT * FROM pieces")
+def resumed_noding(spark, sf_dir):
+    """The pieces of snap_noding by a run over shards that stops after its first step, twice, and is taken up again."""
+    segs, tree = _segments(spark, sf_dir)
+    path = f"{shared_dir(spark)}/wayloom/{uuid.uuid4().hex}-shards"
+    for steps in (1, 1, None):
+        out = noding.noded_by_shards(segs, path, GRID, tree, 8, 4, steps)
+    return out
+
+
 def _side(o: str, e: str, p: str) -> str:
     return f"sign(({e}x - {o}x) * ({p}y - {o}y) - ({e}y - {o}y) * ({p}x - {o}x))"
 
