@@ -62,9 +62,15 @@ def _names() -> list[Column]:
     return [F.col(c).alias(tag) for c, tag in NAMES.items()]
 
 
+def _complete(streets: DataFrame) -> DataFrame:
+    """streets with the columns that tags come from; those that a table lacks are null."""
+    lacking = {c: F.lit(None).cast("string" if c in NAMES else "int") for c in (*NAMES, "Width", "StreetStat") if c not in streets.columns}
+    return streets.withColumns(lacking) if lacking else streets
+
+
 def full_tags(streets: DataFrame) -> DataFrame:
-    """Tags of every street; access and surface come from its status."""
-    c = F.col
+    """Tags of every street; access and surface come from its status. Columns that the table lacks count as null."""
+    c, streets = F.col, _complete(streets)
     return streets.select(
         c("pkStreetID").alias("id"), *_names(), c("Width").alias("width"), F.coalesce(c("NoOfLane"), F.lit(1)).cast("string").alias("lanes"), c("SpeedLimit").cast("string").alias("maxspeed"), oneway(c("Direction")).alias("oneway"),
         F.when(c("FOW") == ROUNDABOUT, "roundabout").alias("junction"), access(c("StreetStat")).alias("access"), _coded(c("StreetStat"), SURFACES, F.lit("asphalt")).alias("surface"),
@@ -78,7 +84,8 @@ def safe_int(text: Column) -> Column:
 
 def safe_tags(streets: DataFrame) -> DataFrame:
     """Tags from text columns; what cannot be read counts as missing, and a speed of zero too."""
-    n, speed, form, sub, status = (safe_int(F.col(k)) for k in ("NoOfLane", "SpeedLimit", "FOW", "Subtype", "StreetStat"))
+    streets = _complete(streets)
+    n, speed, form, sub, status = (safe_int(F.col(k).cast("string")) for k in ("NoOfLane", "SpeedLimit", "FOW", "Subtype", "StreetStat"))
     return streets.select(
         F.col("pkStreetID").alias("id"), *_names(), F.col("Width").alias("width"), oneway(safe_int(F.col("Direction"))).alias("oneway"), lanes(n).alias("lanes"), F.when(F.coalesce(speed, F.lit(0)) != 0, speed.cast("string")).alias("maxspeed"),
         F.when(form == ROUNDABOUT, "roundabout").alias("junction"), access(status).alias("access"), _coded(status, SURFACES, F.lit("asphalt")).alias("surface"), highway_full(form, sub, n).alias("highway"))

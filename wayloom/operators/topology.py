@@ -71,7 +71,7 @@ def snap_node_to_node(ways: DataFrame, nodes: DataFrame, tight: int = 200, wide:
     for tol, only_dangling in ((tight, False), (wide, True)):
         ends = (dangling(ways) if only_dangling else endpoints(ways)).select("node_id").distinct()
         pairs = near_pairs(ends.join(nodes, "node_id"), tol)
-        ways = relabel(ways, connected_components(pairs, "node_a", "node_b"))
+        ways = staged(relabel(ways, connected_components(pairs, "node_a", "node_b")), "snapped")
     return clean_way_nodes(ways)
 
 
