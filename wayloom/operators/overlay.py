@@ -207,6 +207,12 @@ class Overlay:
         """(source, target, seconds) of all pairs of sources (node) and targets (node) with a way."""
         return self._met(sources, targets, None)[0].select("source", "target", "m.seconds")
 
+    def times_of(self, pairs: DataFrame) -> DataFrame:
+        """(source, target, seconds) of those of pairs (source, target) that have a way."""
+        asked = pairs.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
+        ends = [asked.select(F.col(c).alias("node")) for c in ("source", "target")]
+        return self._met(*ends, asked)[0].select("source", "target", "m.seconds")
+
     def routes(self, requests: DataFrame) -> DataFrame:
         """(request, step, node, seconds) along one shortest route of each request (request, source, target); no row where there is no way.
 
