@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.wire import field, fields, numbers, varint
 from .maps import BUFFER, EXTENT, MAX_LATITUDE
 
 
@@ -65,19 +66,6 @@ def parts(segs: DataFrame) -> DataFrame:
 # --- bytes ------------------------------------------------------------------------------------------------------------
 
 
-def varint(n: int) -> bytes:
-    out = bytearray()
-    while n > 127:
-        out.append(n & 127 | 128)
-        n >>= 7
-    out.append(n)
-    return bytes(out)
-
-
-def _field(number: int, payload: bytes) -> bytes:
-    return varint(number << 3 | 2) + varint(len(payload)) + payload
-
-
 def _zigzag(n: int) -> int:
     return 2 * n if n >= 0 else -2 * n - 1
 
@@ -94,56 +82,21 @@ def feature(number: int, lines: list[list[tuple[int, int]]]) -> bytes:
             commands += [_zigzag(px - x), _zigzag(py - y)]
             x, y = px, py
     geometry = b"".join(map(varint, commands))
-    return varint(1 << 3) + varint(number) + varint(3 << 3) + varint(2) + _field(4, geometry)
+    return varint(1 << 3) + varint(number) + varint(3 << 3) + varint(2) + field(4, geometry)
 
 
 def tile_bytes(layer: str, features: list[bytes]) -> bytes:
-    inner = varint(15 << 3) + varint(2) + _field(1, layer.encode()) + b"".join(_field(2, f) for f in features) + varint(5 << 3) + varint(EXTENT)
-    return _field(3, inner)
-
-
-def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
-    at = 0
-
-    def number() -> int:
-        nonlocal at
-        n = shift = 0
-        while True:
-            b = data[at]
-            at += 1
-            n |= (b & 127) << shift
-            shift += 7
-            if b < 128:
-                return n
-
-    while at < len(data):
-        tag = number()
-        if tag & 7 == 2:
-            size = number()
-            yield tag >> 3, data[at : at + size]
-            at += size
-        else:
-            yield tag >> 3, number()
-
-
-def _numbers(data: bytes) -> list[int]:
-    out, n, shift = [], 0, 0
-    for b in data:
-        n |= (b & 127) << shift
-        shift += 7
-        if b < 128:
-            out.append(n)
-            n = shift = 0
-    return out
+    inner = varint(15 << 3) + varint(2) + field(1, layer.encode()) + b"".join(field(2, f) for f in features) + varint(5 << 3) + varint(EXTENT)
+    return field(3, inner)
 
 
 def decoded(data: bytes) -> list[tuple[int, list[list[tuple[int, int]]]]]:
     """(number, parts) of each line feature of a tile."""
     out = []
-    for _, inner in (f for f in _fields(data) if f[0] == 3):
-        for _, body in (f for f in _fields(inner) if f[0] == 2):
-            said = dict(_fields(body))
-            commands, i, x, y, lines = _numbers(said[4]), 0, 0, 0, []
+    for _, inner in (f for f in fields(data) if f[0] == 3):
+        for _, body in (f for f in fields(inner) if f[0] == 2):
+            said = dict(fields(body))
+            commands, i, x, y, lines = numbers(said[4]).tolist(), 0, 0, 0, []
             while i < len(commands):
                 kind, count = commands[i] & 7, commands[i] >> 3
                 i += 1

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import lines, shards, topology as topo
-from .registry import _BOX, _CLEAN, _DANGLES, _ENDS, _FEET, _SEGS, _WN, V, _graph, query
+from ..operators import lines, shards, streets, topology as topo
+from ..sources import map_binary, osm
+from .registry import _BOX, _CLEAN, _DANGLES, _ENDS, _FEET, _INGEST, _NODES, _SEGS, _WN, V, _graph, query
+from .staging import shared_dir, staged
 from .views import view
 
 _D2 = "(a.x_e7 - b.x_e7) * (a.x_e7 - b.x_e7) + (a.y_e7 - b.y_e7) * (a.y_e7 - b.y_e7)"
@@ -118,6 +122,38 @@ def sharded_graph(spark, sf_dir):
     return shards.merged(shards.by_shard(view(spark, sf_dir, "way_vertices"), 4, 5))[0]
 
 
+def _written(spark, nodes, ways, tags=None) -> str:
+    path = f"{shared_dir(spark)}/wayloom/{uuid.uuid4().hex}-map"
+    map_binary.write(nodes, ways, path, tags)
+    return path
+
+
+@query(f"WITH v AS {V} {_NODES}")
+def map_binary_nodes(spark, sf_dir):
+    """The nodes of a map written as binary files and read back."""
+    _, nodes, ways = _graph(spark, sf_dir)
+    return map_binary.read_nodes(spark, _written(spark, nodes, ways))
+
+
+@query(f"{_WN} SELECT way_id, row_number() OVER (PARTITION BY way_id ORDER BY seq) AS seq, node_id FROM wn")
+def map_binary_ways(spark, sf_dir):
+    """The references of the ways of shards, each written as binary files with ids of its own, read back as one, merged, and written and read again."""
+    parts = shards.by_shard(view(spark, sf_dir, "way_vertices"), 4, 5)
+    apart = _written(spark, parts[1], parts[0])
+    ways, nodes = shards.merged((map_binary.read_ways(spark, apart), staged(map_binary.read_nodes(spark, apart), "shard_nodes")))
+    return map_binary.read_ways(spark, _written(spark, nodes, ways))
+
+
+@query(f"WITH t AS ({_INGEST}), w AS (SELECT DISTINCT l_orderkey AS orig_id FROM lineitem) SELECT orig_id AS way_id, k AS key, v AS value FROM (SELECT orig_id, unnest(['highway', 'name', 'oneway', 'lanes', 'maxspeed']) AS k, unnest([highway, name, oneway, lanes, maxspeed]) AS v FROM t JOIN w USING (orig_id)) z WHERE v IS NOT NULL")
+def map_binary_tags(spark, sf_dir):
+    """The tags of ways in binary files; those that are null are not there."""
+    _, nodes, ways = _graph(spark, sf_dir)
+    t = streets.ingest(view(spark, sf_dir, "streets"))
+    pairs = F.map_from_arrays(F.array(*(F.lit(k) for k in osm.TAGS)), F.array(*(F.col(k).cast("string") for k in osm.TAGS)))
+    tags = t.select(F.col("orig_id").alias("way_id"), pairs.alias("tags"))
+    return map_binary.read_tags(spark, _written(spark, nodes, ways, tags))
+
+
 _CELLS = f"WITH v AS {V}, c0 AS (SELECT 0 AS depth, CAST(floor(x_e7 / 80000.0) AS BIGINT) AS cx, CAST(floor(y_e7 / 80000.0) AS BIGINT) AS cy, 80000 AS size, count(*) AS n FROM v GROUP BY ALL), f0 AS (SELECT * FROM c0 WHERE n <= 200), c1 AS (SELECT 1 AS depth, CAST(floor(x_e7 / 20000.0) AS BIGINT) AS cx, CAST(floor(y_e7 / 20000.0) AS BIGINT) AS cy, 20000 AS size, count(*) AS n FROM v JOIN c0 ON c0.n > 200 AND c0.cx = floor(x_e7 / 80000.0) AND c0.cy = floor(y_e7 / 80000.0) GROUP BY ALL), f1 AS (SELECT * FROM c1 WHERE n <= 200), c2 AS (SELECT 2 AS depth, CAST(floor(x_e7 / 5000.0) AS BIGINT) AS cx, CAST(floor(y_e7 / 5000.0) AS BIGINT) AS cy, 5000 AS size, count(*) AS n FROM v JOIN c1 ON c1.n > 200 AND c1.cx = floor(x_e7 / 20000.0) AND c1.cy = floor(y_e7 / 20000.0) GROUP BY ALL)"
 
 
