@@ -48,6 +48,32 @@ def test_edge_cases(spark):
     assert IdStore.write(empty, FILE).read(empty.selectExpr("doc_id AS key")).collect() == []
 
 
+def test_a_doc_id_of_many_rows_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(id_store, "BLOCK_BYTES", 2000)
+    texts = [(7, f"row {i % 900} of one key") for i in range(3000)] + [(None, f"none {i}") for i in range(1500)] + [(7, "same")] * 1500 + [(i, "a") for i in range(8, 40)]
+    df = docs(spark, texts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = IdStore.write(df.repartition(8), FILE)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    where = {(r.shard, r.block) for r in store.blocks.where("array_contains(keys, 7L)").collect()}
+    assert len(where) > 10 and len({s for s, _ in where}) > 1
+    whole = got(store.read(df.selectExpr("doc_id AS key")))
+    # Rows of one key may be in any order: the same documents, one after the other without a gap.
+    assert sorted(r[2:] for r in whole if r[0] == 7) == sorted(r[2:] for r in want(texts) if r[0] == 7)
+    assert [r[0] for r in whole] == [r[0] for r in want(texts)]
+    assert all(a[1] + a[2] == b[1] for a, b in zip(whole, whole[1:], strict=False)) and whole[0][1] == 0
+    one = got(store.read(spark.createDataFrame([(7,)], "key long")))
+    assert one == [r for r in whole if r[0] == 7] and len(one) == 4500
+    assert len(got(store.read(spark.createDataFrame([(None,)], "key long")))) == 1500
+    # The files hold nothing but ids.
+    files = {r.file: r.n for r in store.blocks.groupBy("file").agg({"n_ids": "sum"}).withColumnRenamed("sum(n_ids)", "n").collect()}
+    for f, n in files.items():
+        fs, path = id_store._store(f)
+        assert fs.get_file_info(path).size == n * store.width
+
+
 def test_small_blocks_and_buckets(spark, monkeypatch):
     monkeypatch.setattr(id_store, "BUCKET_KEYS", 16)
     monkeypatch.setattr(id_store, "BLOCK_BYTES", 500)
