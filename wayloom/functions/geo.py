@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 
 import pandas as pd
@@ -36,8 +37,9 @@ def length(line: Column) -> Column:
 
 def repaired(line: Column) -> Column:
     """The line without points that are not finite and without repeats; null if fewer than two points are left."""
-    finite = F.filter(line, lambda p: p["lon"].isNotNull() & p["lat"].isNotNull() & ~F.isnan(p["lon"]) & ~F.isnan(p["lat"]))
-    kept = F.aggregate(finite, F.array().cast(LINE), lambda acc, p: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1) == p), acc).otherwise(F.concat(acc, F.array(p))))
+    finite = F.filter(line, lambda p: (F.abs(p["lon"]) < math.inf) & (F.abs(p["lat"]) < math.inf))  # NaN is above all
+    first = F.filter(F.transform(finite, lambda p, i: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), ((i == 0) | (F.get(finite, i - 1) != p)).alias("new"))), lambda p: p["new"])
+    kept = F.transform(first, lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
     return F.when(F.size(kept) >= 2, kept)
 
 
