@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -197,6 +199,79 @@ def test_toxicity(spark):
     assert {r.score for r in tox.toxicity(df, labels.limit(0)).collect()} == {0.5}
 
 
+def plain_ftrl(data, epochs, alpha=tox.ALPHA, beta=tox.BETA, l1=tox.L1, l2=tox.L2):
+    """The update of each coordinate by itself; the bias is None."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        penalty = 0.0 if i is None else l1
+        return 0.0 if abs(z[i]) <= penalty else -(z[i] - math.copysign(penalty, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for buckets, y in data:
+            on = [*buckets, None]
+            w = {i: weight(i) for i in on}
+            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()))))) - y
+            for i in on:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z)}
+
+
+def test_toxicity_learns_as_plain_python():
+    import random
+
+    rng = random.Random(5)
+    data = []
+    for i in range(120):
+        text = " ".join(rng.choices([f"w{k}" for k in range(30)], k=12)) + (" nitwit" if i % 4 == 0 else "")
+        data.append((tox.features(text), int(i % 4 == 0)))
+    got, want = tox.fitted(data, 4), plain_ftrl([([int(b) for b in x], y) for x, y in data], 4)
+    bias = want.pop(None)
+    assert got[-1] == pytest.approx(bias, abs=1e-5)
+    assert {i for i in want if want[i]} == set(np.flatnonzero(got[:-1]).tolist())
+    assert all(got[i] == pytest.approx(w, abs=1e-5) for i, w in want.items())
+
+
+def test_toxicity_cut():
+    def f1(s, y, c):
+        return 2 * sum(b for a, b in zip(s, y, strict=True) if a > c) / (sum(a > c for a in s) + sum(y))
+
+    rng = np.random.default_rng(3)
+    for n in (2, 5, 40):
+        for _ in range(20):
+            s, y = rng.integers(0, 6, n).astype(float), rng.integers(0, 2, n)
+            cut = tox.best_cut(s, y)
+            if len(set(s)) < 2 or len(set(y)) < 2:
+                assert cut is None
+            else:
+                assert f1(s, y, cut) == max(f1(s, y, c + 0.5) for c in set(s) - {s.max()})
+    data = [(np.array([i % 7], dtype=np.int64), 1) for i in range(10)]
+    assert (tox.calibrated(data, 2, 0.7) == tox.fitted(data, 2)).all() and (tox.calibrated(data[:1], 2, 0.7) == tox.fitted(data[:1], 2)).all()
+
+
+def test_toxicity_of_one_id_held_by_many_rows_and_of_a_long_text(spark):
+    clean = [(i, f"plain words number {i} about rivers and hills and trees") for i in range(200)]
+    rude = [(1000 + i, f"plain words number {i} you utter nitwit about hills") for i in range(100)]
+    labels = spark.createDataFrame([(d, int(d >= 1000)) for d, _ in clean + rude], "doc_id long, toxic int")
+    many = next(d for d, _ in clean if zlib.crc32(str(d).encode()) % 3 != 1)
+    once = tox.train(docs(spark, clean + rude), labels)
+    again = tox.train(docs(spark, clean + rude + [(many, clean[many][1])] * 2000), labels)
+    assert all((a == b).all() for a, b in zip(once, again, strict=True))
+    long = "about rivers and hills and trees " * 100_000
+    got = {r.doc_id: r.predicted for r in tox.toxicity(docs(spark, clean + rude + [(7001, long), (7002, long + "you utter nitwit about hills")]), labels).collect()}
+    assert (got[7001], got[7002]) == (0, 1)
+
+
+def test_toxicity_finds_most_held_out_rows(spark):
+    """At sf0.01, labels that it may not learn from: more than half are found, with one false alarm at most."""
+    sf = SF.replace("0.001", "0.01")
+    got = tox.op10_toxicity_ftrl(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("toxic IS NOT NULL").collect()
+    assert sum(r.predicted for r in got if r.toxic == 1) > 0.5 * sum(r.toxic for r in got)
+    assert sum(r.predicted for r in got if r.toxic == 0) <= 1
+
+
 def test_quality_base_statistics(spark):
     texts = [*EDGE, (9, "a\na\n \nb #x<y> | one two three four five one two three four five"), *table(spark)]
     got = collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.judge(docs(spark, texts)).collect())

@@ -6,6 +6,10 @@ weights exactly zero, so the table that scoring tasks receive has a fixed size o
 
 Training reads at most TRAIN_ROWS labelled rows, those of least hashed doc_id, in an order of their own; scoring reads
 all rows. The rates and penalties were chosen by cross-validation among rows that labels may be learned from.
+
+Toxic rows are few, so the model's own probabilities stay low on rows that it has not seen. The training rows are
+therefore scored by models of the other folds, and the bias is moved so that the cut of best F1 among them falls on the
+threshold.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ TRAIN_ENTRIES = 40_000_000
 EPOCHS = 8
 #: Texts of a batch that are Python strings at once.
 SLICE = 500
+#: Parts of the training rows that are scored by a model of the others.
+FOLDS = 2
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.0
 THRESHOLD = 0.7
 
@@ -91,9 +97,46 @@ class Ftrl:
         return self.weights(np.arange(len(self.z))).astype(np.float32)
 
 
+def logit(weights: np.ndarray, buckets: np.ndarray) -> float:
+    return float(weights[buckets].sum(dtype=np.float64)) + float(weights[-1])
+
+
 def score(weights: np.ndarray, buckets: np.ndarray) -> float:
-    s = float(weights[buckets].sum(dtype=np.float64)) + float(weights[-1])
-    return float(1 / (1 + np.exp(-np.clip(s, -35, 35))))
+    return float(1 / (1 + np.exp(-np.clip(logit(weights, buckets), -35, 35))))
+
+
+def fitted(data: list[tuple[np.ndarray, int]], epochs: int) -> np.ndarray:
+    model = Ftrl()
+    for _ in range(epochs):
+        for x, y in data:
+            model.update(x, y)
+    return model.table()
+
+
+def best_cut(scores: np.ndarray, labels: np.ndarray) -> float | None:
+    """The middle between the two neighbouring scores that part the labels with the best F1 (ties: the highest); None where nothing can be parted."""
+    order = np.argsort(-scores, kind="stable")
+    s, y = scores[order], labels[order]
+    ends = np.flatnonzero(s[:-1] > s[1:])
+    if not len(ends) or not 0 < y.sum() < len(y):
+        return None
+    best = ends[np.argmax(2 * np.cumsum(y)[ends] / (ends + 1 + y.sum()))]
+    return float(s[best] + s[best + 1]) / 2
+
+
+def calibrated(data: list[tuple[np.ndarray, int]], epochs: int, threshold: float, folds: int = FOLDS) -> np.ndarray:
+    """The weights learned from (buckets, label), with the bias moved as above; as they are where labels are all alike."""
+    w = fitted(data, epochs)
+    labels = np.array([y for _, y in data], dtype=np.int64)
+    scores = np.zeros(len(data))
+    for f in range(folds):
+        apart = fitted([d for i, d in enumerate(data) if i % folds != f], epochs)
+        for i in range(f, len(data), folds):
+            scores[i] = logit(apart, data[i][0])
+    cut = best_cut(scores, labels)
+    if cut is not None:
+        w[-1] += np.log(threshold / (1 - threshold)) - cut
+    return w
 
 
 def held_out(doc_id) -> F.Column:
@@ -102,16 +145,18 @@ def held_out(doc_id) -> F.Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, toxic, at) of the labelled rows to learn from; at orders them."""
+    """(_label_id, text, toxic, at) of the labelled rows to learn from; at orders them."""
     usable = labels.select(F.col("doc_id").alias("_label_id"), F.col("toxic").cast("int").alias("_toxic")).where("_label_id IS NOT NULL AND _toxic IS NOT NULL").where(~held_out("_label_id"))
     sample = usable.orderBy(F.xxhash64("_label_id"), "_label_id", "_toxic").limit(rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_label_id"))  # at most `rows` ids
-    return joined.select("text", F.col("_toxic").alias("toxic"), F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), "_toxic").cast("binary")).alias("at"))
+    return joined.select("_label_id", "text", F.col("_toxic").alias("toxic"), F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), "_toxic").cast("binary")).alias("at"))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS, entries: int = TRAIN_ENTRIES) -> Weights:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS, entries: int = TRAIN_ENTRIES, threshold: float = THRESHOLD) -> Weights:
     """The weights from the labels.toxic of rows that are not held out; none without labels.
 
+    Of rows with the same doc_id and label one is learned, that of the least features, before they meet in one task.
+
     Features are made where the texts are; one task holds those of the sample (four bytes each, at most `entries` and
     the last row) and learns, so the driver receives only the weights that are not zero.
     """
@@ -121,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
                 f = [features(t).astype("<i4").tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("at"), pa.array(f, pa.binary())], ["toxic", "at", "f"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_label_id", "toxic", "at")), pa.array(f, pa.binary())], ["id", "toxic", "at", "f"])
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data: list[tuple[np.ndarray, int]] = []
@@ -131,16 +176,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
                 if n < entries:
                     data.append((np.frombuffer(f.as_py(), "<i4").copy(), y))
                     n += len(data[-1][0])
-        model = Ftrl()
-        for _ in range(epochs):
-            for x, y in data:
-                model.update(x, y)
-        w = model.table()
+        w = calibrated(data, epochs, threshold) if data else np.zeros(1, np.float32)
         i = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype("int32")), pa.array(w[i])], ["bucket", "weight"])
 
-    made = _sample(docs, labels, rows).mapInArrow(hashed, "toxic int, at long, f binary")
-    one = made.repartition(1).sortWithinPartitions("at", "toxic", "f")  # the bounded sample
+    sample = _sample(docs, labels, rows)
+    id_type = sample.schema["_label_id"].dataType.simpleString()
+    made = sample.mapInArrow(hashed, f"id {id_type}, toxic int, at long, f binary").groupBy("id", "toxic", "at").agg(F.min("f").alias("f"))
+    one = made.select("toxic", "at", "f").repartition(1).sortWithinPartitions("at", "toxic", "f")  # the bounded sample
     found = sorted((r.bucket, r.weight) for r in one.mapInArrow(learned, "bucket int, weight float").collect())  # 2**BITS + 1 rows at most
     return np.array([b for b, _ in found], dtype=np.int32), np.array([w for _, w in found], dtype=np.float32)
 
@@ -171,13 +214,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, r
     of any length are read whole. Without usable labels every score is 0.5. A null doc_id is not held out. An empty
     table gives no rows. Other columns are not read.
     """
-    scored = docs.select("doc_id", scorer(docs.sparkSession, train(docs, labels, rows))("text").alias("score"))
+    scored = docs.select("doc_id", scorer(docs.sparkSession, train(docs, labels, rows, threshold=threshold))("text").alias("score"))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below the threshold."""
-    return docs.where(scorer(docs.sparkSession, train(docs, labels))("text") < threshold)
+    return docs.where(scorer(docs.sparkSession, train(docs, labels, threshold=threshold))("text") < threshold)
 
 
 def op10_toxicity_ftrl(spark, sf_dir: str) -> DataFrame:
