@@ -259,8 +259,8 @@ def test_toxicity_of_one_id_held_by_many_rows_and_of_a_long_text(spark):
     once = tox.train(docs(spark, clean + rude), labels)
     again = tox.train(docs(spark, clean + rude + [(many, clean[many][1])] * 2000), labels)
     assert all((a == b).all() for a, b in zip(once, again, strict=True))
-    long = "about rivers and hills and trees " * 100_000
-    got = {r.doc_id: r.predicted for r in tox.toxicity(docs(spark, clean + rude + [(7001, long), (7002, long + "you utter nitwit about hills")]), labels).collect()}
+    mild, harsh = (f"{t} " * 100_000 for t in (clean[0][1], rude[0][1]))
+    got = {r.doc_id: r.predicted for r in tox.toxicity(docs(spark, clean + rude + [(7001, mild), (7002, harsh)]), labels).collect()}
     assert (got[7001], got[7002]) == (0, 1)
 
 
