@@ -84,9 +84,18 @@ def polyline_to_line(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else [{"lon": x, "lat": y} for x, y in decode_polyline(t)])
 
 
-@F.pandas_udf(T.StringType())
-def line_to_polyline(lines: pd.Series) -> pd.Series:
-    return lines.map(lambda line: None if line is None else encode_polyline([(p["lon"], p["lat"]) for p in line]))
+def line_to_polyline(line: Column, digits: int = 6) -> Column:
+    """encode_polyline in columns; null for a null line, and no text for a line without points."""
+    whole = F.flatten(F.transform(line, lambda p: F.array(*(F.round(p[c] * F.lit(10.0**digits)).cast("long") for c in ("lat", "lon")))))
+    step = F.transform(whole, lambda v, i: v - F.when(i >= 2, F.get(whole, i - 2)).otherwise(0))
+    turned = F.transform(step, lambda d: F.when(d < 0, -2 * d - 1).otherwise(2 * d))
+    places = F.array(*(F.lit(k) for k in range(0, 60, 5)))
+
+    def text(v: Column) -> Column:
+        rest = F.transform(F.filter(places, lambda k: (k == 0) | (F.call_function("shiftright", v, k) > 0)), lambda k: F.call_function("shiftright", v, k))
+        return F.array_join(F.transform(rest, lambda r: F.chr(r % 32 + F.when(r >= 32, 95).otherwise(63))), "")
+
+    return F.array_join(F.transform(turned, text), "")
 
 
 def wkb_parts(data: bytes | None) -> list[list[tuple[float, float]]] | None:

@@ -418,8 +418,12 @@ def stop_order(spark, sf_dir):
     return routing.stop_orders(costs)
 
 
-@query()
+_DIGITS = "array_to_string(list_transform(list_filter(range(0, 60, 5), lambda k: k = 0 OR ({u} >> CAST(k AS INT)) > 0), lambda k: chr(CAST(63 + (({u} >> CAST(k AS INT)) & 31) + CASE WHEN ({u} >> CAST(k AS INT)) >= 32 THEN 32 ELSE 0 END AS INT))), '')"
+
+
+@query(f"WITH d AS (SELECT way_id, seq, lat - lag(lat, 1, 0::BIGINT) OVER w AS dlat, lon - lag(lon, 1, 0::BIGINT) OVER w AS dlon FROM (SELECT way_id, seq, CAST(round(x_e7 / 1e7 * 1e6) AS BIGINT) AS lon, CAST(round(y_e7 / 1e7 * 1e6) AS BIGINT) AS lat FROM {V} v) p WINDOW w AS (PARTITION BY way_id ORDER BY seq)), u AS (SELECT way_id, seq, CASE WHEN dlat < 0 THEN -2 * dlat - 1 ELSE 2 * dlat END AS ulat, CASE WHEN dlon < 0 THEN -2 * dlon - 1 ELSE 2 * dlon END AS ulon FROM d) SELECT way_id, string_agg({_DIGITS.format(u='ulat')} || {_DIGITS.format(u='ulon')}, '' ORDER BY seq) AS polyline, true AS same_size FROM u GROUP BY way_id")
 def polyline_roundtrip(spark, sf_dir):
+    """Ways as encoded polylines, and whether decoding gives as many points."""
     lines = _lines(spark, sf_dir)
     return lines.withColumn("polyline", geo.line_to_polyline("line")).select("way_id", "polyline", (F.size(geo.polyline_to_line("polyline")) == F.size("line")).alias("same_size"))
 
@@ -476,16 +480,32 @@ def osm_way_rows(spark, sf_dir):
     return osm.way_refs(_graph(spark, sf_dir)[2])
 
 
-@query()
+def _xml_sql() -> str:
+    def tag(k: str) -> str:
+        text = k
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            text = f"replace({text}, '{a}', '{b}')"
+        return f"""CASE WHEN trim({k}) <> '' THEN '<tag k="{k}" v="' || {text} || '"/>' ELSE '' END"""
+
+    at = lambda c: f"printf('%.7f', {c} / 1e7)"
+    streets = f"SELECT orig_id, coalesce(name, 'unknown') AS name, coalesce(highway, 'road') AS highway, oneway, coalesce(lanes, '1') AS lanes, maxspeed FROM ({_INGEST}) i"
+    return f"""{_WN}, w AS (SELECT way_id, string_agg('<nd ref="' || node_id || '"/>', '' ORDER BY seq) AS nds FROM wn GROUP BY way_id HAVING count(*) >= 2), t AS ({streets})
+ SELECT 0 AS kind, node_id AS id, '<node id="' || node_id || '" lat="' || {at('y_e7')} || '" lon="' || {at('x_e7')} || '" version="1"/>' AS line FROM nodes
+ UNION ALL SELECT 1, way_id, '<way id="' || way_id || '" version="1">' || nds || {' || '.join(map(tag, osm.TAGS))} || '</way>' FROM w LEFT JOIN t ON way_id = orig_id"""
+
+
+@query(_xml_sql())
 def osm_xml(spark, sf_dir):
+    """Nodes and ways with the tags of their streets as map XML."""
     _, nodes, wn = _graph(spark, sf_dir)
     t = tags.with_defaults(tags.ingest(view(spark, sf_dir, "streets"))).withColumnRenamed("orig_id", "way_id")
     return osm.xml_lines(nodes, wn, t)
 
 
-@query()
+@query("SELECT '{\"type\":\"Feature\",\"properties\":{\"id\":' || id || ',\"name\":' || to_json(name) || ',\"type\":' || to_json(type) || ',\"address\":' || to_json(address) || '},\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || CAST(lon_e7 / 1e7 AS VARCHAR) || ',' || CAST(lat_e7 / 1e7 AS VARCHAR) || ']}}' AS feature FROM " + f"{PLACES} p")
 def geojson_rows(spark, sf_dir):
+    """Places as GeoJSON points."""
     return osm.point_features(view(spark, sf_dir, "places"), "lon_e7", "lat_e7", ["id", "name", "type", "address"])
 
 
-from . import fleet_queries, graph_queries, map_queries, net_queries  # noqa: E402, F401  they register their queries here
+from . import fleet_queries, geometry_queries, graph_queries, map_queries, net_queries  # noqa: E402, F401  they register their queries here
