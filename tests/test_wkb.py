@@ -1,6 +1,7 @@
 """Well-known binary in batches against the same written and read one by one; cleaning of its lines."""
 
 import math
+import random
 import struct
 from collections import Counter
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from wayloom.functions import wkb
+from wayloom.functions import geo, wkb
 from wayloom.operators import geometries
 
 SIDE = st.floats(allow_nan=False)
@@ -86,3 +87,31 @@ def test_types_and_cleaning(spark):
     with pytest.raises(ValueError):
         geometries.clean_parts(df.withColumnRenamed("id", "line"), "geometry")
     assert Counter(r[0] for r in df.select(wkb.from_parts(wkb.to_parts("geometry")) == df["geometry"]).collect()) == {True: 2, False: 2, None: 5}
+
+
+POLYLINES = st.lists(st.none() | st.lists(st.tuples(st.integers(-180_000_000, 180_000_000), st.integers(-90_000_000, 90_000_000)), max_size=5), max_size=6)
+
+
+@settings(max_examples=60, deadline=None)
+@given(POLYLINES, st.integers(0, 3))
+def test_polylines_in_batches(rows, torn):
+    texts = [None if r is None else geo.encode_polyline([(x / 1e6, y / 1e6) for x, y in r]) for r in rows]
+    texts = [t if t is None else t[: max(0, len(t) - torn)] for t in texts]
+    want = [geo.decode_polyline(t) for t in texts]
+    for low in (0, 1):
+        got = geo.decoded_polylines(pa.array(texts, pa.string()).slice(low)).to_pylist()
+        assert [None if g is None else [(p["lon"], p["lat"]) for p in g] for g in got] == want[low:]
+
+
+def test_polylines_in_columns(spark):
+    rng = random.Random(4)
+    rows = [[], [(0.0, 0.0)], [(-180.0, -90.0), (180.0, 90.0)], None] + [[(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(rng.randrange(40))] for _ in range(50)]
+    rows = [r and [(round(x, 6), round(y, 6)) for x, y in r] for r in rows]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"id int, line {geo.LINE}")
+    got = {r.id: (r.text, r.line) for r in df.withColumn("text", geo.line_to_polyline(df["line"])).withColumn("line", geo.polyline_to_line("text")).collect()}
+    for i, r in enumerate(rows):
+        text, line = got[i]
+        assert text == (None if r is None else geo.encode_polyline(r))
+        assert line == r if r is None else [(p.lon, p.lat) for p in line] == r
+    bad = geo.decoded_polylines(pa.array(["_p~iF ", "\x7f" * 30, "é", "~" * 20 + "?", ""], pa.string())).to_pylist()
+    assert bad == [None, None, None, None, []]

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 EARTH_KM = 6371.0
@@ -38,8 +42,9 @@ def length(line: Column) -> Column:
 def repaired(line: Column) -> Column:
     """The line without points that are not finite and without repeats; null if fewer than two points are left."""
     finite = F.filter(line, lambda p: (F.abs(p["lon"]) < math.inf) & (F.abs(p["lat"]) < math.inf))  # NaN is above all
-    first = F.filter(F.transform(finite, lambda p, i: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), ((i == 0) | (F.get(finite, i - 1) != p)).alias("new"))), lambda p: p["new"])
-    kept = F.transform(first, lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
+    before = F.concat(F.array(F.lit(None).cast("struct<lon:double,lat:double>")), finite)  # one longer, so the last pair has no point
+    pairs = F.zip_with(finite, before, lambda p, q: F.struct(p.alias("p"), (p.isNotNull() & ~p.eqNullSafe(q)).alias("new")))
+    kept = F.transform(F.filter(pairs, lambda x: x["new"]), lambda x: x["p"])
     return F.when(F.size(kept) >= 2, kept)
 
 
@@ -74,20 +79,50 @@ def decode_polyline(text: str | None, digits: int = 6) -> list[tuple[float, floa
         if b < 0x20:
             values.append(~(n >> 1) if n & 1 else n >> 1)
             n, shift = 0, 0
-    lat = pd.Series(values[0::2], dtype="int64").cumsum() / 10**digits
-    lon = pd.Series(values[1::2], dtype="int64").cumsum() / 10**digits
+    lat, lon = ([v / 10**digits for v in accumulate(values[i::2])] for i in (0, 1))
     return list(zip(lon, lat, strict=False))
 
 
-@F.pandas_udf(_LINE_TYPE)
-def polyline_to_line(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else [{"lon": x, "lat": y} for x, y in decode_polyline(t)])
+def decoded_polylines(batch: pa.Array, digits: int = 6) -> pa.Array:
+    """decode_polyline of a whole batch; texts with other characters, or numbers of over twelve of them, are null."""
+    n = len(batch)
+    text = batch.cast(pa.large_string()) if n else pa.array([None], pa.large_string())
+    _, ends, data = text.buffers()
+    ends = np.frombuffer(ends, np.int64)[text.offset : text.offset + len(text) + 1]
+    code = (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8))[ends[0] : ends[-1]].astype(np.int64) - 63
+    row = np.repeat(np.arange(len(text)), np.diff(ends))
+    bad = np.bincount(row, (code < 0) | (code > 63), minlength=len(text)) > 0
+    last = code & 32 == 0
+    start = np.flatnonzero(np.concatenate([[True], last[:-1] | (row[1:] != row[:-1])])) if len(code) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(code)))
+    bad |= np.bincount(row[start], size > 12, minlength=len(text)) > 0
+    shift = np.minimum(np.arange(len(code)) - np.repeat(start, size), 11) * 5
+    number = np.add.reduceat((code & 31) << shift, start) if len(start) else start
+    whole = last[start + size - 1]  # the last number of a text may be torn off
+    number, at = number[whole], row[start][whole]
+    first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(text)))])
+    paired = np.arange(len(at)) - first[at] < (np.diff(first) // 2 * 2)[at]
+    step, at = np.where(number & 1, ~(number >> 1), number >> 1)[paired], at[paired][0::2]
+    first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(text)))])
+
+    def degrees(d: np.ndarray) -> pa.Array:
+        sums = np.concatenate([[0], np.cumsum(d)])
+        return pa.array((sums[1:] - sums[first[at]]) / 10**digits)
+
+    points = pa.StructArray.from_arrays([degrees(step[1::2]), degrees(step[0::2])], ["lon", "lat"])
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), points, mask=pa.array(bad | ~np.asarray(text.is_valid()))).slice(0, n)
+
+
+@F.arrow_udf(_LINE_TYPE)
+def polyline_to_line(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from map(decoded_polylines, batches)
 
 
 def line_to_polyline(line: Column, digits: int = 6) -> Column:
     """encode_polyline in columns; null for a null line, and no text for a line without points."""
     whole = F.flatten(F.transform(line, lambda p: F.array(*(F.round(p[c] * F.lit(10.0**digits)).cast("long") for c in ("lat", "lon")))))
-    step = F.transform(whole, lambda v, i: v - F.when(i >= 2, F.get(whole, i - 2)).otherwise(0))
+    step = F.zip_with(whole, F.concat(F.array(F.lit(0), F.lit(0)).cast("array<bigint>"), whole), lambda v, w: v - w)  # two longer
+    step = F.filter(step, lambda d: d.isNotNull())
     turned = F.transform(step, lambda d: F.when(d < 0, -2 * d - 1).otherwise(2 * d))
     places = F.array(*(F.lit(k) for k in range(0, 60, 5)))
 

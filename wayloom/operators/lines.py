@@ -17,8 +17,9 @@ def from_vertices(vertices: DataFrame) -> DataFrame:
 def without_repeats(line: Column) -> Column:
     """The line without points that are missing or equal the one before."""
     there = F.filter(line, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    kept = F.filter(F.transform(there, lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), i.alias("i"))), lambda p: (p["i"] == 0) | (F.get(there, p["i"] - 1)["x"] != p["x"]) | (F.get(there, p["i"] - 1)["y"] != p["y"]))
-    return F.transform(kept, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    before = F.concat(F.array(F.lit(None).cast("struct<x:bigint,y:bigint>")), there)  # one longer, so the last pair has no point
+    pairs = F.zip_with(there, before, lambda p, q: F.struct(p.alias("p"), (p.isNotNull() & ~p.eqNullSafe(q)).alias("new")))
+    return F.transform(F.filter(pairs, lambda x: x["new"]), lambda x: x["p"])
 
 
 def snapped(df: DataFrame, grid: int) -> DataFrame:
