@@ -61,12 +61,6 @@ def test_polylines_round_trip(points):
     assert all(abs(a - b) < 1e-9 for u, v in zip(p, got, strict=True) for a, b in zip(u, v, strict=True))
 
 
-def test_wkb():
-    line = [(46.5, 24.5), (46.6, 24.6)]
-    assert geo.wkb_parts(geo.wkb_line(line)) == [line]
-    assert geo.wkb_parts(b"\x01\x02") is None and geo.wkb_parts(None) is None and geo.wkb_parts(b"\x01\x63\x00\x00\x00\x01\x00\x00\x00") is None
-
-
 def test_routes_and_orders(spark):
     e = spark.createDataFrame([(1, 2, 5), (2, 3, 5), (1, 3, 20), (3, 4, 1)], "src long, dst long, seconds long")
     s = spark.createDataFrame([(1,)], "node long")

@@ -2,12 +2,13 @@
 
 import heapq
 import json
+import struct
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from wayloom.functions import geo
+from wayloom.functions import geo, wkb
 from wayloom.operators import facilities, lines, maps, routing, shards, streets, topology as topo
 from wayloom.plans import registry
 from wayloom.plans.views import view
@@ -154,10 +155,10 @@ def test_readers_by_ending_and_sinks(spark, tmp_path):
 
 
 def test_geometry_of_lines_as_degrees(spark):
-    wkb = geo.wkb_line([(1.0, 2.0), (3.0, 4.0)])
-    df = spark.createDataFrame([(bytearray(wkb),), (bytearray(b"broken"),), (None,)], "geometry binary")
+    whole = struct.pack("<BII4d", 1, 2, 2, 1.0, 2.0, 3.0, 4.0)
+    df = spark.createDataFrame([(bytearray(whole),), (bytearray(b"broken"),), (None,)], "geometry binary")
     assert extract.geometry_kind(df) == "wkb"
-    parts = [r[0] for r in df.select(geo.wkb_to_parts("geometry")).collect()]
+    parts = [r[0] for r in df.select(wkb.to_parts("geometry")).collect()]
     assert [[(p.lon, p.lat) for p in line] for line in parts[0]] == [[(1.0, 2.0), (3.0, 4.0)]] and parts[1:] == [None, None]
     line = spark.createDataFrame([([(0.0, 0.0), (0.0, 0.0), (float("nan"), 1.0), (3.0, 4.0)],), ([(1.0, 1.0)],)], f"line {geo.LINE}")
     fixed = line.select(geo.repaired(F.col("line")).alias("line"))

@@ -1,14 +1,12 @@
-"""Geometry on columns: positions, distances, projections, lines as arrays of points, polylines, WKB."""
+"""Geometry on columns: positions, distances, projections, lines as arrays of points, polylines."""
 
 from __future__ import annotations
 
 import math
-import struct
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
@@ -131,42 +129,3 @@ def line_to_polyline(line: Column, digits: int = 6) -> Column:
         return F.array_join(F.transform(rest, lambda r: F.chr(r % 32 + F.when(r >= 32, 95).otherwise(63))), "")
 
     return F.array_join(F.transform(turned, text), "")
-
-
-def wkb_parts(data: bytes | None) -> list[list[tuple[float, float]]] | None:
-    """The parts of a WKB LineString or MultiLineString; None for anything else or broken bytes."""
-    if data is None:
-        return None
-    try:
-        data, at = bytes(data), 0
-
-        def one(at: int) -> tuple[list, int]:
-            order = "<" if data[at] else ">"
-            kind, n = struct.unpack_from(f"{order}II", data, at + 1)
-            at += 9
-            if kind == 2:
-                flat = struct.unpack_from(f"{order}{2 * n}d", data, at)
-                return [list(zip(flat[0::2], flat[1::2], strict=True))], at + 16 * n
-            if kind == 5:
-                parts = []
-                for _ in range(n):
-                    p, at = one(at)
-                    parts += p
-                return parts, at
-            raise ValueError(kind)
-
-        return one(at)[0]
-    except (struct.error, ValueError, IndexError):
-        return None
-
-
-def wkb_line(points) -> bytes:
-    return struct.pack("<BII", 1, 2, len(points)) + b"".join(struct.pack("<dd", *p) for p in points)
-
-
-@F.pandas_udf(T.ArrayType(_LINE_TYPE))
-def wkb_to_parts(data: pd.Series) -> pd.Series:
-    def line(p):
-        return [{"lon": x, "lat": y} for x, y in p]
-
-    return data.map(lambda d: None if (parts := wkb_parts(d)) is None else [line(p) for p in parts])

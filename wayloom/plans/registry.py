@@ -508,4 +508,4 @@ def geojson_rows(spark, sf_dir):
     return osm.point_features(view(spark, sf_dir, "places"), "lon_e7", "lat_e7", ["id", "name", "type", "address"])
 
 
-from . import fleet_queries, geometry_queries, graph_queries, map_queries, net_queries  # noqa: E402, F401  they register their queries here
+from . import fleet_queries, geometry_queries, graph_queries, map_queries, net_queries, style_queries  # noqa: E402, F401  they register their queries here
