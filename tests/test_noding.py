@@ -106,3 +106,13 @@ def test_a_run_that_stops_goes_on(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "crossings" / "done").glob("[!.]*"))) == 3 < len(list((tmp_path / "crossings" / "parts").iterdir()))
     other = spark.createDataFrame(some(20, 90, 8), SEGS)
     assert collected(run(s=other)) == collected(noding.noded(other, 2, 16, again=False))
+
+
+def test_joins_of_pairs_keep_short_conditions(spark):
+    """What pairs are tested for is computed after the join, not in its condition, whose code would not be compiled."""
+    segs = spark.createDataFrame([(1, 1, 0, 0, 5000, 5000), (2, 1, 0, 5000, 5000, 0)], "way_id long, seq_a long, ax long, ay long, bx long, by long")
+    hot = noding.hot_pixels(segs, 10)
+    for made in (noding.cross_points(segs, 10), noding.cut(segs, hot, 10)):
+        joins = [line for line in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+        assert joins and not any("decimal" in j or "CASE WHEN" in j for j in joins)
+    assert sorted(map(tuple, noding.cross_points(segs, 10).collect())) == [(2500, 2500)]

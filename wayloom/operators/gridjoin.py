@@ -28,6 +28,18 @@ def within(a: DataFrame, b: DataFrame, tol: int, *, circle: bool = True) -> Data
     return met.where(F.col("d2") <= tol * tol) if circle else met.where((F.abs(dx) < tol) & (F.abs(dy) < tol))
 
 
+def once(df: DataFrame, keep: list, **made: Column) -> DataFrame:
+    """df's columns `keep` and those of `made`, computed once for each row.
+
+    Spark would put filters on plain columns into the condition of the join below, each with all that its columns are
+    made of. The condition of a join of many pairs then becomes a method that is too long for the JVM to compile, and
+    every pair is interpreted. What explode gives is not moved.
+    """
+    one = F.explode(F.array(F.struct(*(c.alias(n) for n, c in made.items())))).alias("_once")
+    out = df.select(*keep, one)
+    return out.select(*out.columns[:-1], *(F.col(f"_once.{n}").alias(n) for n in made))
+
+
 def point_segments(points: DataFrame, segments: DataFrame, tol: int, cell: int) -> DataFrame:
     """Points (px, py, ..) with the segments (ax, ay, bx, by, ..) whose box is within tol: segments go to the cells they cover."""
     low = lambda a, b: _cell(F.least(a, b) - tol, cell)

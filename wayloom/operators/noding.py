@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.staging import staged
 from . import tiles as T
+from .gridjoin import once
 from .resume import ShardRun
 
 #: Tiles where none are given.
@@ -21,20 +22,33 @@ CELL = 4000
 SEG = ["way_id", "seq_a", "ax", "ay", "bx", "by"]
 
 
-def hit_sql(g: int) -> str:
+def hit_sql(g: int, made: bool = False) -> str:
     """SQL: whether a segment passes through a pixel, the half-open square from -g to g around zero.
 
     u, v lead from the pixel's centre to the segment's first end, twice; du, dv are twice the segment. On each axis the
     segment is inside between two shares of its length, with |du| and |dv| as denominators; one end of each range is
-    open. Both ranges and the whole segment have a share in common if each two of them do.
+    open. Both ranges and the whole segment have a share in common if each two of them do. With made the shares and
+    denominators are columns (hit_columns).
     """
     m = {"u": "(CASE WHEN du < 0 THEN -u ELSE u END)", "v": "(CASE WHEN dv < 0 THEN -v ELSE v END)"}
-    low, high = {c: f"(-{g} - {m[c]})" for c in m}, {c: f"({g} - {m[c]})" for c in m}
-    axis = lambda c: f"(CASE WHEN d{c} = 0 THEN {c} >= -{g} AND {c} < {g} ELSE ({low[c]} < abs(d{c}) OR ({low[c]} = abs(d{c}) AND d{c} > 0)) AND ({high[c]} > 0 OR ({high[c]} = 0 AND d{c} < 0)) END)"
-    both = lambda c, e: f"({low[c]} * abs(d{e}) < {high[e]} * abs(d{c}) OR ({low[c]} * abs(d{e}) = {high[e]} * abs(d{c}) AND d{c} > 0 AND d{e} < 0))"
+    low, high, full = {c: f"(-{g} - {m[c]})" for c in m}, {c: f"({g} - {m[c]})" for c in m}, {c: f"abs(d{c})" for c in m}
+    if made:
+        low, high, full = ({c: f"{k}_{c}" for c in m} for k in ("low", "high", "full"))
+    axis = lambda c: f"(CASE WHEN d{c} = 0 THEN {c} >= -{g} AND {c} < {g} ELSE ({low[c]} < {full[c]} OR ({low[c]} = {full[c]} AND d{c} > 0)) AND ({high[c]} > 0 OR ({high[c]} = 0 AND d{c} < 0)) END)"
+    both = lambda c, e: f"({low[c]} * {full[e]} < {high[e]} * {full[c]} OR ({low[c]} * {full[e]} = {high[e]} * {full[c]} AND d{c} > 0 AND d{e} < 0))"
     return f"{axis('u')} AND {axis('v')} AND (du = 0 OR dv = 0 OR ({both('u', 'v')} AND {both('v', 'u')}))"
 
 
+def hit_columns(g: int) -> dict[str, Column]:
+    """What hit_sql(g, True) reads, from ax, ay, bx, by and the pixel's x, y."""
+    out = {}
+    for c, d in (("u", "x"), ("v", "y")):
+        u, du = f"(2 * (a{d} - {d}))", f"(2 * (b{d} - a{d}))"
+        m = f"CASE WHEN b{d} < a{d} THEN -{u} ELSE {u} END"
+        out |= {c: F.expr(u), f"d{c}": F.expr(du), f"low_{c}": F.expr(f"-{g} - {m}"), f"high_{c}": F.expr(f"{g} - {m}"), f"full_{c}": F.expr(f"abs({du})")}
+    return out
+
+
 def on_grid(segs: DataFrame, grid: int) -> DataFrame:
     """Segments with ends on the nearest multiples of grid (halves up), without those of no length."""
     at = lambda c: (F.floor((F.col(c) + grid // 2) / F.lit(grid)).cast("long") * grid).alias(c)
@@ -53,14 +67,15 @@ def cross_points(segs: DataFrame, grid: int, tiles: T.Tree | int = CELL) -> Data
 
 def _crossings(s: DataFrame, grid: int) -> DataFrame:
     """cross_points of segments dealt out to tiles (size, tx, ty); each tile's own, which can be the same in several."""
-    side = lambda k: s.select("size", "tx", "ty", *(F.col(c).alias(f"{k}_{c}") for c in SEG))
+    box = {f"{e}{c}": f(f"a{c}", f"b{c}") for c in "xy" for e, f in (("l", F.least), ("h", F.greatest))}
+    side = lambda k: s.select("size", "tx", "ty", *(F.col(c).alias(f"{k}_{c}") for c in SEG), *(e.alias(f"{k}_{n}") for n, e in box.items()))
     met = side("p").join(side("q"), ["size", "tx", "ty"]).where("p_way_id < q_way_id OR (p_way_id = q_way_id AND p_seq_a < q_seq_a)")
-    low = lambda c: F.greatest(F.least(f"p_a{c}", f"p_b{c}"), F.least(f"q_a{c}", f"q_b{c}"))
-    high = lambda c: F.least(F.greatest(f"p_a{c}", f"p_b{c}"), F.greatest(f"q_a{c}", f"q_b{c}"))
-    met = met.where((low("x") <= high("x")) & (low("y") <= high("y")) & T.inside(low("x"), low("y")))
+    met = met.where("p_lx <= q_hx AND q_lx <= p_hx AND p_ly <= q_hy AND q_ly <= p_hy").where(T.inside(F.greatest("p_lx", "q_lx"), F.greatest("p_ly", "q_ly")))
     wide = "decimal(38,0)"
-    d = met.select("p_ax", "p_ay", *(F.expr(f"CAST({e} AS {wide})").alias(n) for n, e in (("rx", "p_bx - p_ax"), ("ry", "p_by - p_ay"), ("sx", "q_bx - q_ax"), ("sy", "q_by - q_ay"), ("wx", "q_ax - p_ax"), ("wy", "q_ay - p_ay"))))
-    d = d.select("*", *(F.expr(f"CAST({e} AS {wide})").alias(n) for n, e in (("den", "rx * sy - ry * sx"), ("t", "wx * sy - wy * sx"), ("w", "wx * ry - wy * rx")))).where("den <> 0")
+    step = lambda a, b: f"CAST({a} - {b} AS {wide})"
+    rx, ry, sx, sy, wx, wy = (step(f"{k}{c}", f"{o}{c}") for k, o in (("p_b", "p_a"), ("q_b", "q_a"), ("q_a", "p_a")) for c in "xy")
+    d = once(met, ["p_ax", "p_ay", "p_bx", "p_by"], den=F.expr(f"{rx} * {sy} - {ry} * {sx}"), t=F.expr(f"{wx} * {sy} - {wy} * {sx}"), w=F.expr(f"{wx} * {ry} - {wy} * {rx}")).where("den <> 0")
+    d = d.select("p_ax", "p_ay", F.expr(rx).alias("rx"), F.expr(ry).alias("ry"), "t", "w", "den")
     for c in ("t", "w", "den"):
         d = d.withColumn(f"_{c}", F.when(F.col("den") < 0, -F.col(c)).otherwise(F.col(c)).cast(wide))
     hit = d.where("_t BETWEEN 0 AND _den AND _w BETWEEN 0 AND _den")
@@ -88,9 +103,10 @@ def _placed(hot: DataFrame, tiles: T.Tree | int) -> DataFrame:
 def _hits(dealt: DataFrame, points: DataFrame, grid: int) -> DataFrame:
     """Each hot pixel that a segment, dealt out to tiles, passes through, with its place along the segment; each pixel is in one tile."""
     key = [c for c in dealt.columns if c not in (*SEG[2:], "size", "tx", "ty", "shard")]
-    met = dealt.join(points, ["size", "tx", "ty"]).where(f"x BETWEEN least(ax, bx) - {grid} AND greatest(ax, bx) + {grid} AND y BETWEEN least(ay, by) - {grid} AND greatest(ay, by) + {grid}")
-    placed = met.select(*key, "x", "y", F.expr("2 * (ax - x) AS u"), F.expr("2 * (ay - y) AS v"), F.expr("2 * (bx - ax) AS du"), F.expr("2 * (by - ay) AS dv"), F.expr("(x - ax) * (bx - ax) + (y - ay) * (by - ay) AS along"))
-    return placed.where(hit_sql(grid)).select(*key, "x", "y", "along")
+    box = {f"_{e}{c}": f"{f}(a{c}, b{c}) {sign} {grid}" for c in "xy" for e, f, sign in (("l", "least", "-"), ("h", "greatest", "+"))}
+    met = dealt.select("size", "tx", "ty", *key, *SEG[2:], *(F.expr(e).alias(n) for n, e in box.items())).join(points, ["size", "tx", "ty"]).where("x BETWEEN _lx AND _hx AND y BETWEEN _ly AND _hy")
+    placed = once(met, [*key, "x", "y"], **hit_columns(grid), along=F.expr("(x - ax) * (bx - ax) + (y - ay) * (by - ay)"))
+    return placed.where(hit_sql(grid, True)).select(*key, "x", "y", "along")
 
 
 def _pieces(on: DataFrame) -> DataFrame:
@@ -152,10 +168,10 @@ def faults(pieces: DataFrame, tiles: T.Tree | int = CELL) -> DataFrame:
     low = lambda c: F.greatest(F.least(f"pa{c}", f"pb{c}"), F.least(f"qa{c}", f"qb{c}"))
     high = lambda c: F.least(F.greatest(f"pa{c}", f"pb{c}"), F.greatest(f"qa{c}", f"qb{c}"))
     met = met.where((low("x") <= high("x")) & (low("y") <= high("y")) & T.inside(low("x"), low("y")))
-    for n, (o, e, x) in {"s1": ("pa", "pb", "qa"), "s2": ("pa", "pb", "qb"), "s3": ("qa", "qb", "pa"), "s4": ("qa", "qb", "pb")}.items():
-        met = met.withColumn(n, F.expr(f"sign(CAST(({e}x - {o}x) * ({x}y - {o}y) AS DECIMAL(38,0)) - CAST(({e}y - {o}y) * ({x}x - {o}x) AS DECIMAL(38,0)))"))
-    crossing = met.where("s1 * s2 < 0 AND s3 * s4 < 0").agg(F.count("*").alias("n_crossing"))
+    side_of = lambda o, e, x: F.expr(f"sign(CAST(({e}x - {o}x) * ({x}y - {o}y) AS DECIMAL(38,0)) - CAST(({e}y - {o}y) * ({x}x - {o}x) AS DECIMAL(38,0)))")
+    ends = [f"{k}{c}" for k in ("pa", "pb", "qa", "qb") for c in "xy"]
+    met = once(met, ends, s1=side_of("pa", "pb", "qa"), s2=side_of("pa", "pb", "qb"), s3=side_of("qa", "qb", "pa"), s4=side_of("qa", "qb", "pb"))
     within = lambda x, a, b: f"{x}x BETWEEN least({a}x, {b}x) AND greatest({a}x, {b}x) AND {x}y BETWEEN least({a}y, {b}y) AND greatest({a}y, {b}y) AND NOT ({x}x = {a}x AND {x}y = {a}y) AND NOT ({x}x = {b}x AND {x}y = {b}y)"
     touch = " + ".join(f"CASE WHEN {s} = 0 AND {within(x, a, b)} THEN 1 ELSE 0 END" for s, x, a, b in (("s1", "qa", "pa", "pb"), ("s2", "qb", "pa", "pb"), ("s3", "pa", "qa", "qb"), ("s4", "pb", "qa", "qb")))
-    touching = met.agg(F.coalesce(F.sum(F.expr(touch)), F.lit(0)).cast("long").alias("n_touching"))
-    return p.agg(F.count("*").alias("n_pieces")).crossJoin(crossing).crossJoin(touching)  # one row each
+    counted = met.agg(F.count_if(F.expr("s1 * s2 < 0 AND s3 * s4 < 0")).alias("n_crossing"), F.coalesce(F.sum(F.expr(touch)), F.lit(0)).cast("long").alias("n_touching"))
+    return p.agg(F.count("*").alias("n_pieces")).crossJoin(counted)  # one row each

@@ -69,4 +69,5 @@ def deal(rows: DataFrame, tiles: Tree | int, margin: int = 0) -> DataFrame:
 
 def inside(x: Column, y: Column) -> Column:
     """Whether a position is in the row's own tile: of a pair that meets in many tiles, the one that counts."""
-    return (_cell(x, F.col("size")) == F.col("tx")) & (_cell(y, F.col("size")) == F.col("ty"))
+    held = lambda v, t: (v >= F.col(t) * F.col("size")) & (v < (F.col(t) + 1) * F.col("size"))
+    return held(x, "tx") & held(y, "ty")

@@ -43,8 +43,8 @@ _LINES = ", lines AS MATERIALIZED (SELECT ax, ay, bx, by, min(way_id) AS way_id,
 
 
 def _segments(spark, sf_dir):
-    segs = topo.segments(view(spark, sf_dir, "way_vertices"))
-    return segs, tiles.tree(noding.on_grid(segs, GRID), LARGE, MOST, DEPTH)
+    segs = staged(noding.on_grid(topo.segments(view(spark, sf_dir, "way_vertices")), GRID), "segments")
+    return segs, tiles.tree(segs, LARGE, MOST, DEPTH)
 
 
 @query(f"{_NODED} SELECT * FROM pieces")
