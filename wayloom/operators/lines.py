@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .gridjoin import once
+
 POINTS = "array<struct<x:bigint,y:bigint>>"
 MAX_POINTS = 10_000
 
@@ -81,6 +83,7 @@ def best_overlap(pieces: DataFrame, sources: DataFrame, cell: int = 4000) -> Dat
     on = [x * sy - y * sx == 0 for x, y in ends]
     full = sx * sx + sy * sy
     shared = F.greatest(F.lit(0), F.least(F.greatest(*along), full) - F.greatest(F.least(*along), F.lit(0))).cast("double") / F.sqrt(full.cast("double"))
-    held = met.where(on[0] & on[1] & (full > 0)).select(c("p_way_id").alias("piece_way"), c("p_seq_a").alias("piece_seq"), c("s_way_id").alias("src"), F.round(shared, 3).alias("overlap"), shared.alias("exact")).where("exact > 0")
+    tried = once(met, [c("p_way_id").alias("piece_way"), c("p_seq_a").alias("piece_seq"), c("s_way_id").alias("src")], on=on[0] & on[1] & (full > 0), exact=F.when(full > 0, shared))
+    held = tried.where(F.col("on") & (F.col("exact") > 0)).withColumn("overlap", F.round("exact", 3))
     best = held.groupBy("piece_way", "piece_seq").agg(F.max(F.struct("overlap", (-c("src")).alias("m"))).alias("b"))
     return best.select("piece_way", "piece_seq", (-c("b.m")).alias("src"), c("b.overlap").alias("overlap"))
