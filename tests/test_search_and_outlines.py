@@ -106,3 +106,23 @@ def test_circles_on_the_radius(spark):
         assert abs(r.sse - sse(k, r.cx, r.cy, r.r)) < 1e-6 and r.sse <= start[k] + 1e-9
         assert all(sse(k, r.cx + dx, r.cy + dy) >= r.sse - 1e-7 for dx in (-0.01, 0, 0.01) for dy in (-0.01, 0, 0.01))
     assert sum(r.sse < start[k] * 0.999 for k, r in got.items()) > 5
+
+
+def test_rings_are_fitted_without_a_table_a_step(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k, n in enumerate((2, 3, 7, 60, 2600)):
+        angle = rng.uniform(0, 6.3, n)
+        rows += [(k, float(100 + 40 * np.cos(t) + e), float(7 + 40 * np.sin(t) - e)) for t, e in zip(angle, rng.normal(0, 2, n), strict=True)]
+    rows += [(9, float(i), 3.0 * i) for i in range(5)] + [(None, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "k long, x double, y double")
+    sums = {r.k: r for r in rings._fit_large(points.where("k IN (1, 2, 3, 4)"), "k").collect()}
+    written = []
+    whole = rings.staged
+    monkeypatch.setattr(rings, "staged", lambda df, name: written.append(name) or whole(df, name))
+    small = {r.k: r for r in rings.fit_circles(points.where("k <> 4 OR k IS NULL"), "k").collect()}
+    assert written == ["ring_rows"] and small.keys() == {1, 2, 3}
+    both = {r.k: r for r in rings.fit_circles(points, "k").collect()}
+    assert both.keys() == sums.keys() == {1, 2, 3, 4}
+    for k, r in both.items():
+        assert all(abs(r[c] - sums[k][c]) < 1e-6 * max(1, abs(r[c])) for c in ("cx", "cy", "r")) and abs(r.sse - sums[k].sse) < 1e-5
