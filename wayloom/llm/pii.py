@@ -27,6 +27,9 @@ MIN_CONTEXTS = 3
 DISCLOSURE = 0.8
 REMOVAL = 0.98
 
+#: Terms that go to all tasks at most where documents are counted; more are looked up after counting.
+BROADCAST_TERMS = 200_000
+
 #: Matches of a text that are added to one short array.
 BLOCK = 128
 
@@ -157,6 +160,20 @@ def _together(holders: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFram
     return counted.where(F.col("n_both") >= MIN_CONTEXTS), own
 
 
+def _document_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, df): in how many documents a term stands. wanted (term) may leave out others, but need not.
+
+    Counted where the texts are, so that one row a term and task is shuffled. A semi join on the counts would be moved
+    below them by Spark and shuffle every word of every text, so few terms go to the tasks and many are not filtered.
+    """
+    # Lower case is made term by term: on a whole text with letters beyond ASCII it is far slower.
+    split = F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+"))
+    words = docs.select(F.explode(F.array_distinct(F.transform(split, lambda w: F.lower(w)))).alias("term"))
+    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        words = words.join(F.broadcast(wanted), "term", "left_semi")
+    return words.groupBy("term").agg(F.count("*").alias("df"))
+
+
 def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(row, s, e, share): the terms that reveal an entity of their document, with the largest share of its information."""
     held_in = spans.where(F.size("entities") > 0).dropDuplicates(["row"])  # of equal rows one
@@ -181,11 +198,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     if joint.isEmpty():
         df = wanted.withColumn("df", F.lit(1).cast("long"))
     else:
-        # Counted where the texts are, so that the join has one row a term. Lower case is made term by term: on a whole
-        # text with letters beyond ASCII it is far slower.
-        split = F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+"))
-        words = docs.select(F.explode(F.array_distinct(F.transform(split, lambda w: F.lower(w)))).alias("term"))
-        df = words.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
+        df = _document_counts(docs, staged(wanted, "wanted"))
     info = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
     share = F.try_divide(F.log2(F.col("n_both") / F.col("n_entity")) + F.log2(F.lit(float(max(total, 2))) / F.col("df")), info)
     revealing = joint.join(df, "term").where(info > 0).select("entity", "term", share.alias("share")).where(F.col("share") >= DISCLOSURE)
