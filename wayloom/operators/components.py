@@ -19,6 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Edges with a null end or between a node and itself link nothing; only the latter's node is returned.
     """
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    ends = staged(ends, "ends")  # what makes the edges is read twice below and would run twice
     follow = ends.select("u").union(ends.select("v")).distinct().select(F.col("u").alias("node"), F.col("u").alias("root"))
     left = staged(ends.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     for salt in range(MAX_ROUNDS):

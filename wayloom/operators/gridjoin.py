@@ -15,13 +15,19 @@ def around(df: DataFrame, x: str, y: str, tol: int) -> DataFrame:
     return df.withColumn("cx", F.explode(F.transform(step(), lambda i: _cell(F.col(x), tol) + i))).withColumn("cy", F.explode(F.transform(step(), lambda i: _cell(F.col(y), tol) + i)))
 
 
+#: A cell is so many tolerances wide: a position is within tol of 2.25 cells on average, and of four at most.
+WIDE = 4
+
+
 def within(a: DataFrame, b: DataFrame, tol: int, *, circle: bool = True) -> DataFrame:
     """Pairs of rows of a (node_a, ax, ay, ..) and b (node_b, bx, by, ..) within tol, each once; d2 is the squared distance.
 
-    A cell is tol wide, so a pair is always in neighbouring cells; each pair meets in one cell only, b's own.
+    Rows of a go to all cells within tol of them, rows of b to their own, so each pair meets in one cell only.
     """
-    left = around(a, "ax", "ay", tol)
-    right = b.withColumn("cx", _cell(F.col("bx"), tol)).withColumn("cy", _cell(F.col("by"), tol))
+    size = WIDE * tol
+    span = lambda c: F.explode(F.sequence(_cell(F.col(c) - tol, size), _cell(F.col(c) + tol, size)))
+    left = a.withColumn("cx", span("ax")).withColumn("cy", span("ay"))
+    right = b.withColumn("cx", _cell(F.col("bx"), size)).withColumn("cy", _cell(F.col("by"), size))
     met = left.join(right, ["cx", "cy"]).drop("cx", "cy")
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
     met = met.withColumn("d2", dx * dx + dy * dy)

@@ -38,8 +38,13 @@ def degenerate_ways(ways: DataFrame, *, drop_closed: bool = False) -> DataFrame:
 
 
 def clean_way_nodes(ways: DataFrame, *, drop_closed: bool = False) -> DataFrame:
+    """Ways without repeats and without degenerate_ways, in one pass over each way."""
+    w = W.partitionBy("way_id").orderBy("seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     kept = dedup_consecutive(ways)
-    return kept.join(degenerate_ways(kept, drop_closed=drop_closed), "way_id", "left_anti")
+    told = kept.select("*", *(f.over(w).alias(n) for n, f in (("_n", F.count(F.lit(1))), ("_lo", F.min("node_id")), ("_hi", F.max("node_id")), ("_first", F.first("node_id")), ("_last", F.last("node_id")))))
+    closed = F.coalesce(F.col("_first") == F.col("_last"), F.lit(False))
+    bad = (F.col("_n") < 2) | ~F.coalesce(F.col("_lo") < F.col("_hi"), F.lit(False)) | (closed if drop_closed else closed & (F.col("_n") == 2))
+    return told.where(~bad | F.col("way_id").isNull()).select(*kept.columns)
 
 
 def endpoints(ways: DataFrame) -> DataFrame:
@@ -180,12 +185,20 @@ def gap_pairs(ends: DataFrame, tol: int = 500) -> DataFrame:
     return within(side("a"), side("b"), tol, circle=False).where("way_a <> way_b AND node_a <> node_b").select("way_a", "way_b", "node_a", "node_b", "d2")
 
 
+def gap_labels(ways: DataFrame, nodes: DataFrame, tol: int = 500) -> DataFrame:
+    """(node, component) of the nodes in gap pairs."""
+    return connected_components(gap_pairs(endpoints(ways).join(nodes, "node_id"), tol), "node_a", "node_b")
+
+
+def at_mean(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node_id, x_e7, y_e7, n_merged): the nodes of each component as its smallest id at their mean position; others stay."""
+    met = nodes.join(labels, nodes["node_id"] == labels["node"], "left")
+    mean = lambda c: F.floor(F.sum(c) / F.count("*") + 0.5).cast("long").alias(c)
+    merged = met.where("component IS NOT NULL").groupBy(F.col("component").alias("node_id")).agg(mean("x_e7"), mean("y_e7"), F.count("*").alias("n_merged"))
+    return met.where("component IS NULL").select("node_id", "x_e7", "y_e7", F.lit(1).cast("long").alias("n_merged")).unionByName(merged)
+
+
 def boundary_fix(ways: DataFrame, nodes: DataFrame, tol: int = 500) -> tuple[DataFrame, DataFrame]:
     """Gaps closed: the nodes of a component of gap pairs become its smallest id at their mean position; (ways, nodes)."""
-    pairs = gap_pairs(endpoints(ways).join(nodes, "node_id"), tol)
-    labels = connected_components(pairs, "node_a", "node_b")
-    moved = nodes.join(labels, nodes["node_id"] == labels["node"])
-    mean = lambda c: F.floor(F.sum(c) / F.count("*") + 0.5).cast("long")
-    merged = moved.groupBy("component").agg(mean("x_e7").alias("x_e7"), mean("y_e7").alias("y_e7")).withColumnRenamed("component", "node_id")
-    rest = nodes.join(labels, nodes["node_id"] == labels["node"], "left_anti")
-    return clean_way_nodes(relabel(ways, labels)), rest.unionByName(merged)
+    labels = gap_labels(ways, nodes, tol)
+    return clean_way_nodes(relabel(ways, labels)), at_mean(nodes, labels).drop("n_merged")

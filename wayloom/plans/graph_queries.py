@@ -56,7 +56,7 @@ def step_b_nodes(spark, sf_dir):
 @query()
 def build_graph(spark, sf_dir):
     """The whole build: every reference of the finished graph with its node's position."""
-    ways, nodes = topo.build_graph(view(spark, sf_dir, "way_vertices"))
+    ways, nodes = topo.build_graph(staged(view(spark, sf_dir, "way_vertices"), "vertices"))
     return ways.join(nodes, "node_id").select("way_id", "seq", "node_id", "x_e7", "y_e7")
 
 
@@ -67,10 +67,7 @@ _GAP_LABELS = f"{_WN}{_ENDS}, ep AS (SELECT way_id, node_id, x_e7, y_e7 FROM end
 def boundary_fix_nodes(spark, sf_dir):
     """The nodes after the gaps are closed: clusters at their mean, with how many they were."""
     _, nodes, ways = _graph(spark, sf_dir)
-    moved = topo.boundary_fix(ways, nodes)[1]
-    labels = topo.connected_components(topo.gap_pairs(topo.endpoints(ways).join(nodes, "node_id")), "node_a", "node_b")
-    sizes = labels.groupBy(F.col("component").alias("node_id")).agg(F.count("*").alias("n_merged"))
-    return moved.join(sizes, "node_id", "left").select("node_id", "x_e7", "y_e7", F.coalesce("n_merged", F.lit(1)).alias("n_merged"))
+    return topo.at_mean(nodes, topo.gap_labels(ways, nodes))
 
 
 # --- lines -----------------------------------------------------------------------------------------------------------
