@@ -114,3 +114,24 @@ def test_no_rows_at_all(spark):
     none = [spark.createDataFrame([], s) for s in (JOBS, VEHICLES, COSTS)]
     steps = fleet.tours(*none)
     assert steps.count() == 0 and fleet.summaries(steps, none[2]).count() == 0 and fleet.legs(steps).count() == 0
+
+
+def test_requests_are_dealt_out_and_summed_nowhere_before(spark, monkeypatch):
+    """Repeated rows and requests cut by batches give the same tours; a task has few requests, and nothing is summed in the one that reads."""
+    monkeypatch.setattr(fleet, "TASK_JOBS", 10)
+    jobs = [(r, j, 1 + j % 2, 5) for r in range(20) for j in (1, 2, 3)]
+    costs = [(r, a, b, float(10 + (a * 7 + b * 3 + r) % 11)) for r in range(20) for a in range(4) for b in range(4) if a != b]
+    job = spark.createDataFrame(jobs + [(0, 1, 0, 0), (3, 2, None, None)], "request long, job long, amount long, service long")
+    cost = spark.createDataFrame(costs + [(r, a, b, c + 1) for r, a, b, c in costs] + [(1, 0, 1, float("nan"))], "request long, a long, b long, cost double")
+    vehicle = spark.createDataFrame([(r, v, 3.0, None) for r in range(20) for v in (1, 2)] + [(2, 1, 1.0, None)], "request long, vehicle long, capacity double, longest double")
+    made = fleet.tours(job, vehicle, cost)
+    assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.rdd.getNumPartitions() == 7
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = made.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.request, r.job) for r in got) == sorted((r, j) for r, j, _, _ in jobs)
+    plain = fleet.tours(spark.createDataFrame(jobs, job.schema), vehicle.where("capacity > 1"), spark.createDataFrame(costs, cost.schema))
+    assert sorted(map(str, got)) == sorted(map(str, plain.collect()))

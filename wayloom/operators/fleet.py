@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -13,6 +14,8 @@ from .maps import feature
 #: Requests of at most so many jobs are solved exactly, by the sets of jobs that each vehicle may take.
 EXACT_JOBS = 7
 LITTLE = 1e-9
+#: Jobs of all requests that one task solves, on average.
+TASK_JOBS = 2000
 
 STEPS = "request long, vehicle long, visit long, job long, arrival double, service double, load double"
 
@@ -195,18 +198,18 @@ def split_in_order(plan: Plan) -> Plan:
 
 def exact(plan: Plan) -> Plan:
     """The best plan, by the cheapest tour of every set of jobs and the sets that each vehicle in turn may take."""
-    n = len(plan.cost) - 1
-    best: dict[tuple[int, int], tuple[float, list[int]]] = {(1 << j, j + 1): (plan.cost[0, j + 1], [j + 1]) for j in range(n)}
+    n, cost = len(plan.cost) - 1, plan.cost.tolist()
+    best: dict[tuple[int, int], tuple[float, list[int]]] = {(1 << j, j + 1): (cost[0][j + 1], [j + 1]) for j in range(n)}
     for _ in range(n - 1):
         for (seen, last), (c, t) in list(best.items()):
             for j in range(n):
                 if not seen >> j & 1:
-                    key, new = (seen | 1 << j, j + 1), (c + plan.cost[last, j + 1], [*t, j + 1])
+                    key, new = (seen | 1 << j, j + 1), (c + cost[last][j + 1], [*t, j + 1])
                     if key not in best or new < best[key]:
                         best[key] = new
     tour: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for (seen, last), (c, t) in best.items():
-        tour[seen] = min(tour.get(seen, (np.inf, [])), (c + plan.cost[last, 0], t))
+        tour[seen] = min(tour.get(seen, (np.inf, [])), (c + cost[last][0], t))
     plans: dict[int, tuple[float, list[list[int]]]] = {0: (0.0, [])}
     for v in range(len(plan.most)):
         can = [s for s, (_, t) in tour.items() if plan.fits(t, v)]
@@ -244,51 +247,78 @@ def tours(jobs: DataFrame, vehicles: DataFrame, costs: DataFrame, closed: bool =
     A request is one group and is solved in one task, with a matrix of its stops; requests are bounded by whoever asks
     (a service takes about a thousand stops), and any number of them is dealt out.
     """
-    number = lambda c: F.col(c).cast("double")
-    job = jobs.where("request IS NOT NULL AND job IS NOT NULL AND job <> 0").groupBy("request", "job").agg(F.max(F.struct(F.coalesce(number("amount"), F.lit(0.0)).alias("amount"), F.coalesce(number("service"), F.lit(0.0)).alias("service"))).alias("v"))
-    no = F.lit(float("inf"))
-    vehicle = vehicles.where("request IS NOT NULL AND vehicle IS NOT NULL").groupBy("request", "vehicle").agg(F.max(F.struct(F.coalesce(number("capacity"), no).alias("most"), F.coalesce(number("longest"), no).alias("longest"))).alias("v"))
-    way = costs.where("request IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND cost IS NOT NULL AND a <> b").groupBy("request", "a", "b").agg(F.min(number("cost")).alias("cost"))
-    rows = job.select(F.col("request").cast("long").alias("request"), F.lit(0).alias("kind"), F.col("job").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("v.amount").alias("x"), F.col("v.service").alias("y"))
-    rows = rows.union(vehicle.select(F.col("request").cast("long"), F.lit(1), F.col("vehicle").cast("long"), F.lit(0).cast("long"), "v.most", "v.longest"))
-    rows = rows.union(way.select(F.col("request").cast("long"), F.lit(2), F.col("a").cast("long"), F.col("b").cast("long"), "cost", F.lit(0.0)))
-    return rows.groupBy("request").applyInPandas(_solver(closed), STEPS)
+    number = lambda c, otherwise: F.coalesce(F.col(c).cast("double"), F.lit(otherwise))
+    whole = lambda c: F.col(c).cast("long")
+    none, no = F.lit(0).cast("long"), float("inf")
+    rows = jobs.where("request IS NOT NULL AND job IS NOT NULL AND job <> 0").select(whole("request").alias("request"), F.lit(0).alias("kind"), whole("job").alias("a"), none.alias("b"), number("amount", 0.0).alias("x"), number("service", 0.0).alias("y"))
+    rows = rows.union(vehicles.where("request IS NOT NULL AND vehicle IS NOT NULL").select(whole("request"), F.lit(1), whole("vehicle"), none, number("capacity", no), number("longest", no)))
+    rows = rows.union(costs.where("request IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND cost IS NOT NULL AND a <> b").select(whole("request"), F.lit(2), whole("a"), whole("b"), F.col("cost").cast("double"), F.lit(0.0)))
+    # Repeated rows go in the solver, where a request is together anyhow: nothing is summed before the one shuffle.
+    # Requests take far longer than their bytes tell, so tasks are dealt out by the number of jobs.
+    return rows.repartition(1 + jobs.count() // TASK_JOBS, "request").sortWithinPartitions("request", "kind", "a", "b", "x", "y").mapInPandas(_solver(closed), STEPS)
 
 
 def _solver(closed: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        request = pdf["request"].iloc[0]
-        job, vehicle, way = (pdf[pdf["kind"] == k].sort_values(["a", "b"]) for k in range(3))
-        at = {0: 0} | {int(j): i for i, j in enumerate(job["a"], 1)}
-        cost = np.full((len(at), len(at)), np.inf)
-        for a, b, c in zip(way["a"], way["b"], way["x"], strict=True):
-            if a in at and b in at:
-                cost[at[a], at[b]] = c
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict[str, np.ndarray]] = []
+        join = lambda: {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            held.append({c: pdf[c].to_numpy() for c in pdf.columns})
+            last = held[-1]["request"][-1]
+            if last != held[0]["request"][0]:  # rows are by request: all but the last are whole
+                rows = join()
+                cut = np.searchsorted(rows["request"], last)
+                yield _planned({c: v[:cut] for c, v in rows.items()}, closed)
+                held = [{c: v[cut:] for c, v in rows.items()}]
+        if held:
+            yield _planned(join(), closed)
+
+    return run
+
+
+def _planned(rows: dict[str, np.ndarray], closed: bool) -> pd.DataFrame:
+    """The steps of whole requests, by request, kind, a, b, x, y."""
+    new = lambda *keys: np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    first = new(rows["request"], rows["kind"], rows["a"], rows["b"])
+    # Of repeated jobs and vehicles the last and largest counts, of costs the first and least.
+    kept = np.where(rows["kind"] == 2, first, np.append(first[1:], True))
+    rows = {c: v[kept] for c, v in rows.items()}
+    starts = np.flatnonzero(new(rows["request"]))
+    out: list[tuple] = []
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rows["request"])], strict=True):
+        v, w = (s + np.searchsorted(rows["kind"][s:e], [1, 2])).tolist()
+        names = rows["a"][s:v]
+        cost = np.full((len(names) + 1, len(names) + 1), np.inf)
+        if w < e:
+            stops = np.concatenate([[0], names])
+            order = np.argsort(stops)
+            at = [order[np.minimum(np.searchsorted(stops, rows[c][w:e], sorter=order), len(stops) - 1)] for c in "ab"]
+            known = (stops[at[0]] == rows["a"][w:e]) & (stops[at[1]] == rows["b"][w:e])
+            cost[at[0][known], at[1][known]] = rows["x"][w:e][known]
         np.fill_diagonal(cost, 0.0)
         if not closed:
             cost[:, 0] = 0.0
         # A way that does not exist costs more than all others together and cannot be part of a tour that is kept.
-        none = 1e6 + 10 * float(cost[np.isfinite(cost)].sum())
         gone = ~np.isfinite(cost)
+        none = 1e6 + 10 * float(cost[~gone].sum())
         cost[gone] = none
-        amount, service = (np.concatenate([[0.0], job[c].to_numpy()]) for c in "xy")
-        longest = np.minimum(vehicle["y"].to_numpy(), none / 2 + service.sum())
-        plan = Plan(cost, amount, service, vehicle["x"].to_numpy(), longest)
-        if len(job) and len(vehicle):
+        amount, service = (np.concatenate([[0.0], rows[c][s:v]]) for c in "xy")
+        plan = Plan(cost, amount, service, rows["x"][v:w], np.minimum(rows["y"][v:w], none / 2 + service.sum()))
+        if len(names) and w > v:
             plan = solved(plan)
-        names, rows = job["a"].tolist(), []
-        for v, tour in zip(vehicle["a"], plan.tours, strict=True):
+        request, names = int(rows["request"][s]), names.tolist()
+        for vehicle, tour in zip(rows["a"][v:w].tolist(), plan.tours, strict=True):
             time, load, last = 0.0, 0.0, 0
             for i, j in enumerate(tour, 1):
                 time += cost[last, j]
                 load += amount[j]
-                rows.append((request, v, i, names[j - 1], time, service[j], load))
+                out.append((request, vehicle, i, names[j - 1], time, service[j], load))
                 time, last = time + service[j], j
-        rows += [(request, None, None, names[j - 1], None, service[j], None) for j in plan.left()]
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in STEPS.split(", ")])
-        return out.astype({"request": "int64", "vehicle": "Int64", "visit": "Int64", "job": "int64", "arrival": "Float64", "service": "float64", "load": "Float64"})
-
-    return run
+        out += [(request, None, None, names[j - 1], None, service[j], None) for j in plan.left()]
+    made = pd.DataFrame(out, columns=[c.split()[0] for c in STEPS.split(", ")])
+    return made.astype({"request": "int64", "vehicle": "Int64", "visit": "Int64", "job": "int64", "arrival": "Float64", "service": "float64", "load": "Float64"})
 
 
 def summaries(steps: DataFrame, costs: DataFrame, closed: bool = True) -> DataFrame:

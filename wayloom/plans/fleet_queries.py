@@ -18,6 +18,7 @@ LARGE = [(1, 30.0, None), (2, 25.0, 9_000_000.0), (3, 20.0, 9_000_000.0)]
 def _requests(spark, sf_dir, stops: int, vehicles: list) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every place is a stop: `stops` neighbours by id are one request, the first its depot. A way costs the steps east and north."""
     p = view(spark, sf_dir, "places").select(F.floor((F.col("id") - 1) / stops).alias("request"), ((F.col("id") - 1) % stops).alias("stop"), (F.col("id") % 5 + 1).alias("amount"), "lon_e7", "lat_e7")
+    p = p.repartition("request")  # the table can be one file, read by one task, and each stop gives `stops` rows
     jobs = p.where("stop > 0").select("request", F.col("stop").alias("job"), "amount", (F.col("amount") * 30).alias("service"))
     fleets = p.select("request").distinct().crossJoin(F.broadcast(spark.createDataFrame(vehicles, "vehicle long, capacity double, longest double")))  # a fixed few
     a, b = (p.select("request", F.col("stop").alias(s), F.col("lon_e7").alias(f"{s}x"), F.col("lat_e7").alias(f"{s}y")) for s in "ab")
