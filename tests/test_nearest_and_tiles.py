@@ -1,12 +1,13 @@
 """Nearest neighbours against all pairs; vector tiles against their clipped input."""
 
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from wayloom.operators import vector_tiles as vt
+from wayloom.operators import nearest, vector_tiles as vt
 from wayloom.operators.nearest import nearest_join
 
 LEFT, RIGHT = "id long, x_e7 long, y_e7 long", "node long, x_e7 long, y_e7 long"
@@ -51,3 +52,16 @@ def test_clipped_lines(spark):
         (0, 0, 3, 1): (10, e - 10, 90, e - 10), (0, 1, 3, 1): (10, -10, 90, -10),
     }
     assert {(r.x, r.way_id, r.seq): r.part for r in vt.parts(segs.where("way_id = 2")).collect()} == {(0, 2, 1): 0, (0, 2, 3): 1, (1, 2, 1): 0, (1, 2, 2): 0, (1, 2, 3): 0}
+
+
+def test_pairs_to_come_are_dealt_out(spark, monkeypatch):
+    """Tasks are as many as the pairs they will make ask for, and the neighbours stay the same."""
+    points = spark.range(300).selectExpr("id", "id * 7919 % 2000 AS x_e7", "id * 3571 % 2000 AS y_e7")
+    others = spark.range(500).selectExpr("id AS node", "id * 6007 % 2000 AS x_e7", "id * 4447 % 2000 AS y_e7")
+    want = sorted(map(tuple, nearest.nearest_join(points, others, 3).collect()))
+    plans, written = [], nearest.staged
+    monkeypatch.setattr(nearest, "TASK_PAIRS", 1000)
+    monkeypatch.setattr(nearest, "staged", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString() if name == "nearest" else "") or written(df, name))
+    assert sorted(map(tuple, nearest.nearest_join(points, others, 3).collect())) == want
+    tasks = [int(n) for p in plans for n in re.findall(r", (\d+)\), REPARTITION_BY_NUM", p)]
+    assert tasks and max(tasks) > 5
