@@ -108,3 +108,19 @@ def test_nulls_empty_tables_and_broken_files(spark, tmp_path):
     (tmp_path / "d.pbf").write_bytes(mb.blob(b"OSMHeader", wire.field(4, b"Other")))
     with pytest.raises(Exception, match="needs what is not known"):
         mb.read_nodes(spark, str(tmp_path / "d.pbf")).count()
+
+
+def test_blocks_are_coded_and_read_as_a_whole(monkeypatch):
+    """Numbers of all ways of a block are written and read at once: calls do not grow with the ways, and nothing changes."""
+    ids = np.array([5, -7, 1 << 40, 9])
+    refs = [np.array([3, -4, 1 << 60]), np.zeros(0, np.int64), np.array([-(1 << 62)]), np.array([8, 8])]
+    batch = mb._batch("way", np.tile(ids, 500), None, None, refs * 500, None)
+    calls = []
+    for name in ("varints", "numbers"):
+        plain = getattr(mb, name)
+        monkeypatch.setattr(mb, name, lambda n, plain=plain, name=name: calls.append(name) or plain(n))
+    data = mb.way_block(batch)
+    got = next(mb.elements(mb.content(data[4 + int.from_bytes(data[:4], "big") :])))
+    assert got.to_pylist() == batch.to_pylist() and len(calls) < 20
+    with pytest.raises(ValueError):
+        mb._references([b"\x80", b"\x01"])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..plans.staging import staged
+from ..plans.staging import staged, with_offsets
 from .areas import bounds, shard_assign
 from .topology import extract_nodes
 
@@ -30,8 +30,11 @@ def by_shard(vertices: DataFrame, rows: int, cols: int) -> tuple[DataFrame, Data
     core = shard_assign(vertices, rows, cols).where("is_core").select("way_id", (F.col("shard_row") * cols + F.col("shard_col") + 1).alias("shard"))
     own = staged(vertices.join(core, "way_id").select("shard", "way_id", "seq", "x_e7", "y_e7"), "sharded")
     at = own.select("shard", "x_e7", "y_e7").distinct()
-    number = F.row_number().over(W.partitionBy("shard").orderBy("x_e7", "y_e7"))
-    nodes = staged(at.select("x_e7", "y_e7", "shard", (-(F.col("shard") * STRIDE + number)).alias("node_id")), "shard_nodes")
+    # Numbered over all shards, so that no task has to hold a whole one; each shard's numbers then start at 1.
+    placed = with_offsets(at, ["shard", "x_e7", "y_e7"], "placed")
+    first = placed.groupBy("shard").agg(F.min("row_no").alias("_first"))
+    number = F.col("row_no") - F.col("_first") + 1
+    nodes = staged(placed.join(first, "shard").select("x_e7", "y_e7", "shard", (-(F.col("shard") * STRIDE + number)).alias("node_id")), "shard_nodes")
     ways = own.join(nodes, ["shard", "x_e7", "y_e7"]).select("way_id", "seq", "node_id")
     return ways, nodes.select("node_id", "x_e7", "y_e7")
 

@@ -135,7 +135,7 @@ def map_binary_nodes(spark, sf_dir):
 @query(f"{_WN} SELECT way_id, row_number() OVER (PARTITION BY way_id ORDER BY seq) AS seq, node_id FROM wn")
 def map_binary_ways(spark, sf_dir):
     """The references of the ways of shards, each written as binary files with ids of its own, read back as one, merged, and written and read again."""
-    parts = shards.by_shard(view(spark, sf_dir, "way_vertices"), 4, 5)
+    parts = shards.by_shard(staged(view(spark, sf_dir, "way_vertices"), "vertices"), 4, 5)
     apart = _written(spark, parts[1], parts[0])
     ways, nodes = shards.merged((map_binary.read_ways(spark, apart), staged(map_binary.read_nodes(spark, apart), "shard_nodes")))
     return map_binary.read_ways(spark, _written(spark, nodes, ways))

@@ -14,6 +14,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -89,9 +90,26 @@ def _steps(n: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
     return out
 
 
+def _tags_of(batch: pa.RecordBatch) -> list | None:
+    """The tags of each row as pairs; None where no row has any."""
+    tags = batch.column("tags")
+    return tags.to_pylist() if pc.any(pc.greater(pc.subtract(tags.offsets[1:], tags.offsets[:-1]), 0)).as_py() else None
+
+
+def _woven(*pieces: tuple[bytes | np.ndarray, np.ndarray]) -> bytes:
+    """Row by row, one piece of each: (the bytes of a piece for all rows, its size by row)."""
+    size = np.stack([n for _, n in pieces], 1)
+    ends = np.cumsum(size.ravel()).reshape(size.shape)
+    out = np.empty(int(ends[-1, -1]), np.uint8)
+    for k, (data, n) in enumerate(pieces):
+        own = np.cumsum(n)
+        out[np.arange(own[-1]) + np.repeat(ends[:, k] - own, n)] = np.frombuffer(data, np.uint8)
+    return out.tobytes()
+
+
 def node_block(batch: pa.RecordBatch) -> bytes:
     words, column = _Words(), lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
-    tags = batch.column("tags").to_pylist()
+    tags = _tags_of(batch) or []
     dense = b"".join(field(k, varints(zigzag(_steps(column(c))))) for k, c in ((1, "id"), (8, "lat_e7"), (9, "lon_e7")))
     if any(tags):
         dense += field(10, varints(np.array([n for t in tags for n in (*(words[w] for kv in t or () for w in kv), 0)], np.uint64)))
@@ -106,14 +124,15 @@ def way_block(batch: pa.RecordBatch) -> bytes:
     starts = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
     coded = zigzag(_steps(flat, starts[n > 0]))
     data, ends = varints(coded), np.concatenate([[0], np.cumsum(sizes(coded))]).astype(np.int64)
-    ways = []
-    for i, t, start, count in zip(batch.column("id").to_pylist(), batch.column("tags").to_pylist(), starts.tolist(), n.tolist(), strict=True):
-        way = number_field(1, i)
-        for k in (0, 1):
-            if t:
-                way += field(2 + k, varints(np.array([words[kv[k]] for kv in t], np.uint64)))
-        ways.append(field(3, way + field(8, data[ends[start] : ends[start + count]])))
-    return blob(b"OSMData", words.table() + field(2, b"".join(ways)))
+    ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    said = [b"".join(field(2 + k, varints(np.array([words[kv[k]] for kv in t], np.uint64))) for k in (0, 1)) if t else b"" for t in _tags_of(batch) or ()]
+    tagged = np.array([len(t) for t in said], np.int64) if said else np.zeros(len(n), np.int64)
+    length = ends[starts + n] - ends[starts]
+    whole = 2 + sizes(ids) + tagged + sizes(length.astype(np.uint64)) + length
+    one, mark = np.ones(len(n), np.int64), lambda k, kind: bytes([k << 3 | kind]) * len(n)
+    number = lambda v: (varints(v.astype(np.uint64)), sizes(v.astype(np.uint64)))
+    ways = _woven((mark(3, 2), one), number(whole), (mark(1, 0), one), number(ids), (b"".join(said), tagged), (mark(8, 2), one), number(length), (data, length))
+    return blob(b"OSMData", words.table() + field(2, ways))
 
 
 def elements(data: bytes, kind: str | None = None) -> Iterator[pa.RecordBatch]:
@@ -130,12 +149,12 @@ def elements(data: bytes, kind: str | None = None) -> Iterator[pa.RecordBatch]:
     pairs = lambda keys, vals: [(strings[a], strings[b]) for a, b in zip(numbers(keys).tolist(), numbers(vals).tolist(), strict=True)]
     signed = lambda n: unzigzag(np.array([n], np.uint64))[0]
     for group in groups:
-        single, ways = [], []
+        single, ids, refs, way_tags = [], [], [], []
         for k, v in fields(group):
             if k == 2 and kind != "way":
                 said = dict(fields(v))
-                ids, lat, lon = (np.cumsum(unzigzag(numbers(said.get(c, b"")))) for c in (1, 8, 9))
-                tags = [[] for _ in ids]
+                nodes, lat, lon = (np.cumsum(unzigzag(numbers(said.get(c, b"")))) for c in (1, 8, 9))
+                tags = [[] for _ in nodes] if said.get(10) else None
                 at, open_key = 0, None
                 for n in numbers(said.get(10, b"")).tolist():
                     if open_key is not None:
@@ -145,26 +164,43 @@ def elements(data: bytes, kind: str | None = None) -> Iterator[pa.RecordBatch]:
                         open_key = n
                     else:
                         at += 1
-                yield _batch("node", ids, e7(lat, 19), e7(lon, 20), None, tags)
+                yield _batch("node", nodes, e7(lat, 19), e7(lon, 20), None, tags)
             elif k == 1 and kind != "way":
                 said = dict(fields(v))
                 single.append((signed(said[1]), e7(signed(said[8]), 19), e7(signed(said[9]), 20), pairs(said.get(2, b""), said.get(3, b""))))
             elif k == 3 and kind != "node":
                 said = dict(fields(v))
-                ways.append((said[1] - (1 << 64) if said[1] >> 63 else said[1], np.cumsum(unzigzag(numbers(said.get(8, b"")))), pairs(said.get(2, b""), said.get(3, b""))))
+                ids.append(said[1] - (1 << 64) if said[1] >> 63 else said[1])
+                refs.append(said.get(8, b""))
+                way_tags.append(pairs(said[2], said.get(3, b"")) if 2 in said else ())
         if single:
-            ids, lat, lon, tags = zip(*single, strict=True)
-            yield _batch("node", np.array(ids), np.array(lat), np.array(lon), None, list(tags))
-        if ways:
-            ids, refs, tags = zip(*ways, strict=True)
-            yield _batch("way", np.array(ids, np.int64), None, None, refs, list(tags))
-
-
-def _batch(kind: str, ids: np.ndarray, lat, lon, refs, tags: list) -> pa.RecordBatch:
+            nodes, lat, lon, tags = zip(*single, strict=True)
+            yield _batch("node", np.array(nodes), np.array(lat), np.array(lon), None, list(tags))
+        if ids:
+            yield _batch("way", np.array(ids, np.int64), None, None, _references(refs), way_tags)
+
+
+def _references(coded: list[bytes]) -> list[np.ndarray]:
+    """The references of each way from its bytes; all are read at once."""
+    data = b"".join(coded)
+    last = np.frombuffer(data, np.uint8) < 128
+    ends = np.cumsum([len(c) for c in coded])
+    held = ends[np.diff(ends, prepend=0) > 0]
+    if not last[held - 1].all():
+        raise ValueError("the last number is cut off")
+    starts = np.concatenate([[0], np.concatenate([[0], np.cumsum(last)])[ends]])
+    sums = np.cumsum(unzigzag(numbers(data)))  # what the ways before come to goes again, also where it overflows
+    before = np.concatenate([np.zeros(1, np.int64), sums])[starts[:-1]]
+    return np.split(sums - np.repeat(before, np.diff(starts)), starts[1:-1])
+
+
+def _batch(kind: str, ids: np.ndarray, lat, lon, refs, tags: list | None) -> pa.RecordBatch:
     n = len(ids)
     place = lambda c: pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64())
     lists = pa.nulls(n, pa.list_(pa.int64())) if refs is None else pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(r) for r in refs])]).astype(np.int32), np.concatenate(refs))
-    return pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array(ids, pa.int64()), place(lat), place(lon), lists, pa.array([dict(t) for t in tags], pa.map_(pa.string(), pa.string()))], [c.split()[0] for c in SCHEMA.split(", ")])
+    none = pa.array([], pa.string())
+    said = pa.array([dict(t) for t in tags], pa.map_(pa.string(), pa.string())) if tags and any(tags) else pa.MapArray.from_arrays(np.zeros(n + 1, np.int32), none, none)
+    return pa.RecordBatch.from_arrays([pa.repeat(kind, n), pa.array(ids, pa.int64()), place(lat), place(lon), lists, said], [c.split()[0] for c in SCHEMA.split(", ")])
 
 
 # --- writing ----------------------------------------------------------------------------------------------------------
@@ -178,16 +214,15 @@ class _Written(WriterCommitMessage):
 
 def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Rows of one kind that follow each other and fit one block."""
-    kind = np.array(batch.column("kind").to_pylist(), object)
-    refs = pc.list_value_length(batch.column("refs")).fill_null(0).to_numpy(zero_copy_only=False)
-    start, held = 0, 0
-    for i in range(batch.num_rows):
-        if i > start and (kind[i] != kind[start] or i - start >= BLOCK_ELEMENTS or held + refs[i] > BLOCK_REFS):
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += refs[i]
-    if batch.num_rows:
-        yield batch.slice(start)
+    kind = batch.column("kind").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    refs = np.cumsum(pc.list_value_length(batch.column("refs")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), batch.num_rows]
+    for start, end in pairwise(edges):
+        while start < end:
+            room = BLOCK_REFS + (refs[start - 1] if start else 0)
+            upto = max(start + 1, min(end, start + BLOCK_ELEMENTS, int(np.searchsorted(refs, room, "right"))))
+            yield batch.slice(start, upto - start)
+            start = upto
 
 
 class _Writer(DataSourceArrowWriter):
