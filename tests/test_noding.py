@@ -116,3 +116,29 @@ def test_joins_of_pairs_keep_short_conditions(spark):
         joins = [line for line in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
         assert joins and not any("decimal" in j or "CASE WHEN" in j for j in joins)
     assert sorted(map(tuple, noding.cross_points(segs, 10).collect())) == [(2500, 2500)]
+
+
+def test_rows_are_dealt_out_in_one_pass_and_narrow_pairs_need_no_decimals(spark):
+    segs = spark.createDataFrame(some(45, 90), SEGS).repartition(3)
+    tree = tiles.tree(segs, 64, 3, 2)
+    assert tree.cut.count() > 0 and len(tree.sizes) == 3
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(tiles.deal(segs, tree)).count("Repartition") == 1
+    pairs = plan(noding.cross_points(segs, 2, tree)).split("Union")[1].split("Join")
+    assert len(pairs) > 2 and "decimal" not in pairs[0]  # what is computed of narrow pairs, above their join
+    x = 2**21
+    wide = [(1, 0, -x, -x, x, x), (2, 0, -x, x, x, -x), (3, 0, 0, 6, 40, 6), (4, 0, 20, 0, 20, 40), (5, 0, -x, 8, x, 12)]
+    got = [tuple(r) for r in noding.cross_points(spark.createDataFrame(wide, SEGS), 2, 1 << 22).collect()]
+    assert len(got) == len(set(got)) and set(got) == meeting_points(wide, 2)
+
+
+def meeting_points(segs, g):
+    out = set()
+    for (_, _, *p), (_, _, *q) in combinations(segs, 2):
+        r, s, w = (p[2] - p[0], p[3] - p[1]), (q[2] - q[0], q[3] - q[1]), (q[0] - p[0], q[1] - p[1])
+        den = r[0] * s[1] - r[1] * s[0]
+        if den:
+            t, u = Q(w[0] * s[1] - w[1] * s[0], den), Q(w[0] * r[1] - w[1] * r[0], den)
+            if 0 <= t <= 1 and 0 <= u <= 1:
+                out.add(tuple(((p[k] + t * r[k]) / g + Q(1, 2)).__floor__() * g for k in range(2)))
+    return out

@@ -19,6 +19,8 @@ from .resume import ShardRun
 
 #: Tiles where none are given.
 CELL = 4000
+#: Boxes and grids below this are computed in 64 bits: 2 * t * r + den * grid stays below 2^63 where den, t < 2^41.
+NARROW = 1 << 20
 SEG = ["way_id", "seq_a", "ax", "ay", "bx", "by"]
 
 
@@ -55,9 +57,10 @@ def on_grid(segs: DataFrame, grid: int) -> DataFrame:
     return segs.select("way_id", "seq_a", *(at(c) for c in SEG[2:])).where("ax <> bx OR ay <> by")
 
 
-def _floor_div(a: Column, b: Column) -> Column:
-    """a / b rounded down, for whole numbers and b > 0."""
-    return F.floor((a - F.pmod(a, b)) / b)
+def _whole(segs: DataFrame, grid: int) -> DataFrame:
+    """on_grid, written out where segs are not."""
+    whole = on_grid(segs, grid)
+    return whole if hasattr(segs, "staged_at") else staged(whole, "on_grid")
 
 
 def cross_points(segs: DataFrame, grid: int, tiles: T.Tree | int = CELL) -> DataFrame:
@@ -66,28 +69,38 @@ def cross_points(segs: DataFrame, grid: int, tiles: T.Tree | int = CELL) -> Data
 
 
 def _crossings(s: DataFrame, grid: int) -> DataFrame:
-    """cross_points of segments dealt out to tiles (size, tx, ty); each tile's own, which can be the same in several."""
+    """cross_points of segments dealt out to tiles (size, tx, ty); each tile's own, which can be the same in several.
+
+    Pairs of narrow segments are met in 64 bits, those with a wide one in decimals, which cost several times as much.
+    """
     box = {f"{e}{c}": f(f"a{c}", f"b{c}") for c in "xy" for e, f in (("l", F.least), ("h", F.greatest))}
     side = lambda k: s.select("size", "tx", "ty", *(F.col(c).alias(f"{k}_{c}") for c in SEG), *(e.alias(f"{k}_{n}") for n, e in box.items()))
-    met = side("p").join(side("q"), ["size", "tx", "ty"]).where("p_way_id < q_way_id OR (p_way_id = q_way_id AND p_seq_a < q_seq_a)")
-    met = met.where("p_lx <= q_hx AND q_lx <= p_hx AND p_ly <= q_hy AND q_ly <= p_hy").where(T.inside(F.greatest("p_lx", "q_lx"), F.greatest("p_ly", "q_ly")))
-    wide = "decimal(38,0)"
-    step = lambda a, b: f"CAST({a} - {b} AS {wide})"
+    met = lambda p: p.join(side("q"), ["size", "tx", "ty"]).where("p_lx <= q_hx AND q_lx <= p_hx AND p_ly <= q_hy AND q_ly <= p_hy").where(T.inside(F.greatest("p_lx", "q_lx"), F.greatest("p_ly", "q_ly")))
+    most, wide = NARROW if grid < NARROW else 0, lambda k: f"greatest({k}_hx - {k}_lx, {k}_hy - {k}_ly)"
+    before = "(p_way_id < q_way_id OR (p_way_id = q_way_id AND p_seq_a < q_seq_a))"
+    small = met(side("p")).where(f"{before} AND greatest({wide('p')}, {wide('q')}) < {most}")
+    large = met(side("p").where(f"{wide('p')} >= {most}")).where(f"{before} OR ((p_way_id <> q_way_id OR p_seq_a <> q_seq_a) AND {wide('q')} < {most})")
+    return _meet(small, grid, "bigint").union(_meet(large, grid, "decimal(38,0)"))
+
+
+def _meet(met: DataFrame, grid: int, kind: str) -> DataFrame:
+    """(x, y): the grid points nearest to where pairs p, q of segments meet, in whole numbers of a kind that holds 2 * t * r + den * grid."""
+    step = lambda a, b: f"CAST({a} - {b} AS {kind})"
     rx, ry, sx, sy, wx, wy = (step(f"{k}{c}", f"{o}{c}") for k, o in (("p_b", "p_a"), ("q_b", "q_a"), ("q_a", "p_a")) for c in "xy")
     d = once(met, ["p_ax", "p_ay", "p_bx", "p_by"], den=F.expr(f"{rx} * {sy} - {ry} * {sx}"), t=F.expr(f"{wx} * {sy} - {wy} * {sx}"), w=F.expr(f"{wx} * {ry} - {wy} * {rx}")).where("den <> 0")
     d = d.select("p_ax", "p_ay", F.expr(rx).alias("rx"), F.expr(ry).alias("ry"), "t", "w", "den")
     for c in ("t", "w", "den"):
-        d = d.withColumn(f"_{c}", F.when(F.col("den") < 0, -F.col(c)).otherwise(F.col(c)).cast(wide))
+        d = d.withColumn(f"_{c}", F.when(F.col("den") < 0, -F.col(c)).otherwise(F.col(c)).cast(kind))
     hit = d.where("_t BETWEEN 0 AND _den AND _w BETWEEN 0 AND _den")
-    n = lambda r: (F.lit(2) * F.col("_t") * F.col(r) + F.col("_den") * grid).cast(wide)
-    at = lambda c: (F.col(f"p_a{c}") + grid * _floor_div(n(f"r{c}"), (2 * grid * F.col("_den")).cast(wide)).cast("long")).alias(c)
+    n, den = (lambda r: f"CAST(2 * _t * {r} + _den * {grid} AS {kind})"), f"CAST({2 * grid} * _den AS {kind})"
+    at = lambda c: F.expr(f"p_a{c} + {grid} * (({n(f'r{c}')} - pmod({n(f'r{c}')}, {den})) div {den})").alias(c)
     return hit.select(at("x"), at("y"))
 
 
 def hot_pixels(segs: DataFrame, grid: int, tiles: T.Tree | int = CELL) -> DataFrame:
     """(x, y): the centres of the hot pixels of segments on the grid."""
     ends = segs.select(F.col("ax").alias("x"), F.col("ay").alias("y")).union(segs.select("bx", "by"))
-    return ends.union(cross_points(segs, grid, tiles)).distinct()
+    return ends.union(_crossings(T.deal(segs, tiles), grid)).distinct()
 
 
 def cut(segs: DataFrame, hot: DataFrame, grid: int, tiles: T.Tree | int = CELL) -> DataFrame:
@@ -122,7 +135,7 @@ def noded(segs: DataFrame, grid: int = 10, tiles: T.Tree | int = CELL, again: bo
     from a fixed set, so it ends. Null ends and segments of no length on the grid have no piece; what stands twice in
     segs under the same ids should not.
     """
-    whole = staged(on_grid(segs, grid), "on_grid")
+    whole = _whole(segs, grid)
     hot = staged(hot_pixels(whole, grid, tiles), "hot_pixels")
     pieces = staged(cut(whole, hot, grid, tiles).withColumnRenamed("_no", "piece"), "pieces")
     while again:
@@ -136,7 +149,7 @@ def noded(segs: DataFrame, grid: int = 10, tiles: T.Tree | int = CELL, again: bo
 def noded_by_shards(segs: DataFrame, path: str, grid: int = 10, tiles: T.Tree | int = CELL, shards: int = 16, together: int = 4, steps: int | None = None) -> DataFrame | None:
     """noded(.., again=False) as two runs by shards of tiles, for crossings and for the pixels on each segment, that go on
     where they stopped: a call over the same segs finds in path what earlier ones finished. None where it stopped after `steps` steps of a run."""
-    whole = staged(on_grid(segs, grid), "on_grid")
+    whole = _whole(segs, grid)
     told = whole.agg(F.count("*"), F.bit_xor(F.xxhash64(*SEG))).first()  # the work's sign: the same segments, grid and tiles
     shape = tiles if isinstance(tiles, int) else tuple(tiles.cut.agg(F.count("*"), F.bit_xor(F.xxhash64("size", "tx", "ty"))).first())
     sign = f"{told[0]} {told[1]} {grid} {shape} {shards}"
@@ -146,7 +159,8 @@ def noded_by_shards(segs: DataFrame, path: str, grid: int = 10, tiles: T.Tree |
     if found is None:
         return None
     ends = whole.select(F.col("ax").alias("x"), F.col("ay").alias("y")).union(whole.select("bx", "by"))
-    points = staged(_placed(ends.union(found).distinct(), tiles), "hot_pixels")
+    placed = _placed(ends.union(found).distinct(), tiles).withColumn("shard", F.lit(0))
+    points = run("hot_pixels").run(placed, 1, lambda s: s.drop("shard"), 1)  # one step that runs to its end, kept for calls to come
     on = run("hits").run(T.deal(whole, tiles, grid).withColumn("shard", shard), shards, lambda s: _hits(s, points, grid), together, steps)
     return None if on is None else _pieces(on).select("way_id", "seq_a", F.col("_no").alias("piece"), *SEG[2:])
 

@@ -6,7 +6,6 @@ A tile is (size, tx, ty): the square [tx * size, (tx + 1) * size) x [ty * size,
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,27 +43,26 @@ def over(rows: DataFrame, size: int, margin: int = 0) -> DataFrame:
     return rows.withColumn("size", F.lit(size).cast("long")).withColumn("tx", span("ax", "bx")).withColumn("ty", span("ay", "by"))
 
 
-def below(rows: DataFrame, margin: int) -> DataFrame:
-    """Rows of cut tiles in each of their next smaller tiles that its box, widened by margin, meets."""
-    small = F.col("size") / FANOUT
-
-    def span(a, b, t):
-        low, high = F.col(t) * FANOUT, F.col(t) * FANOUT + FANOUT - 1
-        return F.explode(F.sequence(F.greatest(low, _cell(F.least(a, b) - margin, small)), F.least(high, _cell(F.greatest(a, b) + margin, small))))
-
-    return rows.withColumn("_x", span("ax", "bx", "tx")).withColumn("_y", span("ay", "by", "ty")).withColumn("size", small.cast("long")).drop("tx", "ty").withColumnsRenamed({"_x": "tx", "_y": "ty"})
-
-
 def deal(rows: DataFrame, tiles: Tree | int, margin: int = 0) -> DataFrame:
-    """rows (ax, ay, bx, by, ..) with size, tx, ty: once for each tile that is not cut and that its box, widened by margin, meets. tiles: a tree, or one size for all."""
+    """rows (ax, ay, bx, by, ..) with size, tx, ty: once for each tile that is not cut and that its box, widened by margin, meets. tiles: a tree, or one size for all.
+
+    In one pass: at each size rows of cut tiles go on to the smaller tiles that they meet, the others stay where they are."""
     if isinstance(tiles, int):
         return over(rows, tiles, margin)
-    level, out = over(rows, tiles.sizes[0], margin), []
+    out = over(rows, tiles.sizes[0], margin)
+    names = out.columns
     for size in tiles.sizes[:-1]:
-        met = level.join(tiles.cut.where(F.col("size") == size).withColumn("cut", F.lit(True)), ["size", "tx", "ty"], "left")
-        out.append(met.where("cut IS NULL").select(level.columns))
-        level = below(met.where("cut").select(level.columns), margin)
-    return reduce(DataFrame.union, [*out, level])
+        met = out.join(tiles.cut.where(F.col("size") == size).withColumn("_cut", F.lit(True)), ["size", "tx", "ty"], "left").select(*names, F.coalesce("_cut", F.lit(False)).alias("_cut"))
+        small = size // FANOUT
+
+        def span(a, b, t, small=small):
+            low, high = F.col(t) * FANOUT, F.col(t) * FANOUT + FANOUT - 1
+            cut = F.sequence(F.greatest(low, _cell(F.least(a, b) - margin, small)), F.least(high, _cell(F.greatest(a, b) + margin, small)))
+            return F.explode(F.when(F.col("_cut"), cut).otherwise(F.array(t)))
+
+        met = met.withColumn("_x", span("ax", "bx", "tx")).withColumn("_y", span("ay", "by", "ty")).withColumn("size", F.when(F.col("_cut"), F.lit(small).cast("long")).otherwise(F.col("size")))
+        out = met.drop("tx", "ty", "_cut").withColumnsRenamed({"_x": "tx", "_y": "ty"}).select(names)
+    return out
 
 
 def inside(x: Column, y: Column) -> Column:
