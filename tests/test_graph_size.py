@@ -2,7 +2,7 @@
 
 import random
 
-from wayloom.operators import gridjoin, topology as topo
+from wayloom.operators import components, gridjoin, topology as topo
 from wayloom.operators.components import connected_components
 from wayloom.plans import registry
 
@@ -56,3 +56,23 @@ def test_merged_nodes_are_counted(spark):
     nodes = spark.createDataFrame([(-1, 0, 0), (-2, 11, 20), (-3, 500, 500)], "node_id long, x_e7 long, y_e7 long")
     labels = spark.createDataFrame([(-1, -2), (-2, -2)], "node long, component long")
     assert sorted(map(tuple, topo.at_mean(nodes, labels).collect())) == [(-3, 500, 500, 1), (-2, 6, 10, 2)]
+
+
+def test_components_carry_only_what_moves(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    pairs = [(rng.randint(1, 400), rng.randint(1, 400)) for _ in range(330)] + [(i, i + 1) for i in range(500, 560)] + [(700, i) for i in range(701, 760)]
+    least = {n: n for p in pairs for n in p}
+    for _ in range(len(least)):
+        moved = False
+        for a, b in pairs:
+            low = min(least[a], least[b])
+            moved |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+        if not moved:
+            break
+    written = []
+    monkeypatch.setattr(components, "staged", lambda df, name, write=components.staged: written.append((name, write(df, name))) or written[-1][1])
+    got = sorted(map(tuple, connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    assert got == sorted(least.items())
+    rounds = [df.count() for name, df in written if name == "step"]
+    assert len(rounds) > 2 and [name for name, _ in written].count("follow") == 1 and sum(rounds) < 2 * len(least)

@@ -186,8 +186,8 @@ def gap_pairs(ends: DataFrame, tol: int = 500) -> DataFrame:
 
 
 def gap_labels(ways: DataFrame, nodes: DataFrame, tol: int = 500) -> DataFrame:
-    """(node, component) of the nodes in gap pairs."""
-    return connected_components(gap_pairs(endpoints(ways).join(nodes, "node_id"), tol), "node_a", "node_b")
+    """(node, component) of the nodes in gap pairs, of which one direction links as much as both."""
+    return connected_components(gap_pairs(endpoints(ways).join(nodes, "node_id"), tol).where("node_a < node_b"), "node_a", "node_b")
 
 
 def at_mean(nodes: DataFrame, labels: DataFrame) -> DataFrame:
