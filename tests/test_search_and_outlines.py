@@ -126,3 +126,17 @@ def test_rings_are_fitted_without_a_table_a_step(spark, monkeypatch):
     assert both.keys() == sums.keys() == {1, 2, 3, 4}
     for k, r in both.items():
         assert all(abs(r[c] - sums[k][c]) < 1e-6 * max(1, abs(r[c])) for c in ("cx", "cy", "r")) and abs(r.sse - sums[k].sse) < 1e-5
+
+
+def test_ring_points_are_whole_and_made_as_they_are_read(spark, monkeypatch):
+    rows = [(k, 10.0 * k + 5 * math.cos(a), 20 + 5 * math.sin(a)) for k in (1, 2) for a in range(7)]
+    written = []
+    whole = rings.staged
+    monkeypatch.setattr(rings, "staged", lambda df, name: written.append(name) or whole(df, name))
+    made = rings.regular_ring(spark.createDataFrame(rows, "k long, x double, y double"), "k")
+    assert written == ["ring_rows"] and "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    angles = np.append(np.linspace(0, 2 * np.pi, 360), 0)
+    for k in (1, 2):
+        got = made.where(made.k == k).orderBy("i").collect()
+        assert [r.i for r in got] == list(range(361))
+        assert np.allclose([(r.x, r.y) for r in got], np.column_stack([10 * k + 5 * np.cos(angles), 20 + 5 * np.sin(angles)]))
